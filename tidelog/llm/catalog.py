@@ -1,7 +1,7 @@
 """The corpus operators' queries, one per operator, and their SQL where SQL can say it."""
 
-from tidelog.llm import line_dedup, mixing, packing, simhash
+from tidelog.llm import line_dedup, mixing, packing, sharding, simhash
 
-_MODULES = (simhash, packing, mixing, line_dedup)
+_MODULES = (simhash, packing, sharding, mixing, line_dedup)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
