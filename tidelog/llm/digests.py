@@ -1,6 +1,6 @@
 """Improbable-feature digests of documents: rare byte windows in chained Bloom filters.
 
-The entropy of each 64-byte window is followed byte by byte with exact integers and put on a scale of 0 to 1000. How rare a
+The entropy of each 32-byte window is followed byte by byte with exact integers and put on a scale of 0 to 1000. How rare a
 level is comes from a count over all windows of all documents; levels under ``LOW`` (runs of a byte, short periods) come
 last. A window is selected if it is the rarest, leftmost one in at least ``WINS`` of the spans of ``SPAN`` windows that hold it.
 Selected windows are hashed (XXH3, 128 bits) to five of 2048 bits; a filter takes ``PER_FILTER`` of them, then a new one is chained.
@@ -10,7 +10,7 @@ chance; the mean is weighted by features. Equal digests have likeness 1.
 The next document is found by dealing texts, compressed, into ranges of doc_id; the head of each range also goes to the range
 before it, so every neighbour is met inside one task and texts are shuffled once.
 
-Null texts are empty. An empty text has the empty digest, which is like itself (1) and nothing else (0); a text under 64 bytes
+Null texts are empty. An empty text has the empty digest, which is like itself (1) and nothing else (0); a text under 32 bytes
 is one feature. Equal doc_ids are ordered by their compressed texts, null ones come last. A single document is its own next.
 Whole texts are read. An empty table gives no rows. Only ``id_col`` (integers) and ``text_col`` are read.
 """
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import blocks_of, read_table, slices
 
-WINDOW = 64
+WINDOW = 32
 LEVELS = 1001
 LOW = 100
-SPAN = 64
-WINS = 16
+SPAN = 32
+WINS = 8
 PER_FILTER = 160
 FILTER_BITS = 2048
 BUCKET_BYTES = 24_000_000
@@ -59,8 +59,8 @@ def _block_levels(x: np.ndarray) -> np.ndarray:
     sums[0] = _F[np.bincount(x[:WINDOW], minlength=256)].sum()
     np.cumsum(_DOWN[ahead[: n - WINDOW]] + _UP[behind[WINDOW:]], out=sums[1:])
     sums[1:] += sums[0]
-    # Entropy over its most, six bits, is 1 - sum / (64 * 6).
-    return (1000 - (sums * 1000 + WINDOW * 6 * _SCALE - 1) // (WINDOW * 6 * _SCALE)).astype(np.int16)
+    # Entropy over its most, five bits, is 1 - sum / (32 * 5).
+    return (1000 - (sums * 1000 + WINDOW * 5 * _SCALE - 1) // (WINDOW * 5 * _SCALE)).astype(np.int16)
 
 
 def levels(x: np.ndarray) -> np.ndarray:
