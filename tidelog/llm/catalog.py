@@ -1,7 +1,7 @@
 """The corpus operators' queries, one per operator, and their SQL where SQL can say it."""
 
-from tidelog.llm import digests, html_text, line_dedup, mixing, packing, sharding, simhash
+from tidelog.llm import chat_format, digests, html_text, line_dedup, mixing, packing, sharding, simhash
 
-_MODULES = (simhash, html_text, packing, sharding, mixing, line_dedup, digests)
+_MODULES = (chat_format, simhash, html_text, packing, sharding, mixing, line_dedup, digests)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
