@@ -9,7 +9,7 @@ threshold until nothing new turns up. What is found is verified in double precis
 vector asks counts only in the first, so degrees add up without listing pairs; links are kept as a spanning forest per task.
 
 Recall is audited against brute force over all vectors for a bounded sample of queries; below ``LEAST_RECALL`` the
-search is repeated with twice the probes, at last with all shards. A shard above ``MOST`` nodes is cut by hash into parts
+search is repeated with twice the probes and twice the beam. A shard above ``MOST`` nodes is cut by hash into parts
 that its queries all visit, so a task's memory is bounded and no link is lost.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components link with nothing. Null
@@ -37,6 +37,7 @@ BUILDS = 2
 PROBES = 4
 NEAREST = 48
 DEGREE = 20
+FAR = 6
 ALPHA = 1.2
 BEAM = 20
 SLACK = 0.03
@@ -92,12 +93,21 @@ def build_graph(x: np.ndarray) -> np.ndarray:
         order = np.argsort(-value, axis=1, kind="stable")
         near[a : a + 512], sims[a : a + 512] = np.take_along_axis(top, order, axis=1), np.take_along_axis(value, order, axis=1)
     kept = robust_prune(x, near, sims)
+    if n > 2 * NEAREST:
+        # Nearest nodes alone leave tight groups as islands; some far ones, pruned alike, lead in and out.
+        far = np.random.default_rng(n).integers(0, n, (n, 4 * FAR)).astype(np.int32)
+        values = np.concatenate([np.einsum("id,ijd->ij", x[a : a + 512], x[far[a : a + 512]]) for a in range(0, n, 512)])
+        values[far == np.arange(n)[:, None]] = -np.inf
+        order = np.argsort(-values, axis=1, kind="stable")
+        kept = np.concatenate([kept, robust_prune(x, np.take_along_axis(far, order, axis=1), np.take_along_axis(values, order, axis=1), FAR)], axis=1)
     src, slot = np.nonzero(kept < n)
     dst = kept[src, slot]
     both = np.unique(np.concatenate([src * n + dst, dst.astype(np.int64) * n + src]))
     a, b = both // n, both % n
     close = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 200_000]], x[b[i : i + 200_000]]) for i in range(0, len(a), 200_000)])
-    return padded(a, b, close, n, 2 * DEGREE)
+    # Own choices come before reverse edges, which fill the list up, the nearest first.
+    chosen = np.isin(both, src * n + dst)
+    return padded(a, b, close + 4 * chosen, n, 2 * DEGREE)
 
 
 def padded(a: np.ndarray, b: np.ndarray, close: np.ndarray, n: int, most: int) -> np.ndarray:
@@ -111,7 +121,7 @@ def padded(a: np.ndarray, b: np.ndarray, close: np.ndarray, n: int, most: int) -
     return out
 
 
-def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: float) -> np.ndarray:
+def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM) -> np.ndarray:
     """(query, node) of what range-expanding greedy search from the medoid meets at ``least`` or more."""
     n, m = len(x), len(queries)
     mean = x.mean(axis=0)
@@ -122,9 +132,9 @@ def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: float)
     seen = np.zeros((m, n + 1), bool)
     seen[:, n] = True
     rows = np.arange(m)
-    ids = np.full((m, BEAM), n, np.int32)
-    value = np.full((m, BEAM), -np.inf, np.float32)
-    todo = np.zeros((m, BEAM), bool)
+    ids = np.full((m, beam), n, np.int32)
+    value = np.full((m, beam), -np.inf, np.float32)
+    todo = np.zeros((m, beam), bool)
     ids[:, 0], todo[:, 0] = medoid, True
     value[:, 0] = queries @ x[medoid]
     sims[:, medoid], seen[:, medoid] = value[:, 0], True
@@ -142,7 +152,7 @@ def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: float)
         q, r = np.nonzero(new)
         sims[active[q], around[q, r]] = s[q, r]
         every = np.concatenate([value[active], s], axis=1)
-        top = np.argpartition(-every, BEAM - 1, axis=1)[:, :BEAM]
+        top = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
         value[active] = np.take_along_axis(every, top, axis=1)
         ids[active] = np.take_along_axis(np.concatenate([ids[active], around], axis=1), top, axis=1)
         todo[active] = np.take_along_axis(np.concatenate([todo[active], new], axis=1), top, axis=1)
@@ -242,7 +252,7 @@ def _adjacency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[src], pa.int64()), pa.array(nodes[graph[src, slot]], pa.int64())], names=["node", "other"])
 
 
-def _searcher(least: float):
+def _searcher(least: float, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in keyed_runs(batches, "place"):
             built = table.column("built").to_numpy()
@@ -271,7 +281,7 @@ def _searcher(least: float):
             ids, counts, ea, eb = [], [], [], []
             for start in range(0, len(asking), step):
                 block = slice(start, start + step)
-                pairs = search(x, graph, queries[block], least)
+                pairs = search(x, graph, queries[block], least, beam)
                 sure = np.concatenate([np.zeros(0, bool), *[cosines(raw_q[start + pairs[i : i + 50_000, 0]], raw[pairs[i : i + 50_000, 1]]) >= least for i in range(0, len(pairs), 50_000)]])
                 pairs = pairs[sure]
                 pairs = pairs[asking[start + pairs[:, 0]] != nodes[pairs[:, 1]]]
@@ -363,17 +373,17 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     built = deal(even, known, parts, BUILDS).where("built").select("place", "node", "vector")
     edges = built.repartition(spread, "place").sortWithinPartitions("place").mapInArrow(_adjacency, "node bigint, other bigint")
     lists = written(edges.groupBy("node").agg(F.collect_set("other").alias("others")), "vectors-graph")
-    probes = PROBES
+    probes, beam = PROBES, BEAM
     while True:
         asked = deal(even, known, parts, probes)
         dealt = asked.join(lists, "node", "left").withColumn("others", F.when(F.col("built"), F.coalesce("others", F.array().cast("array<bigint>"))).otherwise(F.array().cast("array<bigint>")))
         dealt = dealt.repartition(spread, "place").sortWithinPartitions("place", "node")
-        found = written(dealt.mapInArrow(_searcher(least), "a bigint, b bigint, n bigint"), "vectors-found")
+        found = written(dealt.mapInArrow(_searcher(least, beam), "a bigint, b bigint, n bigint"), "vectors-found")
         degrees = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("degree"))
-        if probes >= index.shards or audit(vectors.select("node", "weight", "vector"), degrees, n, least) >= LEAST_RECALL:
+        if probes >= 8 * max(PROBES, index.shards) or audit(vectors.select("node", "weight", "vector"), degrees, n, least) >= LEAST_RECALL:
             break
         discard(found)
-        probes *= 2
+        probes, beam = 2 * probes, 2 * beam
     comps = components(found.where("b is not null").select("a", "b"), "vectors-links")
     comps = comps.withColumnRenamed("node", "c_node")
     ids = comps.join(vectors.select("node", "least_id"), F.col("c_node") == F.col("node")).groupBy("root").agg(F.min("least_id").alias("cid"))
