@@ -2,5 +2,7 @@
 
 from tidelog.llm.pipeline import ORACLE_SQL, STAGES, run
 
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
+
 QUERIES = {"pipeline": run}
 ORACLES = {"pipeline": ORACLE_SQL}

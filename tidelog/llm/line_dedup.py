@@ -237,16 +237,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines stay once, in the first document that holds them; documents left without a word go.
-
-    Documents that had no word before stay as they were.
-    """
+    """Repeated lines stay once, in the first document that holds them. No document goes, though it may end up empty."""
     out = drop_repeated_lines(docs, min_docs=10, min_chars=1, keep="first")
-    kept = F.col("stripped.kept")
-    emptied = (F.col("stripped.n_dropped") > 0) & ~kept.rlike(r"[^\x20\x09-\x0D]")
-    text = F.when(F.col("stripped.n_dropped") > 0, kept).otherwise(F.col("text"))
-    chars = F.when(F.col("stripped.n_dropped") > 0, F.length(kept).cast("bigint")).otherwise(F.col("n_chars"))
-    return out.where(~emptied).withColumns({"text": text, "n_chars": chars}).drop("stripped")
+    cut = F.col("stripped.n_dropped") > 0
+    text = F.when(cut, F.col("stripped.kept")).otherwise(F.col("text"))
+    chars = F.when(cut, F.length("stripped.kept").cast("bigint")).otherwise(F.col("n_chars"))
+    return out.withColumns({"text": text, "n_chars": chars}).drop("stripped")
 
 
 _LINES = r"""

@@ -1,11 +1,33 @@
+"""The corpus pipeline: bad documents go, repeated lines stay once, near-duplicates stay once, sources are mixed, ids packed.
+
+Each stage takes what the one before it kept, written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidelog.llm.common import read_table, written
 from tidelog.llm.line_dedup import stage_line_dedup
+from tidelog.llm.mixing import stage_mixing
+from tidelog.llm.packing import stage_packing
+from tidelog.llm.quality import stage_quality
+from tidelog.llm.simhash import stage_simhash
+
+STAGES = [
+    ("quality classifier", stage_quality),
+    ("line dedup", stage_line_dedup),
+    ("simhash near-dedup", stage_simhash),
+    ("source mixing", stage_mixing),
+    ("packing", stage_packing),
+]
 
+#: The classifier, the fingerprints and the tokenizer have no SQL form; a brute-force version is in the tests.
 ORACLE_SQL = None
-STAGES = [("line dedup", stage_line_dedup)]
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return docs

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import EDGE, Forest, components, keyed_runs, read_table, written
@@ -60,16 +60,17 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id_col, fp): the fingerprint as a signed long."""
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, mark_col: str | None = None) -> DataFrame:
+    """(id, fp, mark): the fingerprint as a signed long, and a string that tells rows apart where asked for."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], names=["id", "fp", "mark"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    mark = F.col(mark_col) if mark_col else F.lit(None).cast("string")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), mark.alias("mark")).mapInArrow(run, f"id {kind}, fp bigint, mark string")
 
 
 def cell_entries(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,16 +155,32 @@ def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, EDGE)
 
 
+def fingerprint_classes(prints: DataFrame, most: int = 4) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint; root is a fingerprint of its component."""
+    spread = 4 * prints.sparkSession.sparkContext.defaultParallelism
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")).repartition(spread, "fp"), "simhash-distinct")
+    comps = written(components(near_links(distinct.select("fp"), most), "simhash-links"), "simhash-components")
+    ids = comps.join(distinct, comps.node == distinct.fp).groupBy("root").agg(F.min("least").alias("cid"))
+    named = comps.join(ids, "root").select(F.col("node").alias("fp"), "root", "cid")
+    return distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("cid", "least").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = 4) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``."""
     prints = written(with_fingerprints(docs, id_col, text_col, width), "simhash")
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")).repartition(4 * prints.sparkSession.sparkContext.defaultParallelism, "fp"), "simhash-distinct")
-    comps = components(near_links(distinct.select("fp"), most), "simhash-links")
-    comps = written(comps, "simhash-components")
-    ids = comps.join(distinct, comps.node == distinct.fp).groupBy("root").agg(F.min("least").alias("cid"))
-    named = comps.join(ids, "root").select(F.col("node").alias("fp"), "cid")
-    classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("cid", "least").alias("component_id"))
-    return prints.join(classes, "fp").select("id", "fp", "component_id")
+    return prints.join(fingerprint_classes(prints, most), "fp").select("id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = 4) -> DataFrame:
+    """One row of ``docs`` for each component: that with the smallest id, null ids last."""
+    mark = F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("-")), F.lit("\x01"), F.coalesce(F.col(text_col), F.lit(""))))
+    marked = docs.withColumn("simhash_mark", mark)
+    prints = written(with_fingerprints(marked, id_col, text_col, width, "simhash_mark"), "simhash")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), F.col("id"), F.col("mark"))).alias("first")
+    kept = prints.join(fingerprint_classes(prints, most), "fp").groupBy("root").agg(first).select(F.col("first.mark").alias("simhash_mark"))
+    rows = marked.join(kept, "simhash_mark", "left_semi")
+    once = F.row_number().over(Window.partitionBy("simhash_mark").orderBy("simhash_mark"))
+    return rows.withColumn("simhash_once", once).where("simhash_once = 1").drop("simhash_mark", "simhash_once")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,5 +188,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return one_of_each(docs)
+
+
 QUERIES = {"op2_simhash_dedup": op2_simhash_dedup}
 ORACLES: dict[str, str] = {}
