@@ -32,35 +32,21 @@ TOKENIZER = "word_bpe_49k.json"
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class TwoAges(dict):
-    """A cache of bounded size: when full, the older half of its entries goes."""
-
-    def __init__(self, most: int) -> None:
-        super().__init__()
-        self.most, self.old = most // 2, {}
-
-    def __missing__(self, key):
-        return self.old[key]
-
-    def keep(self, key, value) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-
 class Tokens:
     """The ids of a lower-casing word BPE tokenizer as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so the ids of a text are those of its chunks between
-    white space, and a chunk of Latin letters, digits and signs is the ids of its pieces. Chunks and pieces are cached.
+    white space, and a chunk of Latin letters, digits and signs is the ids of its pieces. Chunks and pieces are kept in
+    caches that start anew when they are full.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.pieces = TwoAges(250_000), TwoAges(350_000)
+        self.most = most
+        self.chunks: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -70,43 +56,42 @@ class Tokens:
         for at in range(0, len(pieces), 256):
             part = pieces[at : at + 256]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, words = np.array(got.ids, "<u4"), np.array(got.word_ids)
+            raw, words = np.array(got.ids, "<u4").tobytes(), np.array(got.word_ids)
             if len(words) and words[-1] == len(part) - 1:
-                for piece, own in zip(part, np.split(ids, np.flatnonzero(np.diff(words)) + 1), strict=True):
-                    self.pieces.keep(piece, own.tobytes())
+                cuts = [0, *(4 * np.flatnonzero(np.diff(words)) + 4).tolist(), len(raw)]
+                self.pieces.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
             else:
-                for piece in part:
-                    self.pieces.keep(piece, self.whole(piece))
+                self.pieces.update((piece, self.whole(piece)) for piece in part)
 
-    def _known(self, piece: str) -> bytes:
-        try:
-            return self.pieces[piece]
-        except KeyError:
-            self.pieces.keep(piece, found := self.whole(piece))
-            return found
+    @staticmethod
+    def cut(word: str) -> list[str]:
+        """The pieces of a lower-cased Latin chunk."""
+        if word.isalpha():
+            return [word]
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return [word[:-1], word[-1]]
+        return _PIECES.findall(word)
 
     def of(self, text: str) -> bytes:
-        chunks, known = text.encode().split(), self.chunks
-        out: list[bytes] = []
-        late: list[tuple[int, bytes, list[str]]] = []
-        for chunk in chunks:
-            try:
-                out.append(known[chunk])
-            except KeyError:
+        chunks = text.encode().split()
+        out = list(map(self.chunks.get, chunks))
+        if None in out:
+            if len(self.chunks) > self.most:
+                self.chunks = {}
+            if len(self.pieces) > self.most:
+                self.pieces = {}
+            known, pieces = self.chunks, self.pieces
+            cut: dict[bytes, list[str]] = {}
+            for chunk in {c for c, ids in zip(chunks, out, strict=True) if ids is None}:
                 word = chunk.decode()
                 if b"<|" in chunk or max(word) >= "ɐ":
-                    found = self.whole(word)
-                    known.keep(chunk, found)
-                    out.append(found)
+                    known[chunk] = self.whole(word)
                 else:
-                    late.append((len(out), chunk, _PIECES.findall(word.lower())))
-                    out.append(b"")
-        if late:
-            new = {p for _, _, pieces in late for p in pieces if p not in self.pieces and p not in self.pieces.old}
-            self.learn(sorted(new))
-            for at, chunk, pieces in late:
-                out[at] = found = b"".join([self._known(p) for p in pieces])
-                known.keep(chunk, found)
+                    cut[chunk] = self.cut(word.lower())
+            self.learn([p for p in {p for own in cut.values() for p in own} if p not in pieces])
+            for chunk, own in cut.items():
+                known[chunk] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
+            out = [known[c] if ids is None else ids for c, ids in zip(chunks, out, strict=True)]
         return b"".join(out)
 
 
