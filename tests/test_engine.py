@@ -164,3 +164,25 @@ def test_host_sample_and_out_of_order(spark):
     assert isinstance(host.sample(spark).first().metrics_ts, dt.datetime)
     r = parse.requests(frame(spark, [line(5), line(3), line(7)])).withColumn("file", F.lit("f"))
     assert [x.is_out_of_order for x in parse.flag_out_of_order(r, "file", "n").orderBy("n").collect()] == [False, True, False]
+
+
+def test_follow_and_sampler(spark, tmp_path):
+    from tidelog.streaming.host import start_host_sampler
+
+    p = tmp_path / "f.log"
+    p.write_text("\n".join(line(i) for i in range(3)) + "\n")
+    c = config.FileConfig(follow=True, handlers=("COUNTER", "WRITE_TO_FILE"), write_to_file=str(tmp_path / "out"), counter_interval=1)
+    got = []
+    queries = [*cli.follow(spark, str(p), c), start_host_sampler(spark, 3, lambda df: got.append(df.first()), str(tmp_path / "h"), aligned=False)]
+    try:
+        queries[1].processAllAvailable()
+        for _ in range(100):
+            if got:
+                break
+            import time
+
+            time.sleep(0.2)
+        assert spark.read.text(str(tmp_path / "out")).count() == 3 and got[0].host_id == 3
+    finally:
+        for q in queries:
+            q.stop()

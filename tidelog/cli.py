@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import argparse
+import json
 import logging
+import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators import parse, report, rollup, sinks
 from tidelog.plans import config
+from tidelog.plans.shared import shared_dir
 from tidelog.sources import logs
+from tidelog.sources.tail import TailSource
+from tidelog.streaming import rollup as streaming
 
 PROFILES = {"count": "COUNTER", "metrics": "METRICS", "security": ""}
 
@@ -64,13 +70,38 @@ def run(spark: SparkSession, path: str, c: config.FileConfig) -> list[str]:
     return out
 
 
+def follow(spark: SparkSession, path: str, c: config.FileConfig) -> list[StreamingQuery]:
+    """Streams of a growing file: a report every interval, closed windows into a metric table."""
+    spark.dataSource.register(TailSource)
+    lines = spark.readStream.format("access_log_tail").option("paths", json.dumps([path])).option("startFrom", c.start_from).load()
+    lines = logs.without_matching(lines, c.skip_pattern)
+    root = f"{shared_dir(spark)}/tidelog/follow-{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+    out = []
+    for handler in c.handlers:
+        if handler == "COUNTER":
+            out.append(streaming.start_counters(lines, lambda counts: print(report.top_report(counts, c.top_n)), f"{root}/counter", f"{c.counter_interval} seconds"))
+        elif handler == "METRICS":
+            table = sinks.MetricTable(spark, f"{root}/metrics")
+            out.append(streaming.start_metrics(lines, table, 1, c.time_window_minutes, c.metrics_window_size, f"{root}/rollup", c.replace_existing))
+        elif handler == "WRITE_TO_FILE":
+            written = sinks.json_lines(parse.requests(lines)).writeStream.format("text").option("path", c.write_to_file)
+            out.append(written.option("checkpointLocation", f"{root}/json").start())
+    return out
+
+
 def main(argv: list[str] | None = None) -> None:
     args = arguments(argv)
     logging.basicConfig(level={"debug": logging.DEBUG, "info": logging.INFO, "warn": logging.WARNING}[args.log_level])
     spark = SparkSession.builder.appName("tidelog").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     for path, c in configs(args).items():
-        if path != config.HOST_KEY:
+        if path == config.HOST_KEY or not c.enabled:
+            continue
+        if c.follow:
+            follow(spark, path, c)
+        else:
             print(*run(spark, path, c), sep="\n")
+    if spark.streams.active:
+        spark.streams.awaitAnyTermination()
 
 
 if __name__ == "__main__":

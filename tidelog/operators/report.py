@@ -10,11 +10,10 @@ from tidelog.operators import counters
 from tidelog.operators.sinks import live_json
 
 
-def counter_report(requests: DataFrame, n: int = 10, previous: dict[tuple[str, str], int] | None = None) -> str:
-    """Totals and the top keys of each printed dimension; with ``previous`` counts, changes in parentheses."""
-    total = counters.totals(requests).first().asDict()
-    lines = [f"{k}: {v}" for k, v in total.items()]
-    rows = counters.top(counters.by_dimension(requests, counters.PRINTED), n).orderBy("dimension", "rank").collect()
+def top_report(counts: DataFrame, n: int = 10, previous: dict[tuple[str, str], int] | None = None) -> str:
+    """The top keys of each printed dimension of (dimension, key, n); with ``previous`` counts, changes in parentheses."""
+    rows = counters.top(counts, n).orderBy("dimension", "rank").collect()
+    lines = []
     for dimension in counters.PRINTED:
         mine = [r for r in rows if r.dimension == dimension]
         width = min(15, max([10, *(len(r.key or "") for r in mine)]))
@@ -25,6 +24,12 @@ def counter_report(requests: DataFrame, n: int = 10, previous: dict[tuple[str, s
     return "\n".join(lines)
 
 
+def counter_report(requests: DataFrame, n: int = 10, previous: dict[tuple[str, str], int] | None = None) -> str:
+    """Totals and the top keys of each printed dimension."""
+    total = counters.totals(requests).first().asDict()
+    return "\n".join([f"{k}: {v}" for k, v in total.items()] + [top_report(counters.by_dimension(requests, counters.PRINTED), n, previous)])
+
+
 def metrics_report(rolled: DataFrame) -> str:
     found = {str(r.metric_type): {k: json.loads(v) for k, v in json.loads(r.value).items()} for r in live_json(rolled).collect()}
     return json.dumps(found, indent=4, sort_keys=True)
