@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tidelog.operators.rollup import agent_field
 
@@ -18,7 +19,7 @@ def is_relevant() -> Column:
     return (F.col("malicious") == 0) & ended & (device != "Script") & ~family.isin("Scanner", "SEOBot", "Script")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def packed_ip(ip: pd.Series) -> pd.Series:
     def pack(x):
         try:
