@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import keyed_runs, read_table, written
+from tidelog.llm.common import bounded_batches, keyed_runs, read_table, written
 
 FILTER_BITS = 28
 SEGMENT_BITS = 20
@@ -183,6 +183,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if keep not in ("none", "first"):
         raise ValueError(keep)
     spark = docs.sparkSession
+    bounded_batches(spark)
     packed, bits = twice_filter(docs, text_col, min_chars)
     suspects = Suspects(spark.sparkContext.broadcast(packed), bits, min_chars)
     repeats = written(confirmed(docs, suspects, id_col, text_col, min_docs), "line-repeats")

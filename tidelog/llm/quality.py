@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import read_table
+from tidelog.llm.common import bounded_batches, read_table, slices
 
-LABELLED = 9_000
-UNLABELLED = 5_000
+LABELLED = 15_000
+UNLABELLED = 4_000
 ROUNDS = 2
 SURE = 0.985
 Z_LEAST = 3.5
@@ -80,7 +80,7 @@ class Rows:
 
     @classmethod
     def of(cls, lists: list) -> Rows:
-        return cls(np.concatenate([np.asarray(x, np.int64) for x in lists]) if lists else np.empty(0, np.int64), np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64))
+        return cls(np.concatenate([np.asarray(x, np.uint32) for x in lists]).view(np.int32) if lists else np.empty(0, np.int32), np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64))
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0.0], np.cumsum(weights[self.features])))
@@ -106,7 +106,8 @@ class View:
 
     def fit(self, rows: Rows, good: np.ndarray, steps: int = 150, penalty: float = 0.03) -> None:
         n1, n0 = max(1.0, good.sum()), max(1.0, (1 - good).sum())
-        a, b = rows.spread(good, self.space), rows.spread(1 - good, self.space)
+        a = np.bincount(rows.features[np.repeat(good > 0.5, np.diff(rows.starts))], minlength=self.space)
+        b = np.bincount(rows.features, minlength=self.space) - a
         p = (a + b) / (n1 + n0)
         z = (a / n1 - b / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
         chosen = (np.abs(z) >= self.least) & (a + b >= 4)
@@ -148,10 +149,13 @@ def platt(x: np.ndarray, good: np.ndarray, steps: int = 60) -> tuple[np.ndarray,
     return w[:-1], float(w[-1])
 
 
-def combined(content: np.ndarray, meta: np.ndarray) -> np.ndarray:
-    """What the combination sees of the calibrated views: both, and the less favourable one."""
+def combined(content: np.ndarray, meta: np.ndarray, against: np.ndarray) -> np.ndarray:
+    """What the combination sees: both calibrated views, the less favourable one, and the words that speak against a text.
+
+    The last tells a short text, of which little is known, from one with a bad word among many good ones.
+    """
     content, meta = np.clip(content, -12, 12), np.clip(meta, -12, 12)
-    return np.stack([content, meta, np.minimum(content, meta)], axis=-1)
+    return np.stack([content, meta, np.minimum(content, meta), np.clip(against, -12, 0)], axis=-1)
 
 
 @dataclass
@@ -208,7 +212,7 @@ def train(sample: list[tuple]) -> Model:
                 p = _sigmoid(model[k].logit(pool_views[k]))
                 for i in np.flatnonzero((p >= SURE) | (p <= 1 - SURE)).tolist():
                     taught[1 - k].setdefault(i, float(p[i] >= 0.5))
-    both = combined(*[v.logit(x) for v, x in zip(model, held_views, strict=True)])
+    both = combined(*[v.logit(x) for v, x in zip(model, held_views, strict=True)], held_views[0].dot(np.minimum(model[0].weights, 0)))
     return Model(prior, *model, edges, platt(both, held_good))
 
 
@@ -242,6 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
     order = np.argsort(np.array([zlib.crc32(str(i).encode()) for i in made.column("id").to_pylist()], np.int64), kind="stable")
     made = made.take(pa.array(order))
     cols = [made.column(c).to_pylist() for c in ("words", "lang", "source", "numbers", "good")]
+    del made
     return train([(np.frombuffer(w, "<u4"), *rest) for w, *rest in zip(*cols, strict=True)])
 
 
@@ -256,7 +261,7 @@ class Scorer:
         if m.content is None:
             return m.prior, m.prior, m.prior
         text = text or ""
-        if len(self.known) > 400_000:
+        if len(self.known) > 150_000:
             self.known = {}
         known, weights, found = self.known, m.content.weights, set()
         tokens = list(set(text.lower().split()))
@@ -265,16 +270,18 @@ class Scorer:
                 known[token] = own = tuple(f for f in word_features(token) if weights[f])
             if own:
                 found.update(own)
-        a = m.content.scale * (float(weights[sorted(found)].sum()) + m.content.bias) + m.content.shift
+        own = weights[sorted(found)]
+        a = m.content.scale * (float(own.sum()) + m.content.bias) + m.content.shift
         b = m.meta.scale * (float(m.meta.weights[m.meta_features(lang, source, layout(text.encode()))].sum()) + m.meta.bias) + m.meta.shift
         w, bias = m.mix
-        both = float(combined(np.array(a), np.array(b)) @ w + bias)
+        both = float(combined(np.array(a), np.array(b), np.minimum(own, 0).sum()) @ w + bias)
         return tuple(float(_sigmoid(np.array(x))) for x in (a, b, both))
 
 
 def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
     """``docs`` with a struct column ``verdict`` (content, meta, score, kept) after the others."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     model = spark.sparkContext.broadcast(fit(docs, labels, labelled, unlabelled))
     row = F.struct(*[docs[c] for c in docs.columns])
     base = docs.select(row.alias("row"), F.col("text").alias("text"), F.col("lang").alias("lang"), F.col("source").alias("source"))
@@ -282,7 +289,7 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlab
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            done = [scorer.of(*x) for x in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True)]
+            done = [scorer.of(*x) for part in slices(batch, "text", 2_000_000) for x in zip(*[part.column(i).to_pylist() for i in (1, 2, 3)], strict=True)]
             cols = [pa.array([x[i] for x in done], pa.float64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["row", "content", "meta", "score"])
 
