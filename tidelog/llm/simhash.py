@@ -162,7 +162,8 @@ def fingerprint_classes(prints: DataFrame, most: int = 4) -> DataFrame:
     comps = written(components(near_links(distinct.select("fp"), most), "simhash-links"), "simhash-components")
     ids = comps.join(distinct, comps.node == distinct.fp).groupBy("root").agg(F.min("least").alias("cid"))
     named = comps.join(ids, "root").select(F.col("node").alias("fp"), "root", "cid")
-    return distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("cid", "least").alias("component_id"))
+    # Written, so that the joins with it have two plain exchanges and Spark can split a hot fingerprint.
+    return written(distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("cid", "least").alias("component_id")), "simhash-classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = 4) -> DataFrame:
