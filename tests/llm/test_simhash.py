@@ -85,3 +85,28 @@ def test_one_of_each_and_edges(spark):
     assert ids.count(9) == 1 and ids.count(1) == 1 and 2 not in ids and 6 not in ids and 7 not in ids and 4 in ids
     assert simhash.near_duplicates(cases.empty(spark)).count() == 0
     assert simhash.one_of_each(cases.empty(spark)).count() == 0
+
+
+def test_stage_keeps_one_of_all_texts_alike(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 8, 40, 300]))]
+        texts.append(" ".join(words))
+        for _ in range(5):
+            for i in rng.sample(range(len(words)), max(1, len(words) // 60)):
+                words[i] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    fps = [slow_fingerprint(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert any(bin(fps[i] ^ fps[j]).count("1") > 4 for i, j in links)
+    label, changed = list(range(len(texts))), True
+    while changed:
+        changed = False
+        for i, j in links:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == sorted(set(label))

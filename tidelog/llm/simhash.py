@@ -8,6 +8,10 @@ the cells one step up, so that every pair within one step meets in a cell; pairs
 a cell a breadth-first search over the verified links gives a spanning forest, never all pairs, and equal fingerprints
 have been folded into one before.
 
+The pipeline's stage finds every pair of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more; 64
+bits cannot tell those from unrelated texts. Sets that are alike share one of the least fifth (and one) of their hashes: these are
+the cells where sets meet, their sizes and the number of cells shared rule out most pairs, and the others are verified on the whole sets.
+
 Null or empty texts (no word) have the fingerprint zero and link like any other. Null doc_ids take part in links; a
 component's id is the smallest doc_id that is not null. Repeated rows stay, each with its component. An empty table gives
 no rows. Columns of the input other than ``id_col`` and ``text_col`` are not read, so they cannot clash.
@@ -20,15 +24,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import EDGE, Forest, components, keyed_runs, read_table, written
+from tidelog.llm.common import EDGE, Forest, components, discard, keyed_runs, read_table, slices, written
 
 BITS = 64
 SEGMENT = 2
 #: Segments in each run of the grid join.
 GROUPS = (11, 11, 10)
+#: What the pipeline's stage calls alike: shingles of ``WORDS`` words and a Jaccard similarity of ``SHARE`` or more.
+WORDS = 5
+SHARE = (4, 5)
+#: Cells of each set that the first of the two rounds looks at.
+FIRST = 3
+_CELL = "cell bigint, uid bigint, n bigint, place bigint"
 _POWERS = 3 ** np.arange(max(GROUPS), dtype=np.int64)
 
 
@@ -172,14 +183,158 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(fingerprint_classes(prints, most), "fp").select("id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = 4) -> DataFrame:
-    """One row of ``docs`` for each component: that with the smallest id, null ids last."""
+def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
+    """The distinct shingle hashes of a text in rising order."""
+    found = list(shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower().split(), width))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets is ``SHARE`` or more."""
+    num, den = SHARE
+    return len(np.intersect1d(a, b, assume_unique=True)) * (num + den) >= num * (len(a) + len(b))
+
+
+def prefix(n: int) -> int:
+    """How many of the least hashes of a set of ``n`` must hold one of any set that is alike."""
+    num, den = SHARE
+    return n - -(-num * n // den) + 1 if n else 0
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    uid = TaskContext.get().partitionId() << 36
+    for batch in batches:
+        for part in slices(batch, "text"):
+            own = [shingle_set(t.as_py()).tobytes() for t in part.column("text")]
+            uids = pa.array(range(uid, uid + len(own)), pa.int64())
+            uid += len(own)
+            keys = pa.array([xxhash.xxh3_128_digest(x) for x in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), uids, keys, pa.array(own, pa.binary())], names=["id", "mark", "uid", "key", "hashes"])
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "hashes"):
+            cells, uids, sizes, places = [np.empty(0, np.int64)], [], [], []
+            for uid, x in zip(part.column("uid").to_pylist(), part.column("hashes").to_pylist(), strict=True):
+                own = np.frombuffer(x, np.int64)
+                k = prefix(len(own))
+                cells.append(own[:k])
+                uids.append((uid, k))
+                sizes.append(len(own))
+                places.append(np.arange(k))
+            times = [k for _, k in uids]
+            columns = [np.concatenate(cells), np.repeat(np.array([u for u, _ in uids], np.int64), times), np.repeat(np.array(sizes, np.int64), times), np.concatenate([np.empty(0, np.int64), *places])]
+            out = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "uid", "n", "place"])
+            for at in range(0, out.num_rows, 100_000):
+                yield out.slice(at, 100_000)
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables sorted by cell, cut so that no cell goes on in the next one."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells = batch.column("cell").to_numpy()
+        cut = int(np.searchsorted(cells, cells[-1]))
+        table = pa.Table.from_batches([batch])
+        if held and held[-1].column("cell")[-1].as_py() != cells[0] or cut:
+            yield pa.concat_tables([*held, table.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(table.slice(cut))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of cells that hold two or more sets."""
+    for table in whole_cells(batches):
+        cells = table.column("cell").to_numpy()
+        same = cells[1:] == cells[:-1]
+        yield from table.filter(pa.array(np.append(same, False) | np.append(False, same)[: len(cells)])).to_batches()
+
+
+def _cell_pairs(batches: Iterator[pa.RecordBatch], lags: int | None) -> Iterator[pa.RecordBatch]:
+    """(a, b, shared, short): pairs of a cell at most ``lags`` places apart in the order of size, in how many cells they met here,
+    and how many of their cells they must share to be alike."""
+    num, den = SHARE
+    for table in whole_cells(batches):
+        cells, uid, n, label = (table.column(c).to_numpy() for c in ("cell", "uid", "n", "label"))
+        # No more than this can be shared beyond a set's own cells.
+        rest = n - (n - -(-num * n // den) + 1)
+        at, lag = np.arange(len(cells)), 1
+        while len(at) and (lags is None or lag <= lags):
+            at = at[at + lag < len(cells)]
+            to = at + lag
+            on = (cells[to] == cells[at]) & (n[at] * den >= n[to] * num)
+            at, to = at[on], to[on]
+            may = label[at] != label[to]
+            if may.any():
+                i, j = at[may], to[may]
+                short = -(-num * (n[i] + n[j]) // (num + den)) - np.maximum(rest[i], rest[j])
+                found, times = np.unique(np.stack([np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j]), short]), axis=1, return_counts=True)
+                columns = [found[0], found[1], times.astype(np.int64), found[2]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["a", "b", "shared", "short"])
+            lag += 1
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True)
+        yield batch.select(["a", "b"]).filter(pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs], pa.bool_()))
+
+
+def alike_links(sets: DataFrame) -> DataFrame:
+    """(a, b) between rows (uid, hashes) of distinct sets that connect all pairs that are alike."""
+    spark = sets.sparkSession
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = written(pairs, f"{name}-pairs")
+        nodes = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+        needed = written(sets.join(nodes, "uid", "left_semi"), f"{name}-sets")
+        both = pairs.join(needed.select(F.col("uid").alias("a"), F.col("hashes").alias("of_a")), "a").join(needed.select(F.col("uid").alias("b"), F.col("hashes").alias("of_b")), "b")
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = spark.conf.get(key)
+        # Two sets a row are long; written lowers no further.
+        spark.conf.set(key, "200")
+        try:
+            return written(both.select("a", "b", "of_a", "of_b").mapInArrow(_verify, EDGE), name)
+        finally:
+            spark.conf.set(key, before)
+            discard(needed)
+
+    def meet(cells: DataFrame, lags: int | None) -> DataFrame:
+        return cells.repartition("cell").sortWithinPartitions("cell", "n", "uid").mapInArrow(lambda batches: _cell_pairs(batches, lags), f"{EDGE}, shared bigint, short bigint")
+
+    entries = sets.mapInArrow(_entries, _CELL).repartition("cell").sortWithinPartitions("cell")
+    cells = written(entries.mapInArrow(_shared, _CELL), "shingle-cells")
+    # Neighbours in the first cells of each set first: what they connect is not paired again, so that a large group costs no
+    # square of its size.
+    first = checked(meet(cells.where(F.col("place") < FIRST).withColumn("label", F.col("uid")), 1).select("a", "b").distinct(), "shingle-first")
+    groups = written(components(first, "shingle-groups"), "shingle-labels")
+    labelled = cells.join(groups.select(F.col("node").alias("uid"), F.col("root").alias("label")), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    pairs = meet(labelled, None).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("short").alias("short")).where("shared >= short").select("a", "b")
+    rest = checked(pairs, "shingle-rest")
+    discard(cells)
+    return first.union(rest)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of alike texts: that with the smallest id, null ids last."""
+    kind = dict(docs.dtypes)[id_col]
     mark = F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("-")), F.lit("\x01"), F.coalesce(F.col(text_col), F.lit(""))))
     marked = docs.withColumn("simhash_mark", mark)
-    prints = written(with_fingerprints(marked, id_col, text_col, width, "simhash_mark"), "simhash")
+    source = marked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("simhash_mark").alias("mark"))
+    prints = written(source.mapInArrow(_sets, f"id {kind}, mark string, uid bigint, key binary, hashes binary"), "shingle-sets")
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), F.col("id"), F.col("mark"))).alias("first")
-    kept = prints.join(fingerprint_classes(prints, most), "fp").groupBy("root").agg(first).select(F.col("first.mark").alias("simhash_mark"))
-    rows = marked.join(kept, "simhash_mark", "left_semi")
+    distinct = written(prints.groupBy("key").agg(F.min("uid").alias("uid"), first).drop("key"), "shingle-distinct")
+    sets = prints.select("uid", "hashes").join(distinct.select("uid"), "uid", "left_semi")
+    groups = components(alike_links(sets), "shingle-links")
+    discard(prints)
+    root = F.coalesce("root", "uid").alias("root")
+    least = distinct.join(groups.withColumnRenamed("node", "uid"), "uid", "left").groupBy(root).agg(F.min("first").alias("first"))
+    rows = marked.join(least.select(F.col("first.mark").alias("simhash_mark")), "simhash_mark", "left_semi")
     once = F.row_number().over(Window.partitionBy("simhash_mark").orderBy("simhash_mark"))
     return rows.withColumn("simhash_once", once).where("simhash_once = 1").drop("simhash_mark", "simhash_once")
 
@@ -190,7 +345,7 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of texts that are alike."""
     return one_of_each(docs)
 
 
