@@ -74,3 +74,15 @@ def test_likeness():
     assert digests.likeness(a, a) == 1.0
     assert 0.35 < digests.likeness(a, half) < 0.75
     assert digests.likeness(a, other) < 0.1
+
+
+def test_every_text_has_a_feature():
+    rng = np.random.default_rng(7)
+    rare = digests.rarity(rng.integers(0, 1000, digests.LEVELS))
+    of = lambda t: digests.digest(t, rare[digests.levels(np.frombuffer(t, np.uint8))])
+    for size in range(64, 101):
+        for _ in range(20):
+            assert of(rng.choice(np.frombuffer(b"etaoin shrdlu", np.uint8), size).tobytes()).counts.sum()
+    ha, spam = of(b"ha ha " * 600), of(b"spam spam " * 600)
+    assert ha.counts.sum() and spam.counts.sum() and of(b"a" * 5000).counts.sum()
+    assert digests.likeness(ha, spam) < 1 and digests.likeness(ha, of(b"ha ha " * 500)) == 1

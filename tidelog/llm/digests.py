@@ -3,6 +3,7 @@
 The entropy of each 32-byte window is followed byte by byte with exact integers and put on a scale of 0 to 1000. How rare a
 level is comes from a count over all windows of all documents; levels under ``LOW`` (runs of a byte, short periods) come
 last. A window is selected if it is the rarest, leftmost one in at least ``WINS`` of the spans of ``SPAN`` windows that hold it.
+If none wins so many, those with the most wins are selected, so that no text but the empty one is without a feature.
 Selected windows are hashed (XXH3, 128 bits) to five of 2048 bits; a filter takes ``PER_FILTER`` of them, then a new one is chained.
 Likeness: each filter of the shorter chain meets the filter it overlaps most, as the part of the bits shared beyond
 chance; the mean is weighted by features. Equal digests have likeness 1.
@@ -92,8 +93,8 @@ def selected(ranks: np.ndarray) -> np.ndarray:
     right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     best = np.minimum(right[: n - SPAN + 1], left[SPAN - 1 : n]) & ((1 << 40) - 1)
     cuts = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1], [True])))
-    long = np.diff(cuts) >= min(WINS, n - SPAN + 1)
-    return best[cuts[:-1][long]]
+    wins = np.diff(cuts)
+    return best[cuts[:-1][wins >= min(WINS, int(wins.max()))]]
 
 
 class Digest:
