@@ -43,3 +43,23 @@ def test_awkward_rows_and_missing_labels(spark):
     mixed = spark.createDataFrame(docs, cases.SCHEMA).union(cases.docs(spark))
     assert quality.classify(mixed, known).count() == 600 + len(cases.rows())
     assert quality.classify(cases.empty(spark), known).count() == 0
+
+
+def test_every_unlabelled_document_teaches(spark):
+    rng = random.Random(3)
+    docs, labels = corpus(1000)
+    for i in range(1000, 7000):
+        text = " ".join(rng.choices([f"w{k}" for k in range(200)], k=40))
+        docs.append((i, "!!! ".join((text + f" rareword{i % 300}").upper().split()) if i % 10 == 1 else text, "en", "s", len(text)))
+    d = spark.createDataFrame(docs, cases.SCHEMA)
+    seen = []
+    exchanged = quality.exchanged
+    quality.exchanged = lambda pool, edges, views: seen.append((pool.count(), exchanged(pool, edges, views))) or seen[-1][1]
+    try:
+        model = quality.fit(d, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    finally:
+        quality.exchanged = exchanged
+    assert [n for n, _ in seen] == [6000] * quality.ROUNDS
+    taught = seen[-1][1][0]
+    assert taught[:, -1].sum() > 4500 and (taught[:, :-1].max(axis=1) <= taught[:, -1]).all()
+    assert model.content.weights[quality.zlib.crc32(b"p5rarew") % quality.SPACE] < 0

@@ -3,12 +3,13 @@
 The content view sees which words a text holds: as written in lower case, as letters only, and as the first letters. The
 metadata view sees language, source and layout counts (length, lines, words, letter cases, digits, signs, repeated words) in
 quantile bins. Both are logistic regressions over features whose share differs between good and bad documents by ``Z_LEAST``
-standard errors or more. In each round either view scores unlabelled documents, and those it is ``SURE`` of (calibrated) join
-the other view's training set with that label. Calibration and the combination are fitted on labelled documents kept apart.
+standard errors or more. In each round both views score all unlabelled documents, and those that one is ``SURE`` of (calibrated)
+teach the other: their features are counted by label, and the log odds of the counts are where the weights of its regression start
+and are drawn back to. Calibration and the combination are fitted on labelled documents kept apart.
 A document is good if its quality is 1 and it is not toxic; ``kept`` is a combined probability of at least one half.
 
-Fitting takes a bounded sample: at most about ``LABELLED`` labelled and ``UNLABELLED`` unlabelled documents, chosen by a hash of
-doc_id. Everything else, all scores included, covers all documents and whole texts.
+The regressions take at most about ``LABELLED`` labelled documents, chosen by a hash of doc_id. Everything else, the exchange, the
+quantiles and all scores, covers all documents and whole texts; features are made once, into a table in the shared folder.
 
 Null texts are empty, null languages and sources are values of their own, labels with a null are not used, repeated rows are scored alike.
 Without good or without bad labels every document gets the share of good labels (one half if none) and stays. An empty
@@ -18,8 +19,9 @@ table gives no rows. Extra columns pass through in ``classify`` whatever their n
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_batches, read_table, slices
+from tidelog.llm.common import bounded_batches, discard, read_table, shared_dir, slices
 
 LABELLED = 15_000
-UNLABELLED = 4_000
 ROUNDS = 2
 SURE = 0.985
+#: A word has about four features; each takes its part of the log odds that it is taught.
+PART = 0.25
+TAUGHT_LEAST = 0.5
 Z_LEAST = 3.5
 SPACE = 1 << 18
 BINS = 12
@@ -104,7 +108,17 @@ class View:
     scale: float = 1.0
     shift: float = 0.0
 
-    def fit(self, rows: Rows, good: np.ndarray, steps: int = 150, penalty: float = 0.03) -> None:
+    def prior(self, counts: np.ndarray) -> np.ndarray:
+        """Weights from (bad, good) counts of each feature, the last place of each being the documents."""
+        (b, n0), (a, n1) = ((x[:-1].astype(float), float(x[-1])) for x in counts)
+        if not n0 or not n1:
+            return np.zeros(self.space)
+        p = (a + b) / (n1 + n0)
+        z = (a / n1 - b / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+        odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+        return np.where((np.abs(z) >= self.least) & (a + b >= 4) & (np.abs(odds) >= TAUGHT_LEAST), PART * odds, 0.0)
+
+    def fit(self, rows: Rows, good: np.ndarray, taught: np.ndarray | None = None, steps: int = 150, penalty: float = 0.03) -> None:
         n1, n0 = max(1.0, good.sum()), max(1.0, (1 - good).sum())
         a = np.bincount(rows.features[np.repeat(good > 0.5, np.diff(rows.starts))], minlength=self.space)
         b = np.bincount(rows.features, minlength=self.space) - a
@@ -114,11 +128,14 @@ class View:
         keep = chosen[rows.features]
         counts = np.concatenate(([0], np.cumsum(keep)))
         own = Rows(rows.features[keep], counts[rows.starts])
-        weights, bias = np.zeros(self.space), float(np.log(n1 / n0))
+        start = np.zeros(self.space) if taught is None else self.prior(taught)
+        # What the rows themselves do not choose keeps what it was taught.
+        weights, bias = start.copy(), float(np.log(n1 / n0))
+        fixed = rows.dot(np.where(chosen, 0.0, start))
         m, v, mb, vb = np.zeros(self.space), np.zeros(self.space), 0.0, 0.0
         for t in range(1, steps + 1):
-            error = _sigmoid(own.dot(weights) + bias) - good
-            g = (own.spread(error, self.space) + penalty * weights) / len(good)
+            error = _sigmoid(own.dot(weights) + fixed + bias) - good
+            g = (own.spread(error, self.space) + penalty * (weights - start)) / len(good)
             gb = float(error.mean())
             m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
             c, d = 1 - 0.9**t, 1 - 0.99**t
@@ -180,15 +197,12 @@ def meta_features(edges: list, lang: str | None, source: str | None, numbers: li
     return out + sorted({base + zlib.crc32(f"{k}={v}".encode()) % _CATEGORIES for k, v in (("lang", lang), ("source", source))})
 
 
-def train(sample: list[tuple]) -> Model:
-    """A model from (features, lang, source, numbers, good or None) rows."""
-    labelled = [r for r in sample if r[4] is not None]
+def train(labelled: list[tuple], edges: list, exchange: Callable[[list[View]], list[np.ndarray]]) -> Model:
+    """A model from (features, lang, source, numbers, good) rows; ``exchange`` gives what each view is taught by the other."""
     good_all = np.array([r[4] for r in labelled], float)
     prior = float(good_all.mean()) if len(labelled) else 0.5
     if len(labelled) < 20 or not 0 < good_all.sum() < len(good_all):
         return Model(prior)
-    numbers = np.array([r[3] for r in sample], float)
-    edges = [np.unique(np.quantile(numbers[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(len(NUMBERS))]
 
     def views(rows: list[tuple]) -> tuple[Rows, Rows]:
         return Rows.of([r[0] for r in rows]), Rows.of([meta_features(edges, *r[1:4]) for r in rows])
@@ -196,22 +210,15 @@ def train(sample: list[tuple]) -> Model:
     apart = np.arange(len(labelled)) % 4 == 3
     fit_rows, held_rows = [r for r, x in zip(labelled, apart, strict=True) if not x], [r for r, x in zip(labelled, apart, strict=True) if x]
     fit_good, held_good = good_all[~apart], good_all[apart]
-    pool = [r for r in sample if r[4] is None]
-    fit_views, held_views, pool_views = views(fit_rows), views(held_rows), views(pool)
+    fit_views, held_views = views(fit_rows), views(held_rows)
     model = [View(SPACE, Z_LEAST), View(META_SPACE, Z_LEAST)]
-    taught: list[dict[int, float]] = [{}, {}]
+    taught: list = [None, None]
     for turn in range(ROUNDS + 1):
         for k in (0, 1):
-            own = np.array(sorted(taught[k]), np.int64)
-            more = pool_views[k].take(own)
-            rows = Rows(np.concatenate([fit_views[k].features, more.features]), np.concatenate([fit_views[k].starts, fit_views[k].starts[-1] + more.starts[1:]]))
-            model[k].fit(rows, np.concatenate([fit_good, [taught[k][i] for i in own.tolist()]]))
+            model[k].fit(fit_views[k], fit_good, taught[k])
             model[k].calibrate(held_views[k], held_good)
-        if turn < ROUNDS and pool:
-            for k in (0, 1):
-                p = _sigmoid(model[k].logit(pool_views[k]))
-                for i in np.flatnonzero((p >= SURE) | (p <= 1 - SURE)).tolist():
-                    taught[1 - k].setdefault(i, float(p[i] >= 0.5))
+        if turn < ROUNDS:
+            taught = exchange(model)
     both = combined(*[v.logit(x) for v, x in zip(model, held_views, strict=True)], held_views[0].dot(np.minimum(model[0].weights, 0)))
     return Model(prior, *model, edges, platt(both, held_good))
 
@@ -220,34 +227,116 @@ def _chance(id_column: str, rate: float):
     return F.pmod(F.xxhash64(F.col(id_column), F.lit("co-training")), F.lit(1 << 30)) < int(min(1.0, rate) * (1 << 30))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    known = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").alias("l_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double").alias("good"))
-    n_docs, n_known = docs.count(), known.count()
-    chosen = known.where(_chance("l_id", 0.97 * labelled / max(1, n_known))).groupBy("l_id").agg(F.min("good").alias("good"))
-    base = docs.select("doc_id", "text", "lang", "source")
-    with_label = base.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).drop("l_id")
-    # Twice the rate needed, as about half of the documents may be labelled; those that are give no second row.
-    pool = base.where(_chance("doc_id", 0.97 * unlabelled / max(1, n_docs))).join(known.select("l_id"), F.col("doc_id") == F.col("l_id"), "left_anti").withColumn("good", F.lit(None).cast("double"))
+def packed(features: np.ndarray) -> bytes:
+    """Sorted features as steps, which compress well."""
+    return np.diff(features, prepend=np.uint32(0)).astype("<u4").tobytes()
+
+
+def unpacked(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, "<u4"), dtype=np.uint32)
+
+
+def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, tuple] = {}
+    for batch in batches:
+        for part in slices(batch, "text", 2_000_000):
+            words, numbers = [], []
+            for text in part.column("text").to_pylist():
+                text, found = text or "", set()
+                if len(known) > 100_000:
+                    known = {}
+                for token in set(text.lower().split()):
+                    own = known.get(token)
+                    if own is None:
+                        own = tuple(word_features(token))
+                        if len(own) <= 16:
+                            known[token] = own
+                    found.update(own)
+                words.append(packed(np.sort(np.fromiter(found, "<u4", len(found)))))
+                numbers.append(layout(text.encode()))
+            cols = [part.column("doc_id"), pa.array(words, pa.binary()), part.column("lang"), part.column("source"), pa.array(numbers, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "words", "lang", "source", "numbers"])
+
 
-    def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NUMBERS))
+
+
+def bin_edges(made: DataFrame) -> list[np.ndarray]:
+    """Quantiles of the numbers over all documents, from counts of their values to ten bits of precision."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for who, text, lang, source, good in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source", "good")], strict=True):
-                text = text or ""
-                words = sorted({f for t in set(text.lower().split()) for f in word_features(t)})
-                rows.append((who, np.array(words, "<u4").tobytes(), lang, source, layout(text.encode()), good))
-            cols = list(zip(*rows, strict=True))
-            kinds = (batch.schema.field("doc_id").type, pa.binary(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.float64())
-            if cols:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "words", "lang", "source", "numbers", "good"])
+            keys = (_numbers(batch.column(0)).astype(np.float32).view(np.int32) >> 13).astype(np.int64) + (np.arange(len(NUMBERS)) << 32)
+            found, n = np.unique(keys, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    table = made.select("numbers").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow().sort_by("key")
+    keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+    edges = []
+    for k in range(len(NUMBERS)):
+        own = keys >> 32 == k
+        total = np.cumsum(n[own])
+        at = np.searchsorted(total, np.linspace(0, 1, BINS + 1)[1:-1] * (total[-1] if len(total) else 0))
+        edges.append(np.unique(((keys[own][at] & 0xFFFFFFFF).astype(np.int32) << 13).view(np.float32)).astype(float) if own.any() else np.zeros(0))
+    return edges
+
+
+def exchanged(pool: DataFrame, edges: list, views: list[View]) -> list[np.ndarray]:
+    """For each view the (bad, good) counts of its features over the documents of ``pool`` that the other view is sure of."""
+    spaces = (SPACE + 1, META_SPACE + 1)
+    shared = pool.sparkSession.sparkContext.broadcast(views)
+
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros((2, n), np.int64) for n in spaces]
+        for batch in batches:
+            words = Rows.of([unpacked(w) for w in batch.column(0).to_pylist()])
+            meta = Rows.of([meta_features(edges, *x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), _numbers(batch.column(3)).tolist(), strict=True)])
+            rows = (words, meta)
+            for k in (0, 1):
+                p = _sigmoid(shared.value[1 - k].logit(rows[1 - k]))
+                times = np.diff(rows[k].starts)
+                for good, sure in enumerate((p <= 1 - SURE, p >= SURE)):
+                    counts[k][good, :-1] += np.bincount(rows[k].features[np.repeat(sure, times)], minlength=spaces[k] - 1)
+                    counts[k][good, -1] += int(sure.sum())
+        for k in (0, 1):
+            for good in (0, 1):
+                at = np.flatnonzero(counts[k][good])
+                yield pa.RecordBatch.from_arrays([pa.array(at + ((2 * k + good) << 32)), pa.array(counts[k][good][at])], names=["key", "n"])
+
+    table = pool.select("words", "lang", "source", "numbers").mapInArrow(teach, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+    out = [np.zeros((2, size), np.int64) for size in spaces]
+    for k in (0, 1):
+        for good in (0, 1):
+            own = keys >> 32 == 2 * k + good
+            out[k][good][keys[own] & 0xFFFFFFFF] = n[own]
+    return out
+
 
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
+    spark = docs.sparkSession
+    known = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").alias("l_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double").alias("good"))
+    n_known = known.count()
+    if not n_known:
+        return Model(0.5)
     kind = dict(docs.dtypes)["doc_id"]
-    made = with_label.union(pool.select(with_label.columns)).mapInArrow(featurize, f"id {kind}, words binary, lang string, source string, numbers array<double>, good double").toArrow()
-    order = np.argsort(np.array([zlib.crc32(str(i).encode()) for i in made.column("id").to_pylist()], np.int64), kind="stable")
-    made = made.take(pa.array(order))
-    cols = [made.column(c).to_pylist() for c in ("words", "lang", "source", "numbers", "good")]
-    del made
-    return train([(np.frombuffer(w, "<u4"), *rest) for w, *rest in zip(*cols, strict=True)])
+    path = f"{shared_dir(spark)}/tidelog/quality-{uuid.uuid4().hex}"
+    made = docs.select("doc_id", "text", "lang", "source").mapInArrow(_featurize, f"id {kind}, words binary, lang string, source string, numbers array<double>")
+    made.write.option("compression", "zstd").parquet(path)
+    made = spark.read.schema(made.schema).parquet(path)
+    made._tidelog_path = path
+    edges = bin_edges(made)
+    chosen = known.where(_chance("l_id", 0.97 * labelled / max(1, n_known))).groupBy("l_id").agg(F.min("good").alias("good"))
+    sample = made.join(F.broadcast(chosen), F.col("id") == F.col("l_id")).drop("l_id").toArrow()
+    order = np.argsort(np.array([zlib.crc32(str(i).encode()) for i in sample.column("id").to_pylist()], np.int64), kind="stable")
+    sample = sample.take(pa.array(order))
+    cols = [sample.column(c).to_pylist() for c in ("words", "lang", "source", "numbers", "good")]
+    del sample
+    pool = made.join(known.select("l_id"), F.col("id") == F.col("l_id"), "left_anti")
+    model = train([(unpacked(w), *rest) for w, *rest in zip(*cols, strict=True)], edges, lambda views: exchanged(pool, edges, views))
+    discard(made)
+    return model
 
 
 class Scorer:
@@ -278,11 +367,11 @@ class Scorer:
         return tuple(float(_sigmoid(np.array(x))) for x in (a, b, both))
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """``docs`` with a struct column ``verdict`` (content, meta, score, kept) after the others."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    model = spark.sparkContext.broadcast(fit(docs, labels, labelled, unlabelled))
+    model = spark.sparkContext.broadcast(fit(docs, labels, labelled))
     row = F.struct(*[docs[c] for c in docs.columns])
     base = docs.select(row.alias("row"), F.col("text").alias("text"), F.col("lang").alias("lang"), F.col("source").alias("source"))
 
