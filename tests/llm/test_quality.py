@@ -63,3 +63,8 @@ def test_every_unlabelled_document_teaches(spark):
     taught = seen[-1][1][0]
     assert taught[:, -1].sum() > 4500 and (taught[:, :-1].max(axis=1) <= taught[:, -1]).all()
     assert model.content.weights[quality.zlib.crc32(b"p5rarew") % quality.SPACE] < 0
+
+
+def test_every_word_of_a_token_is_seen():
+    joined = quality.word_features("one,two,three,four,vile")
+    assert set(quality.word_features("vile")[1:]) <= set(joined) and quality.word_features("vile")[1] in joined

@@ -49,7 +49,7 @@ NUMBERS = ("chars", "lines", "words", "upper", "digits", "signs", "loud", "lengt
 def word_features(token: str) -> list[int]:
     """Places of a token's features in the content space."""
     out = [zlib.crc32(b"t" + token.encode()) % SPACE]
-    for letters in _LETTERS.findall(token)[:3]:
+    for letters in _LETTERS.findall(token):
         out.append(zlib.crc32(b"w" + letters.encode()) % SPACE)
         for n in (4, 5):
             if len(letters) > n:
