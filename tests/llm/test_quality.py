@@ -68,3 +68,10 @@ def test_every_unlabelled_document_teaches(spark):
 def test_every_word_of_a_token_is_seen():
     joined = quality.word_features("one,two,three,four,vile")
     assert set(quality.word_features("vile")[1:]) <= set(joined) and quality.word_features("vile")[1] in joined
+
+
+def test_without_a_model_every_document_stays(spark):
+    docs = spark.createDataFrame(corpus(60)[0], cases.SCHEMA)
+    for known in ([(i, 0, 0) for i in range(40)], [(i, int(i < 3), 0) for i in range(10)]):
+        labels = spark.createDataFrame(known, "doc_id bigint, quality int, toxic int")
+        assert all(r.verdict.kept for r in quality.classify(docs, labels).collect())

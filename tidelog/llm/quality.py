@@ -12,7 +12,8 @@ The regressions take at most about ``LABELLED`` labelled documents, chosen by a
 quantiles and all scores, covers all documents and whole texts; features are made once, into a table in the shared folder.
 
 Null texts are empty, null languages and sources are values of their own, labels with a null are not used, repeated rows are scored alike.
-Without good or without bad labels every document gets the share of good labels (one half if none) and stays. An empty
+Without good or without bad labels, or with under 20 sampled labels, nothing is fitted: every document gets the share of good
+labels (one half if none) and stays. An empty
 table gives no rows. Extra columns pass through in ``classify`` whatever their names.
 """
 
@@ -371,7 +372,9 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Da
     """``docs`` with a struct column ``verdict`` (content, meta, score, kept) after the others."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    model = spark.sparkContext.broadcast(fit(docs, labels, labelled))
+    found = fit(docs, labels, labelled)
+    fitted = found.content is not None
+    model = spark.sparkContext.broadcast(found)
     row = F.struct(*[docs[c] for c in docs.columns])
     base = docs.select(row.alias("row"), F.col("text").alias("text"), F.col("lang").alias("lang"), F.col("source").alias("source"))
 
@@ -383,7 +386,7 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["row", "content", "meta", "score"])
 
     out = base.mapInArrow(score, f"row {base.schema['row'].dataType.simpleString()}, content double, meta double, score double")
-    verdict = F.struct("content", "meta", "score", (F.col("score") >= 0.5).alias("kept")).alias("verdict")
+    verdict = F.struct("content", "meta", "score", (F.col("score") >= 0.5 if fitted else F.lit(True)).alias("kept")).alias("verdict")
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], verdict)
 
 
