@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm import cases
 from tidelog.llm import packing
@@ -50,8 +51,11 @@ def test_tokens_equal_the_tokenizer():
     rng = random.Random(2)
     odd = ["it's I'LL don'T 12a3 <|endoftext|>x", "ΟΔΟΣ İstanbul ﬁ 中文字 é", "ª º ² ½ ß ŉ", "", " \n", "'s't're'd", "a\x1cb \x85 c"]
     odd += ["".join(rng.choice("aAzÉñ'’.,;!?-_<|>01 \n\t́ßİſKÅ²ªΣ") for _ in range(50)) for _ in range(500)]
-    for text in odd:
-        assert np.frombuffer(tokens.of(text), "<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids, text
+    odd += ["".join(chr(rng.choice((rng.randrange(0x20, 0x250), rng.randrange(0x250, 0x3000), 0x27, 0x20))) for _ in range(60)) for _ in range(500)]
+    odd += ["".join(chr(x) for x in range(1, 0x250) if x != 0x20), None]
+    for at in range(0, len(odd), 50):
+        for text, ids in zip(odd[at : at + 50], tokens.of(pa.array(odd[at : at + 50], pa.string())), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokens.tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
 def test_ids_round_trip_and_empty(spark):

@@ -13,86 +13,97 @@ An empty table gives no rows. Texts are tokenized whole. Only ``id_col`` and ``t
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import keyed_runs, read_table, written
+from tidelog.llm.common import keyed_runs, read_table, slices, written
 
 WINDOW = 2048
 END_ID = 1
 FAN_IN = 64
 TOKENIZER = "word_bpe_49k.json"
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The tokenizer's own cuts; chunks of other letters than Latin ones, or with a letter that lower-cases to two, are left to it.
+_CUT = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^ \p{L}\p{N}]+)"
+_SPACES = "[\u0085\u00a0]"
+_HARD = r"[^\x00-\x{24F}]|\x{130}|<\|"
+#: The tokenizer's model sees bytes as characters: printable ones of Latin-1 as they are, the others from U+0100 on.
+_UNSEEN = re.compile("[\x00-\x09\x0b-\x20\x7f-\xa0\xad]")
+_BYTE_CHARS = {chr(x): chr(256 + k) for k, x in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 
 class Tokens:
     """The ids of a lower-casing word BPE tokenizer as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so the ids of a text are those of its chunks between
-    white space, and a chunk of Latin letters, digits and signs is the ids of its pieces. Chunks and pieces are kept in
-    caches that start anew when they are full.
+    white space, and a chunk of Latin letters, digits and signs is the ids of its pieces, which go straight to the
+    tokenizer's model. Texts are cut by columns: each distinct chunk is cut once, each distinct piece looked up once. Ids of
+    pieces are kept in a cache of two generations: a full one becomes the old one.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        """Ids of unseen pieces, many in one call."""
-        for at in range(0, len(pieces), 256):
-            part = pieces[at : at + 256]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            raw, words = np.array(got.ids, "<u4").tobytes(), np.array(got.word_ids)
-            if len(words) and words[-1] == len(part) - 1:
-                cuts = [0, *(4 * np.flatnonzero(np.diff(words)) + 4).tolist(), len(raw)]
-                self.pieces.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
-            else:
-                self.pieces.update((piece, self.whole(piece)) for piece in part)
-
-    @staticmethod
-    def cut(word: str) -> list[str]:
-        """The pieces of a lower-cased Latin chunk."""
-        if word.isalpha():
-            return [word]
-        if word[:-1].isalpha() and word[-1] in ".,;:!?":
-            return [word[:-1], word[-1]]
-        return _PIECES.findall(word)
-
-    def of(self, text: str) -> bytes:
-        chunks = text.encode().split()
-        out = list(map(self.chunks.get, chunks))
-        if None in out:
-            if len(self.chunks) > self.most:
-                self.chunks = {}
-            if len(self.pieces) > self.most:
-                self.pieces = {}
-            known, pieces = self.chunks, self.pieces
-            cut: dict[bytes, list[str]] = {}
-            for chunk in {c for c, ids in zip(chunks, out, strict=True) if ids is None}:
-                word = chunk.decode()
-                if b"<|" in chunk or max(word) >= "ɐ":
-                    known[chunk] = self.whole(word)
-                else:
-                    cut[chunk] = self.cut(word.lower())
-            self.learn([p for p in {p for own in cut.values() for p in own} if p not in pieces])
-            for chunk, own in cut.items():
-                known[chunk] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
-            out = [known[c] if ids is None else ids for c, ids in zip(chunks, out, strict=True)]
-        return b"".join(out)
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct lower-cased pieces."""
+        young, old = self.young, self.old
+        young[""] = b""
+        out = list(map(young.get, pieces))
+        unknown = [p for p, ids in zip(pieces, out, strict=True) if ids is None]
+        new = [p for p in unknown if p not in old]
+        young.update((p, old[p]) for p in (unknown if len(new) < len(unknown) else ()) if p in old)
+        if new:
+            seen = "\n".join(new).encode().decode("latin-1")
+            seen = _UNSEEN.sub(lambda m: _BYTE_CHARS[m[0]], seen)
+            model = self.tokenizer.model
+            young.update(zip(new, [array("I", [t.id for t in model.tokenize(x)]).tobytes() for x in seen.split("\n")], strict=True))
+        if unknown:
+            out = list(map(young.get, pieces))
+        if len(young) > self.most:
+            self.old, self.young = young, {}
+        return out
+
+    def chunks(self, chunks: pa.Array) -> pa.Array:
+        """Ids of each chunk."""
+        hard = pc.match_substring_regex(chunks, _HARD)
+        plain = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(hard, "", chunks)), _SPACES, " ")
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, _CUT, r" \1 "))
+        pieces = lists.flatten().dictionary_encode()
+        out = _joined(pa.array(self.pieces(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(pieces.indices), lists)
+        if pc.any(hard).as_py():
+            out = pc.replace_with_mask(out, hard, pa.array([self.whole(x) for x in chunks.filter(hard).to_pylist()], pa.large_binary()))
+        return out
+
+    def of(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, null ones as empty."""
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        words = lists.flatten().dictionary_encode()
+        return _joined(self.chunks(words.dictionary).take(words.indices), lists).to_pylist()
+
+
+def _joined(values: pa.Array, lists: pa.Array) -> pa.Array:
+    """The values of each list in one: they lie side by side."""
+    if not len(values):
+        return pa.array([b""] * len(lists), pa.large_binary())
+    _, offsets, data = values.buffers()
+    cuts = np.frombuffer(offsets, np.int64, len(values) + 1)[np.asarray(lists.offsets)]
+    return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(cuts), data if data is not None else pa.py_buffer(b"")])
 
 
 class Packer:
@@ -191,10 +202,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         tokens, packer, n, rows = Tokens(tokenizer_path), Packer(window, open_windows), 0, None
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, "text", 6_000_000)):
             rows = rows or _Rows(batch.schema.field(0).type, keep_ids)
-            for who, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokens.of(text.as_py() or "") + closing
+            for who, own in zip(batch.column(0).to_pylist(), tokens.of(batch.column(1)), strict=True):
+                ids = own + closing
                 for done in packer.place(who, 0, ids, len(ids) // 4):
                     rows.add((part << 32) + n, done)
                     n += 1
