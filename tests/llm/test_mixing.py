@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -51,6 +52,36 @@ def test_tree_does_not_depend_on_partitions(spark, monkeypatch):
     assert a == b and len(a) == 900
 
 
+def test_small_groups_are_settled_by_exchanges(monkeypatch):
+    made = []
+    real = mixing.exchange
+    monkeypatch.setattr(mixing, "exchange", lambda *x: made.append(x) or real(*x))
+    rng = random.Random(1)
+    rows = [(f"m{i}", rng.randint(1, 2000), 0.37) for i in range(50)]
+    words = {m: w for m, w, _ in rows}
+    want = sum(w * p for _, w, p in rows)
+    mean, misses = Counter(), []
+    for seed in range(400):
+        left = mixing.reduce_group(rows, seed, False)
+        assert sum(not mixing._integral(p) for p in left.values()) <= 1
+        assert sum(words[m] * p for m, p in left.items()) == pytest.approx(want)
+        out = mixing.reduce_group(rows, seed, True)
+        assert set(out.values()) <= {0.0, 1.0}
+        misses.append(abs(sum(words[m] * p for m, p in out.items()) - want))
+        mean.update(out)
+    assert len(made) >= 2 * 400 * 30
+    assert max(misses) <= 0.02 * want
+    assert sum(mean.values()) / 400 / 50 == pytest.approx(0.37, abs=0.02)
+    assert all(0.2 < mean[m] / 400 < 0.54 for m in words)
+
+
+def test_a_document_that_outweighs_its_source_is_made_up_for():
+    rows = [("big", 20_000, 0.3)] + [(f"m{i}", 100, 0.3) for i in range(49)]
+    for seed in range(20):
+        out = mixing.reduce_group(rows, seed, True)
+        assert abs(sum(w * out[m] for m, w, _ in rows) - 7470) <= 7470 - 4900
+
+
 def test_exchange_keeps_words_and_expectation():
     for p, a, q, b in ((0.3, 10, 0.6, 7), (0.9, 3, 0.8, 50), (0.1, 5, 0.1, 5)):
         down = min(a * p, b * (1 - q))

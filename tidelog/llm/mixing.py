@@ -4,18 +4,19 @@ Sources in code point order (null last) weigh 1, 2, 3, repeating. Targets share
 ``most`` times the source's size, and the excess is shared again by weight: with sources in order of size by weight, a
 running share decides which stop. Each document's expected copies are target / source size; the whole part is taken and the
 fraction is a probability. Two fractional documents exchange words, in a random direction that keeps both expectations
-and the sum of words, until one of them is integral. Groups of a source's documents, dealt by hash, leave HELD waiting units
-and one fractional one at most; those meet in a tree of FAN_IN groups a step, and the source's last ones are rounded from the
-largest down, each making up for the error so far. A source's words so end within half of a small document of its target,
-and reruns agree however the rows are partitioned, since group, order and chance come from hashes of the rows.
+and the sum of words, until one of them is integral. A source's documents are dealt by hash to groups of about PER_GROUP; each
+group goes from its largest documents to its smallest, so that the one that stays fractional is a small one. These residuals meet in a
+tree of FAN_IN groups a step, until a source has one. That one is rounded, and where it is so large that no smaller ones could settle
+it, what it misses is made up by turning over documents of its last group, each time the one that fits best. So a source's words end near
+its target, and reruns agree however the rows are partitioned, since group, order and chance come from hashes of the rows.
 
 Rows equal in id, source and text are one unit: they get the same copies and weigh together. Null text has size 0, null
-sources form a source of their own, null ids are allowed. An empty table gives no rows. Other columns are not read.
+sources form a source of their own, null ids are allowed. Ties of size go by hash. Texts are counted whole, however long. An empty
+table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,13 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import blocks_of, keyed_runs, read_table, written
+from tidelog.llm.common import keyed_runs, read_table, written
 
 FAN_IN = 64
-PER_GROUP = 4096
+PER_GROUP = 1024
 MOST = 3
-#: Units of a group that wait for the next step, so that the last step has small ones to even out with.
-HELD = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -67,26 +66,34 @@ def settle(rows: Iterator[tuple[str, float, float]], seed: int) -> Iterator[tupl
         yield held[0], held[2]
 
 
-def diffuse(rows: list[tuple[str, float, float]]) -> Iterator[tuple[str, float]]:
-    """Every (mark, words, probability) rounded, the largest first, each making up for the error so far."""
-    error = 0.0
-    for mark, words, p in sorted(rows, key=lambda x: (-x[1], x[0])):
-        want = words * p + error
-        taken = float(want >= words / 2)
-        error = want - words * taken
-        yield mark, taken
+def even_out(units: list[tuple[str, float, float]], error: float) -> tuple[float, dict[str, float]]:
+    """What is left of ``error`` words too many or too few after turning over integral (mark, words, probability) units, and those."""
+    now = {m: (w, p) for m, w, p in sorted(units)}
+    out: dict[str, float] = {}
+    while now:
+        mark = min(now, key=lambda m: abs(error + now[m][0] * (1 - 2 * now[m][1])))
+        words, p = now[mark]
+        if abs(error + words * (1 - 2 * p)) >= abs(error):
+            break
+        error += words * (1 - 2 * p)
+        out[mark] = 1.0 - p
+        now[mark] = (words, 1.0 - p)
+    return error, out
 
 
 def reduce_group(rows: list[tuple[str, float, float]], seed: int, last: bool) -> dict[str, float]:
-    """New probabilities of a group's units: the first HELD fractional ones stay for the next step, one more at most with them."""
-    open_rows = [x for x in rows if x[1] and not _integral(x[2])]
-    held, rest = open_rows[:HELD], open_rows[HELD:]
+    """New probabilities of a group's (mark, words, probability) units: one at most stays fractional, none in the last step."""
+    words = {m: w for m, w, _ in rows}
     out = {m: float(p >= 0.5) for m, w, p in rows if not w or _integral(p)}
-    words = {m: w for m, w, _ in rest}
-    settled = dict(settle(iter(rest), seed))
-    left = held + [(m, words[m], p) for m, p in settled.items() if not _integral(p)]
-    out |= settled
-    out |= dict(diffuse(left)) if last else {m: p for m, _, p in left}
+    fractional = [x for x in rows if x[0] not in out]
+    out |= dict(settle(iter(sorted(fractional, key=lambda x: (-x[1], x[0]))), seed))
+    left = [m for m, _, _ in fractional if not _integral(out[m])]
+    if last and left:
+        (m,) = left
+        others = [(x, words[x], out[x]) for x, _, _ in fractional if x != m]
+        tries = [(p, *even_out(others, words[m] * (p - out[m]))) for p in sorted((0.0, 1.0), key=lambda p: abs(p - out[m]))]
+        p, _, turned = min(tries, key=lambda x: abs(x[1]))
+        out |= turned | {m: p}
     return out
 
 
@@ -116,21 +123,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint")
     rows = written(marked(docs, id_col, source_col, text_col).select("mix_mark", F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mixing-rows")
     units = rows.groupBy("mix_mark", "source").agg((F.sum("size")).alias("words"))
-    sources = with_targets(units.groupBy("source").agg(F.sum("words").alias("source_size")))
+    sizes = units.groupBy("source").agg(F.sum("words").alias("source_size"), F.count("*").alias("units"))
+    targets = with_targets(sizes.select("source", "source_size")).withColumnsRenamed({"source": "s", "source_size": "words"})
+    sources = sizes.join(targets, F.col("source").eqNullSafe(F.col("s"))).select("source", "source_size", "target", F.ceil(F.col("units") / PER_GROUP).alias("groups"))
     sources = written(sources, "mixing-sources")
-    groups = blocks_of(docs.sparkSession, rows.count(), PER_GROUP)
+    groups = sources.agg(F.coalesce(F.max("groups"), F.lit(1))).first()[0]
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     s = sources.withColumnRenamed("source", "s")
-    start = units.join(s, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumns({"whole": F.floor(rate + 1e-12).cast("int"), "p": F.greatest(rate - F.floor(rate + 1e-12), F.lit(0.0)), "bucket": F.pmod(F.xxhash64("mix_mark", F.lit(seed)), F.lit(groups))})
-    columns = ["mix_mark", "source", "source_size", "target", "whole", "words", "p", "bucket", "decided"]
+    start = units.join(s, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumns({"whole": F.floor(rate + 1e-12).cast("int"), "p": F.greatest(rate - F.floor(rate + 1e-12), F.lit(0.0)), "bucket": F.pmod(F.xxhash64("mix_mark", F.lit(seed)), F.col("groups"))})
+    columns = ["mix_mark", "source", "source_size", "target", "groups", "whole", "words", "p", "bucket", "decided"]
     now = start.withColumn("decided", F.lit(False)).select(columns)
-    levels = 1 + max(0, math.ceil(math.log(groups, FAN_IN)))
-    done = []
-    for level in range(levels):
-        last = level == levels - 1
+    done: list[DataFrame] = []
+    while not done or groups > FAN_IN ** (len(done) - 1):
+        level = len(done)
 
-        def step(batches: Iterator[pa.RecordBatch], level: int = level, last: bool = last) -> Iterator[pa.RecordBatch]:
+        def step(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
             for _, rows in keyed_runs(batches, "deal"):
+                last = rows.column("groups")[0].as_py() <= FAN_IN**level
                 rows = rows.drop_columns(["deal"])
                 marks = rows.column("mix_mark").to_pylist()
                 if len(set(marks)) != len(marks):
