@@ -56,6 +56,54 @@ def test_cut_shards_lose_nothing(spark, monkeypatch):
     assert sum(n for _, n in got) >= 0.99 * sum(n for _, n in want) and all(a[1] <= b[1] for a, b in zip(got, want))
 
 
+def test_one_great_cluster_in_parts_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "MOST", 150)
+    monkeypatch.setattr(embedding_dedup, "MOST_ASKING", 100)
+    monkeypatch.setattr(embedding_dedup, "PER_SHARD", 300)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(size=(900, 16)) * 0.03, rng.normal(size=(200, 16))])
+    rows = [(i, v.astype("float32").tolist(), 0) for i, v in enumerate(x)]
+    out, recall = embedding_dedup.audited(spark.createDataFrame(rows, SCHEMA))
+    got = {r.id: (r.n_links, r.component_id) for r in out.collect()}
+    want = {i: (n, c) for i, n, c in slow_wide(rows, 16)}
+    assert recall >= 0.95 and {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in want.items()}
+    assert all(got[i][0] <= want[i][0] for i in got) and sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+
+
+def slow_wide(rows, width):
+    x = np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = x @ x.T >= 0.95
+    label = np.arange(len(rows))
+    while (new := np.where(links, label[None, :], len(rows)).min(axis=1)).tolist() != label.tolist():
+        label = new
+    return [(rows[k][0], int(links[k].sum()) - 1, rows[label[k]][0]) for k in range(len(rows))]
+
+
+def test_a_search_that_finds_nothing_ends_in_an_exact_scan(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PER_SHARD", 200)
+    monkeypatch.setattr(embedding_dedup, "DEGREE", 1)
+    monkeypatch.setattr(embedding_dedup, "FAR", 1)
+    monkeypatch.setattr(embedding_dedup, "BEAM", 1)
+    monkeypatch.setattr(embedding_dedup, "LEAST_RECALL", 1.01)
+    rows = vectors()
+    out, recall = embedding_dedup.audited(spark.createDataFrame(rows, SCHEMA))
+    want = slow(rows)
+    assert recall == 1.0
+    assert sorted(((r.id, r.n_links, r.component_id) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_doubles_are_compared_as_doubles_and_other_columns_do_not_clash(spark):
+    from pyspark.sql import functions as F
+
+    # In single precision both pairs have the same cosine.
+    c = 0.95
+    rows = [(1, [1.0, 0.0]), (2, [c + 1e-9, math.sqrt(1 - (c + 1e-9) ** 2)]), (3, [c - 1e-9, -math.sqrt(1 - (c - 1e-9) ** 2)])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({x: F.lit(1) for x in ("id", "key", "vector", "node", "weight", "near", "sound", "place")})
+    got = {r.id: r.component_id for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_empty_and_lonely(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     one = embedding_dedup.near_duplicates(spark.createDataFrame([(5, [1.0, 0.0], 1)], SCHEMA)).first()

@@ -8,17 +8,20 @@ beam from the shard's medoid, then range expansion, which follows the neighbours
 threshold until nothing new turns up. What is found is verified in double precision. A node found in two of the shards a
 vector asks counts only in the first, so degrees add up without listing pairs; links are kept as a spanning forest per task.
 
-Recall is audited against brute force over all vectors for a bounded sample of queries; below ``LEAST_RECALL`` the
-search is repeated with twice the probes and twice the beam. A shard above ``MOST`` nodes is cut by hash into parts
-that its queries all visit, so a task's memory is bounded and no link is lost.
+Recall is audited against brute force over all vectors for a bounded sample of queries, one half of them at random and one half
+among those with a link, and logged; below ``LEAST_RECALL`` the search is repeated with twice the probes and twice the beam, at last with all
+shards and a scan of them instead of the graph, which is exact. A shard above ``MOST`` nodes is cut by hash into parts
+that its queries all visit, and its queries into slices of about ``MOST_ASKING``, so a task's memory is bounded and no link is lost.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components link with nothing. Null
-vec_ids take part, a component's id is its smallest id that is not null. Repeated rows are vectors of their own. An empty
-table gives no rows. Only ``id_col`` and ``vector_col`` are read.
+vec_ids take part, a component's id is its smallest id that is not null. Repeated rows are vectors of their own, and any number of
+equal or near vectors keeps all its links. Components of other types than float are compared as doubles. Vectors of any length
+are read whole. An empty table gives no rows. Only ``id_col`` and ``vector_col`` are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,7 @@ SAMPLE = 20_000
 PER_SHARD = 1500
 MOST_SHARDS = 4096
 MOST = 6000
+MOST_ASKING = 20_000
 BUILDS = 2
 PROBES = 4
 NEAREST = 48
@@ -43,6 +47,7 @@ BEAM = 20
 SLACK = 0.03
 AUDIT = 256
 LEAST_RECALL = 0.95
+_log = logging.getLogger(__name__)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -171,6 +176,11 @@ def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: float,
     return np.argwhere(sims[:, :n] >= least - 1e-3)
 
 
+def scan(x: np.ndarray, queries: np.ndarray, least: float) -> np.ndarray:
+    """(query, node) of all that lie at ``least`` or more."""
+    return np.argwhere(queries @ x.T >= least - 1e-3)
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
 
@@ -212,8 +222,22 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1]), pa.int32()), pa.array(values.ravel(), kind))
 
 
-def deal(vectors: DataFrame, index, parts: dict[int, int], probes: int) -> DataFrame:
-    """(place, shard, node, weight, asks, shards, vector): a row for each shard part that builds or is asked."""
+def tally(vectors: DataFrame, index, probes: int) -> dict[int, tuple[int, int]]:
+    """How many vectors each shard builds, and how many ask it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = index.value.nearest(_unit(_vectors(pa.chunked_array([batch.column(0)]))), probes) if batch.num_rows else np.empty((0, 1), np.int32)
+            built, asks = (np.bincount(x.ravel(), minlength=index.value.shards) for x in (near[:, :BUILDS], near))
+            at = np.flatnonzero(asks)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (at, built[at], asks[at])], names=["shard", "built", "asks"])
+
+    found = vectors.select("vector").mapInArrow(count, "shard bigint, built bigint, asks bigint").groupBy("shard").agg(F.sum("built").alias("built"), F.sum("asks").alias("asks"))
+    return {r.shard: (r.built, r.asks) for r in found.collect()}
+
+
+def deal(vectors: DataFrame, index, parts: dict[int, int], slices: dict[int, int], probes: int) -> DataFrame:
+    """(place, shard, node, weight, built, asks, near, vector): a row for each part and slice of a shard that a vector is built in or asks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,27 +245,32 @@ def deal(vectors: DataFrame, index, parts: dict[int, int], probes: int) -> DataF
             raw = _vectors(table.column("vector"))
             near = index.value.nearest(_unit(raw), probes)
             nodes = table.column("node").to_numpy()
-            take, place, shard, build = [], [], [], []
+            take, place, shard, build, ask = [], [], [], [], []
             for k in range(near.shape[1]):
                 for s in np.unique(near[:, k]).tolist():
-                    who = np.flatnonzero(near[:, k] == s)
-                    n = parts.get(s, 1)
-                    own = (nodes[who] * 0x9E3779B1 >> 7) % n if n > 1 else np.zeros(len(who), np.int64)
+                    every = np.flatnonzero(near[:, k] == s)
+                    n, m = parts.get(s, 1), slices.get(s, 1)
+                    part = (nodes[every] * 0x9E3779B1 >> 7) % n
+                    own = (nodes[every] * 0x85EBCA6B >> 9) % m
                     for p in range(n):
-                        take.append(who)
-                        place.append(np.full(len(who), (s << 20) + p))
-                        shard.append(np.full(len(who), s))
-                        build.append((own == p) & (k < BUILDS))
+                        for q in range(m):
+                            here = (own == q) | (part == p) & (k < BUILDS)
+                            who = every[here]
+                            take.append(who)
+                            place.append(np.full(len(who), (s << 40) + (p << 20) + q))
+                            shard.append(np.full(len(who), s))
+                            build.append(((part == p) & (k < BUILDS))[here])
+                            ask.append((own == q)[here])
             if not take:
                 continue
-            who, where, of, built = (np.concatenate(x) for x in (take, place, shard, build))
+            who, where, of, built, asks = (np.concatenate(x) for x in (take, place, shard, build, ask))
             rows = table.take(pa.array(who))
             for a in range(0, len(who), 10_000):
                 part = rows.slice(a, 10_000).combine_chunks()
                 b = slice(a, a + 10_000)
-                yield pa.RecordBatch.from_arrays([pa.array(where[b], pa.int64()), pa.array(of[b], pa.int32()), pa.array(nodes[who[b]], pa.int64()), part.column("weight").combine_chunks(), pa.array(built[b]), _lists(near[who[b]], pa.int32()), part.column("vector").combine_chunks()], names=["place", "shard", "node", "weight", "built", "near", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(where[b], pa.int64()), pa.array(of[b], pa.int32()), pa.array(nodes[who[b]], pa.int64()), part.column("weight").combine_chunks(), pa.array(built[b]), pa.array(asks[b]), _lists(near[who[b]], pa.int32()), part.column("vector").combine_chunks()], names=["place", "shard", "node", "weight", "built", "asks", "near", "vector"])
 
-    return vectors.select("node", "weight", "vector").mapInArrow(run, "place bigint, shard int, node bigint, weight bigint, built boolean, near array<int>, vector array<float>")
+    return vectors.select("node", "weight", "vector").mapInArrow(run, f"place bigint, shard int, node bigint, weight bigint, built boolean, asks boolean, near array<int>, vector {dict(vectors.dtypes)['vector']}")
 
 
 def _adjacency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,12 +281,15 @@ def _adjacency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[src], pa.int64()), pa.array(nodes[graph[src, slot]], pa.int64())], names=["node", "other"])
 
 
-def _searcher(least: float, beam: int):
+def _searcher(least: float, beam: int | None):
+    """Searches each place with that beam; without one, scans it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in keyed_runs(batches, "place"):
             built = table.column("built").to_numpy()
             inner = table.filter(pa.array(built))
-            if not inner.num_rows:
+            table = table.filter(pa.array(table.column("asks").to_numpy()))
+            if not inner.num_rows or not table.num_rows:
                 continue
             raw, raw_q = _vectors(inner.column("vector")), _vectors(table.column("vector"))
             x, queries = _unit(raw).astype(np.float32), _unit(raw_q).astype(np.float32)
@@ -275,13 +307,13 @@ def _searcher(least: float, beam: int):
             here = nodes[order][at] == flat
             a, b = src[here], order[at[here]]
             close = np.concatenate([np.zeros(0, np.float32), *[np.einsum("ij,ij->i", x[a[i : i + 200_000]], x[b[i : i + 200_000]]) for i in range(0, len(a), 200_000)]])
-            graph = padded(a, b, close, len(nodes), 4 * DEGREE) if len(a) else np.full((len(nodes), 1), len(nodes), np.int32)
+            graph = padded(a, b, close, len(nodes), 4 * DEGREE) if len(a) and beam else np.full((len(nodes), 1), len(nodes), np.int32)
             label = np.arange(len(nodes))
             step = max(16, min(256, 1_500_000 // len(nodes)))
             ids, counts, ea, eb = [], [], [], []
             for start in range(0, len(asking), step):
                 block = slice(start, start + step)
-                pairs = search(x, graph, queries[block], least, beam)
+                pairs = search(x, graph, queries[block], least, beam) if beam else scan(x, queries[block], least)
                 sure = np.concatenate([np.zeros(0, bool), *[cosines(raw_q[start + pairs[i : i + 50_000, 0]], raw[pairs[i : i + 50_000, 1]]) >= least for i in range(0, len(pairs), 50_000)]])
                 pairs = pairs[sure]
                 pairs = pairs[asking[start + pairs[:, 0]] != nodes[pairs[:, 1]]]
@@ -322,8 +354,14 @@ def _found(a: list, b: list, n: list) -> pa.RecordBatch:
 def audit(vectors: DataFrame, degrees: DataFrame, n: int, least: float) -> float:
     """The part of all links of a bounded sample of queries, by brute force over all vectors, that the search found."""
     spark = vectors.sparkSession
-    rate = int(min(1.0, 0.9 * AUDIT / max(1, n)) * (1 << 30))
-    picked = vectors.where(F.pmod(F.xxhash64("vector", F.lit("audit")), F.lit(1 << 30)) < rate).select("node", "vector").toArrow()
+
+    def some(df: DataFrame, rows: int) -> DataFrame:
+        rate = int(min(1.0, 0.45 * AUDIT / max(1, rows)) * (1 << 30))
+        return df.where(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 30)) < rate).select("node")
+
+    linked = degrees.where("degree > 0")
+    chosen = some(vectors, n).union(some(linked, linked.count())).distinct()
+    picked = vectors.join(chosen, "node", "left_semi").select("node", "vector").toArrow()
     if not picked.num_rows:
         return 1.0
     sample = spark.sparkContext.broadcast((picked.column("node").to_numpy(), _vectors(picked.column("vector"))))
@@ -345,10 +383,16 @@ def audit(vectors: DataFrame, degrees: DataFrame, n: int, least: float) -> float
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
+    return audited(rows, id_col, vector_col, least)[0]
+
+
+def audited(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95) -> tuple[DataFrame, float]:
+    """(id, n_links, component_id, kept) of every row, and the recall that the audit found."""
+    kind = "array<float>" if dict(rows.dtypes)[vector_col] == "array<float>" else "array<double>"
     v = F.col("vector")
     norm = F.aggregate(v, F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
     sound = F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & (norm > 0), F.lit(False))
-    base = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    base = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("vector"))
     keyed = written(base.withColumn("sound", sound).withColumn("key", F.when(F.col("sound"), F.md5(F.concat_ws(",", F.transform("vector", lambda e: e.cast("string")))))), "vectors")
     length = keyed.where("sound").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     usable = keyed.where(F.col("sound") & (F.size("vector") == F.lit(length.d if length else 0)))
@@ -361,29 +405,31 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
             at += batch.num_rows
 
     id_kind = dict(keyed.dtypes)["id"]
-    vectors = written(folded.mapInArrow(number, f"node bigint, key string, least_id {id_kind}, weight bigint, vector array<float>"), "vectors-distinct")
+    vectors = written(folded.mapInArrow(number, f"node bigint, key string, least_id {id_kind}, weight bigint, vector {kind}"), "vectors-distinct")
     spark = rows.sparkSession
     n = vectors.count()
     index = _Index(vectors, n)
     known = spark.sparkContext.broadcast(index)
     spread = 4 * spark.sparkContext.defaultParallelism
     even = vectors.repartition(spread, "node")
-    sizes = deal(even, known, {}, BUILDS).where("built").groupBy("shard").count().collect()
-    parts = {r.shard: -(-r["count"] // MOST) for r in sizes if r["count"] > MOST}
-    built = deal(even, known, parts, BUILDS).where("built").select("place", "node", "vector")
+    parts = {s: -(-built // MOST) for s, (built, _) in tally(even, known, BUILDS).items() if built > MOST}
+    built = deal(even, known, parts, {}, BUILDS).where("built").select("place", "node", "vector")
     edges = built.repartition(spread, "place").sortWithinPartitions("place").mapInArrow(_adjacency, "node bigint, other bigint")
     lists = written(edges.groupBy("node").agg(F.collect_set("other").alias("others")), "vectors-graph")
     probes, beam = PROBES, BEAM
     while True:
-        asked = deal(even, known, parts, probes)
+        slices = {s: -(-asks // MOST_ASKING) for s, (_, asks) in tally(even, known, probes).items() if asks > MOST_ASKING}
+        asked = deal(even, known, parts, slices, probes)
         dealt = asked.join(lists, "node", "left").withColumn("others", F.when(F.col("built"), F.coalesce("others", F.array().cast("array<bigint>"))).otherwise(F.array().cast("array<bigint>")))
         dealt = dealt.repartition(spread, "place").sortWithinPartitions("place", "node")
         found = written(dealt.mapInArrow(_searcher(least, beam), "a bigint, b bigint, n bigint"), "vectors-found")
         degrees = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("degree"))
-        if probes >= 8 * max(PROBES, index.shards) or audit(vectors.select("node", "weight", "vector"), degrees, n, least) >= LEAST_RECALL:
+        recall = audit(vectors.select("node", "weight", "vector"), degrees, n, least)
+        _log.info("recall %.4f with %d probes, beam %s", recall, probes, beam)
+        if recall >= LEAST_RECALL or beam is None:
             break
         discard(found)
-        probes, beam = 2 * probes, 2 * beam
+        probes, beam = (2 * probes, 2 * beam) if probes < index.shards else (probes, None)
     comps = components(found.where("b is not null").select("a", "b"), "vectors-links")
     comps = comps.withColumnRenamed("node", "c_node")
     ids = comps.join(vectors.select("node", "least_id"), F.col("c_node") == F.col("node")).groupBy("root").agg(F.min("least_id").alias("cid"))
@@ -391,12 +437,27 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = written(vectors.select("node", "key", "least_id", "weight").join(degrees, "node", "left").join(named, "node", "left").select("key", (F.coalesce("degree", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("cid", "least_id").alias("component")), "vectors-classes")
     out = keyed.select("id", "key").join(classes, "key", "left")
     out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))), recall
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+ORACLE = """
+WITH RECURSIVE sound AS (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) > 0),
+usual AS (SELECT len(e) AS d FROM sound GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1),
+v AS (SELECT sound.* FROM sound JOIN usual ON len(e) = d),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.row_id <> b.row_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reached AS (SELECT a AS vec_id, a AS other FROM links UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other),
+found AS (SELECT vec_id, min(other) AS least_id FROM reached GROUP BY vec_id),
+degrees AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least_id, vec_id) AS component_id, vec_id = coalesce(least_id, vec_id) AS kept
+FROM embeddings LEFT JOIN degrees USING (vec_id) LEFT JOIN found USING (vec_id)
+"""
+
 QUERIES = {"op9_embedding_dedup": op9_embedding_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_embedding_dedup": ORACLE}
