@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tests.llm import cases
 from tidelog.llm import quality
 
@@ -75,3 +77,30 @@ def test_without_a_model_every_document_stays(spark):
     for known in ([(i, 0, 0) for i in range(40)], [(i, int(i < 3), 0) for i in range(10)]):
         labels = spark.createDataFrame(known, "doc_id bigint, quality int, toxic int")
         assert all(r.verdict.kept for r in quality.classify(docs, labels).collect())
+
+
+def test_a_repeated_id_brings_one_row(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda labelled, *rest: seen.append(len(labelled)) or quality.Model(0.5))
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "a", 6) for i in range(60)], cases.SCHEMA)
+    many = spark.range(5000).select(F.lit(3).cast("bigint").alias("doc_id"), F.concat(F.lit("copy "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(6).cast("bigint").alias("n_chars"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    quality.fit(docs.union(many), labels)
+    assert 40 <= seen[0] <= 60
+
+
+def test_sums_do_not_depend_on_blocks():
+    rng = np.random.default_rng(1)
+    rows = quality.Rows.of([rng.integers(0, 50, rng.integers(0, 9)) for _ in range(300)])
+    weights, values = rng.normal(size=50), rng.normal(size=300)
+    lists = [rows.features[a:b] for a, b in zip(rows.starts[:-1], rows.starts[1:], strict=True)]
+    whole = quality.Rows.blocks
+    for most in (1, 7, 10_000):
+        quality.Rows.blocks = lambda self, most=most: whole(self, most)
+        try:
+            assert np.allclose(rows.dot(weights), [weights[x].sum() for x in lists])
+            assert np.allclose(rows.spread(values, 50), sum(np.bincount(x, minlength=50) * v for x, v in zip(lists, values, strict=True)))
+        finally:
+            quality.Rows.blocks = whole

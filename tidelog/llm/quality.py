@@ -8,7 +8,7 @@ teach the other: their features are counted by label, and the log odds of the co
 and are drawn back to. Calibration and the combination are fitted on labelled documents kept apart.
 A document is good if its quality is 1 and it is not toxic; ``kept`` is a combined probability of at least one half.
 
-The regressions take at most about ``LABELLED`` labelled documents, chosen by a hash of doc_id. Everything else, the exchange, the
+The regressions take at most about ``LABELLED`` labelled documents, chosen by a hash of doc_id, one row of each. Everything else, the exchange, the
 quantiles and all scores, covers all documents and whole texts; features are made once, into a table in the shared folder.
 
 Null texts are empty, null languages and sources are values of their own, labels with a null are not used, repeated rows are scored alike.
@@ -87,12 +87,27 @@ class Rows:
     def of(cls, lists: list) -> Rows:
         return cls(np.concatenate([np.asarray(x, np.uint32) for x in lists]).view(np.int32) if lists else np.empty(0, np.int32), np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64))
 
+    def blocks(self, most: int = 1 << 20) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        """(rows, features, starts of the rows within them) of about ``most`` features, so that no copy is as long as all of them."""
+        at = 0
+        while at < len(self.starts) - 1:
+            to = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + most, side="right")) - 1)
+            yield slice(at, to), slice(self.starts[at], self.starts[to]), self.starts[at : to + 1] - self.starts[at]
+            at = to
+
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        sums = np.concatenate(([0.0], np.cumsum(weights[self.features])))
-        return sums[self.starts[1:]] - sums[self.starts[:-1]]
+        out = np.zeros(len(self.starts) - 1)
+        for rows, own, starts in self.blocks():
+            sums = np.concatenate(([0.0], np.cumsum(weights[self.features[own]])))
+            out[rows] = sums[starts[1:]] - sums[starts[:-1]]
+        return out
 
     def spread(self, values: np.ndarray, space: int) -> np.ndarray:
-        return np.bincount(self.features, weights=np.repeat(values, np.diff(self.starts)), minlength=space)
+        """The sum of each feature's values over the rows that have it."""
+        out = np.zeros(space)
+        for rows, own, starts in self.blocks():
+            out += np.bincount(self.features[own], weights=np.repeat(values[rows], np.diff(starts)), minlength=space)
+        return out
 
     def take(self, which: np.ndarray) -> Rows:
         return Rows.of([self.features[self.starts[i] : self.starts[i + 1]] for i in which.tolist()])
@@ -121,8 +136,8 @@ class View:
 
     def fit(self, rows: Rows, good: np.ndarray, taught: np.ndarray | None = None, steps: int = 150, penalty: float = 0.03) -> None:
         n1, n0 = max(1.0, good.sum()), max(1.0, (1 - good).sum())
-        a = np.bincount(rows.features[np.repeat(good > 0.5, np.diff(rows.starts))], minlength=self.space)
-        b = np.bincount(rows.features, minlength=self.space) - a
+        a = rows.spread((good > 0.5).astype(float), self.space)
+        b = rows.spread((good <= 0.5).astype(float), self.space)
         p = (a + b) / (n1 + n0)
         z = (a / n1 - b / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
         chosen = (np.abs(z) >= self.least) & (a + b >= 4)
@@ -329,11 +344,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     made._tidelog_path = path
     edges = bin_edges(made)
     chosen = known.where(_chance("l_id", 0.97 * labelled / max(1, n_known))).groupBy("l_id").agg(F.min("good").alias("good"))
-    sample = made.join(F.broadcast(chosen), F.col("id") == F.col("l_id")).drop("l_id").toArrow()
+    # One row of each id: a repeated one brings no more rows to the driver than another.
+    sample = made.join(F.broadcast(chosen), F.col("id") == F.col("l_id")).groupBy("id").agg(F.min(F.struct("words", "lang", "source", "numbers", "good")).alias("row")).select("id", "row.*").toArrow()
     order = np.argsort(np.array([zlib.crc32(str(i).encode()) for i in sample.column("id").to_pylist()], np.int64), kind="stable")
     sample = sample.take(pa.array(order))
     cols = [sample.column(c).to_pylist() for c in ("words", "lang", "source", "numbers", "good")]
-    del sample
+    sample = None
     pool = made.join(known.select("l_id"), F.col("id") == F.col("l_id"), "left_anti")
     model = train([(unpacked(w), *rest) for w, *rest in zip(*cols, strict=True)], edges, lambda views: exchanged(pool, edges, views))
     discard(made)
