@@ -3,6 +3,7 @@ import hashlib
 import math
 
 import numpy as np
+import xxhash
 
 from tests.llm import cases
 from tidelog.llm import digests
@@ -36,25 +37,37 @@ def test_selection_matches_brute_force():
     assert digests.selected(ranks).tolist() == sorted(k for k, n in wins.items() if n >= digests.WINS)
 
 
-def slow_edits(rows):
-    import zstandard
+def signed_hash(text):
+    return (xxhash.xxh64_intdigest((text or "").encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
 
-    packer = zstandard.ZstdCompressor(level=3)
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), packer.compress((r[1] or "").encode())))
+
+def slow(rows):
+    """Everything from whole texts: counts, edits, digests and likenesses."""
+    of = lambda t: np.frombuffer(t.encode(), np.uint8)
+    counts = sum((np.bincount(digests.levels(of(r[1] or "")), minlength=digests.LEVELS) for r in rows), np.zeros(digests.LEVELS, np.int64))
+    rare = digests.rarity(counts)
+    made = lambda t: digests.digest(t.encode(), rare[digests.levels(of(t))])
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed_hash(r[1])))
     out = []
     for k, r in enumerate(order):
         text, after = r[1] or "", order[(k + 1) % len(order)][1] or ""
         n = len(text)
-        out.append((r[0], n, hashlib.sha256((text[: n - n // 3] + after[: n // 3]).encode()).hexdigest()))
+        edited = text[: n - n // 3] + after[: n // 3]
+        a, b, c = made(text), made(edited), made(after)
+        out.append((r[0], n, hashlib.sha256(edited.encode()).hexdigest(), a.text(), b.text(), round(digests.likeness(a, b), 9), round(digests.likeness(a, c), 9)))
     return out
 
 
+def rounded(got):
+    return sorted(((*r[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in got), key=str)
+
+
 def test_query_matches_brute_force(spark, monkeypatch):
     rows = cases.rows()
     for size in (digests.BUCKET_BYTES, 40_000, 3_000):
         monkeypatch.setattr(digests, "BUCKET_BYTES", size)
         got = digests.fingerprints(cases.clashing(spark)).collect()
-        assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == sorted(slow_edits(rows), key=str)
+        assert rounded(got) == sorted(slow(rows), key=str)
         by_text = collections.defaultdict(set)
         texts = {r[0]: r[1] for r in rows if r[0] is not None}
         for r in got:
@@ -65,6 +78,24 @@ def test_query_matches_brute_force(spark, monkeypatch):
     assert digests.fingerprints(cases.empty(spark)).count() == 0
 
 
+def test_one_id_over_many_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    same = text(60)
+    rows = [(i, text(40), "en", "a", 0) for i in (1, 2, 3, 2**63 - 1, -(2**63), 90)] + [(50, same, "en", "a", 0)] * 150 + [(50, text(30), "en", "a", 0) for _ in range(60)] + [(None, same, "en", "a", 0)] * 40
+    monkeypatch.setattr(digests, "BUCKET_BYTES", 4_000)
+    heads = []
+    real = digests.range_heads
+    monkeypatch.setattr(digests, "range_heads", lambda *x: heads.extend(real(*x)) or list(heads))
+    got = digests.fingerprints(spark.createDataFrame(rows, cases.SCHEMA).repartition(6)).collect()
+    assert len(set(heads)) < len(heads) > 10
+    assert rounded(got) == sorted(slow(rows), key=str)
+    heads.clear()
+    got = digests.fingerprints(spark.createDataFrame(rows[6:60], cases.SCHEMA).repartition(3)).collect()
+    assert len(set(heads)) == 1 < len(heads) and rounded(got) == sorted(slow(rows[6:60]), key=str)
+
+
 def test_likeness():
     text = cases.LONG.encode()
     counts = np.bincount(digests.levels(np.frombuffer(text, np.uint8)), minlength=digests.LEVELS)

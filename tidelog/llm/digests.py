@@ -8,12 +8,14 @@ Selected windows are hashed (XXH3, 128 bits) to five of 2048 bits; a filter take
 Likeness: each filter of the shorter chain meets the filter it overlaps most, as the part of the bits shared beyond
 chance; the mean is weighted by features. Equal digests have likeness 1.
 
-The next document is found by dealing texts, compressed, into ranges of doc_id; the head of each range also goes to the range
-before it, so every neighbour is met inside one task and texts are shuffled once.
+The next document is found by dealing texts, compressed, into ranges of (doc_id, hash of the text), which Spark's range exchange
+finds over these two numbers; the head of each range also goes to the range before it, so every neighbour is met inside one task and
+texts are shuffled once. Rows equal in both may fill several ranges: each but the last of them is then its own next. The driver
+holds the first key of each range, at most about ``MOST_BUCKETS``.
 
 Null texts are empty. An empty text has the empty digest, which is like itself (1) and nothing else (0); a text under 32 bytes
-is one feature. Equal doc_ids are ordered by their compressed texts, null ones come last. A single document is its own next.
-Whole texts are read. An empty table gives no rows. Only ``id_col`` (integers) and ``text_col`` are read.
+is one feature. Equal doc_ids are ordered by their texts' XXH64, null ones come last. A single document is its own next.
+Whole texts are read, however long. An empty table gives no rows. Only ``id_col`` (integers) and ``text_col`` are read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +43,7 @@ WINS = 8
 PER_FILTER = 160
 FILTER_BITS = 2048
 BUCKET_BYTES = 24_000_000
+MOST_BUCKETS = 100_000
 _BLOCK = 1 << 18
 _SCALE = 1 << 20
 _F = np.array([0] + [round(k * math.log2(k) * _SCALE) for k in range(1, WINDOW + 2)], np.int64)
@@ -139,13 +143,12 @@ def digest(data: bytes, ranks: np.ndarray) -> Digest:
     return Digest([data[p : p + WINDOW] for p in selected(ranks).tolist()])
 
 
-def level_counts(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int, int]:
-    """Windows at each level, bytes and documents of the whole table."""
+def level_counts(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
+    """Windows at each level and bytes of the whole table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, size, n = np.zeros(LEVELS, np.int64), 0, 0
+        counts, size = np.zeros(LEVELS, np.int64), 0
         for batch in batches:
-            n += batch.num_rows
             for part in slices(batch, batch.schema.names[0], 1_000_000):
                 datas = [(t.as_py() or "").encode() for t in part.column(0)]
                 joined, places = joined_levels(datas)
@@ -153,11 +156,11 @@ def level_counts(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int, int]:
                 for a, b in places:
                     counts += np.bincount(joined[a:b], minlength=LEVELS)
         keep = np.flatnonzero(counts)
-        rows = [*zip(keep.tolist(), counts[keep].tolist(), strict=True), (-1, size), (-2, n)]
+        rows = [*zip(keep.tolist(), counts[keep].tolist(), strict=True), (-1, size)]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], names=["level", "n"])
 
     found = {r.level: r.n for r in docs.select(text_col).mapInArrow(count, "level bigint, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    return np.array([found.get(k, 0) for k in range(LEVELS)], np.int64), found.get(-1, 0), found.get(-2, 0)
+    return np.array([found.get(k, 0) for k in range(LEVELS)], np.int64), found.get(-1, 0)
 
 
 def joined_levels(datas: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -167,6 +170,22 @@ def joined_levels(datas: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int]]
     return joined, [(e - len(d), max(e - len(d), e - WINDOW + 1)) for d, e in zip(datas, ends, strict=True)]
 
 
+def range_heads(keys: DataFrame, ranges: int) -> list[tuple]:
+    """The first key (null, ~id, h) of each range of the keys (id, h) in falling order of id; a key that fills ranges is repeated."""
+    order = [F.col("id").desc_nulls_last(), F.col("h").asc(), F.col("row").asc()]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1).select(["id", "h"])
+                break
+        for _ in batches:
+            pass
+
+    dealt = keys.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    return sorted((r.id is None, ~r.id if r.id is not None else 0, r.h) for r in dealt.mapInArrow(first, "id bigint, h bigint").collect())
+
+
 class _Doc:
     __slots__ = ("id", "text", "data", "ranks", "digest")
 
@@ -190,43 +209,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    counts, size, n = level_counts(source, "text")
-    buckets = blocks_of(spark, size, BUCKET_BYTES)
-    cuts = source.where("id is not null").approxQuantile("id", [i / buckets for i in range(1, buckets)], min(0.001, 0.1 / buckets)) if buckets > 1 and n else []
-    bounds = np.unique(np.array(cuts, np.int64))
+    counts, size = level_counts(source, "text")
     rare = spark.sparkContext.broadcast(rarity(counts))
-    last = len(bounds)
-
-    def bucket_of(ids: pa.Array) -> np.ndarray:
-        """Ranges of falling ids; null ids are in the last."""
-        values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        out = last - np.searchsorted(bounds, values, side="left")
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), last, out)
-
-    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, int | None] = {}
-        for batch in batches:
-            for b, i in zip(bucket_of(batch.column(0)).tolist(), batch.column(0).to_pylist(), strict=True):
-                if b not in best or i is not None and (best[b] is None or i > best[b]):
-                    best[b] = i
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.int64())], names=["bucket", "top"])
-
-    heads = sorted((r.bucket, r.top) for r in source.select("id").mapInArrow(tops, "bucket int, top bigint").groupBy("bucket").agg(F.max("top").alias("top")).collect())
-    before = {top: heads[k - 1][0] for k, (_, top) in enumerate(heads)}
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    heads = range_heads(source.select("id", h.alias("h")), blocks_of(spark, size, max(BUCKET_BYTES, size // MOST_BUCKETS)))
+    known = spark.sparkContext.broadcast(heads)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
+        packer, heads, met = zstandard.ZstdCompressor(level=3), known.value, {}
         for batch in batches:
             for part in slices(batch, "text"):
-                own, ids = bucket_of(part.column(0)).tolist(), part.column(0).to_pylist()
-                packed = [packer.compress((t.as_py() or "").encode()) for t in part.column(1)]
-                rows = list(zip(own, [False] * len(own), ids, packed, strict=True))
-                rows += [(before[i], True, i, z) for i, z in zip(ids, packed, strict=True) if i in before]
+                rows = []
+                for i, h, text in zip(part.column("id").to_pylist(), part.column("h").to_pylist(), part.column("text"), strict=True):
+                    key = (i is None, ~i if i is not None else 0, h)
+                    left, right = bisect_left(heads, key), max(0, bisect_right(heads, key) - 1)
+                    z = packer.compress((text.as_py() or "").encode())
+                    at = right
+                    if left < len(heads) and heads[left] == key:
+                        n = met[key] = met.get(key, 0) + 1
+                        if n == 1:
+                            rows.append(((left or len(heads)) - 1, True, i, h, z))
+                        # The first goes to the last range, so that one of them meets what comes after.
+                        at = right - (n - 1) % (right - left + 1)
+                    rows.append((at, False, i, h, z))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "guest", "id", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "guest", "id", "h", "z"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker, table = zstandard.ZstdDecompressor(), rare.value
+        unpacker, table, heads = zstandard.ZstdDecompressor(), rare.value, known.value
         held: _Doc | None = None
         at = None
         rows: list[tuple] = []
@@ -246,18 +256,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 datas = [unpacker.decompress(z.as_py()) for z in part.column("z")]
                 joined, places = joined_levels(datas)
                 for (a, b), data, bucket, guest, who in zip(places, datas, part.column("bucket").to_pylist(), part.column("guest").to_pylist(), part.column("id").to_pylist(), strict=True):
-                    if guest and held is None:
+                    if guest and (held is None or bucket != at):
                         continue
                     doc = _Doc(who, data.decode(), data, table[joined[a:b]])
                     if bucket != at:
+                        if held is not None:
+                            finish(held, held)
                         held, at = None, bucket
                     if held is not None:
                         finish(held, doc)
                     held = None if guest else doc
                 yield out()
+        # Only a range of equal rows, which ends without a guest, is left open.
+        if held is not None:
+            finish(held, held)
+            yield out()
 
-    dealt = source.mapInArrow(deal, "bucket int, guest boolean, id bigint, z binary").repartition(last + 1, "bucket")
-    sorted_rows = dealt.sortWithinPartitions(F.col("bucket"), F.col("guest"), F.col("id").desc_nulls_last(), F.col("z"))
+    dealt = source.withColumn("h", h).mapInArrow(deal, "bucket int, guest boolean, id bigint, h bigint, z binary").repartitionById(max(1, len(heads)), "bucket")
+    sorted_rows = dealt.sortWithinPartitions(F.col("bucket"), F.col("guest"), F.col("id").desc_nulls_last(), F.col("h"))
     return sorted_rows.mapInArrow(walk, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
