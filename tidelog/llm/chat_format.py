@@ -13,8 +13,9 @@ known states. So a conversation of any length is never gathered, and the labels
 Output is one row per source turn, with its fragment: what rendering adds with this turn. The fragments in order of position
 are the rendered conversation; a merged run is never one string. Marker openings "<|" inside texts are written "< |".
 
-Null texts are empty, null or unknown roles are free to label, null turns come last, ties go by role and text, null conv_ids
-form one conversation. Repeated rows are turns of their own. An empty table gives no rows. Only the four named columns are read.
+Null texts are empty, null or unknown roles cost the same under every label, null turns come last, ties go by role, hash of the text and
+place in the table, null conv_ids form one conversation. Conversations of any length and texts of any length are whole. Repeated
+rows are turns of their own. An empty table gives no rows. Only the four named columns are read.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import keyed_runs, read_table, shared_dir, written
+from tidelog.llm.common import blocks_of, keyed_runs, read_table, shared_dir, written
 
 ROLES = ("system", "user", "assistant")
 SYSTEM, USER, ASSISTANT, START = range(4)
 RELABEL, UNKNOWN, MERGE, INSERT = 3, 1, 1, 2
 _FAR = 1 << 50
+#: Turns in a range, and ranges whose numbers the driver joins.
+PER_RANGE, MOST_RANGES = 50_000, 100_000
 #: Empty turns to put in between a state and a label, where the two may meet at all.
 INSERTED = {(START, SYSTEM): (), (START, USER): (), (START, ASSISTANT): (USER,), (SYSTEM, SYSTEM): (), (SYSTEM, USER): (), (SYSTEM, ASSISTANT): (USER,), (USER, USER): (), (USER, ASSISTANT): (), (ASSISTANT, USER): (), (ASSISTANT, ASSISTANT): ()}
 CLOSING = {START: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
@@ -165,10 +168,12 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     numbered = spark.read.schema(numbered.schema).parquet(path)
     keys = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("source_role").asc_nulls_last(), F.col("mark").asc(), F.col("uid").asc()]
     narrow = numbered.select("conv", "turn", "source_role", F.xxhash64("text").alias("mark"), "uid")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = numbered.count()
+    ranges = blocks_of(n, max(PER_RANGE, n // MOST_RANGES))
     ordered = narrow.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("uid", "conv", "source_role")
     ordered = written(ordered.mapInArrow(_place, f"uid bigint, conv {conv}, role int, part int, place bigint"), "turns-order")
-    dealt = ordered.repartition("part").sortWithinPartitions("part", "place")
+    parts = 1 + (ordered.agg(F.max("part")).first()[0] or 0)
+    dealt = ordered.repartitionById(parts, "part").sortWithinPartitions("part", "place")
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, table in keyed_runs(batches, "part"):

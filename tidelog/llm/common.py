@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,9 +29,11 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The cluster's checkpoint folder; a temporary one only where none is configured and one machine does all (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _FALLBACK.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tidelog-"))
     return base.rstrip("/")
@@ -56,8 +59,8 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def blocks_of(spark: SparkSession, rows: int, per_block: int, least: int = 1) -> int:
-    return max(least, -(-rows // per_block))
+def blocks_of(rows: int, per_block: int) -> int:
+    return max(1, -(-rows // per_block))
 
 
 def keyed_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:
@@ -112,9 +115,12 @@ EDGE = "a bigint, b bigint"
 
 
 def thin_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each partition's edges, only those that join something new: a spanning forest."""
+    """Of each partition's edges, only those that join something new: spanning forests of bounded size."""
     forest, a_out, b_out = Forest(), [], []
     for batch in batches:
+        if len(forest.up) > 1_000_000:
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+            forest, a_out, b_out = Forest(), [], []
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             if forest.join(a, b):
                 a_out.append(a)
@@ -122,7 +128,7 @@ def thin_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
 
-def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node with an edge, root being the smallest node of its component.
 
     Alternating large-star and small-star rounds: each is two hash joins on the edges, written to the shared folder.
@@ -135,9 +141,7 @@ def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.shiftright(h, 20)), F.sum(h.bitwiseAND(F.lit(1048575)))).first())
 
     seen = digest(now)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -150,8 +154,6 @@ def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
         if now_digest == seen:
             break
         seen = now_digest
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 

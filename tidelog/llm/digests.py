@@ -212,7 +212,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts, size = level_counts(source, "text")
     rare = spark.sparkContext.broadcast(rarity(counts))
     h = F.xxhash64(F.coalesce("text", F.lit("")))
-    heads = range_heads(source.select("id", h.alias("h")), blocks_of(spark, size, max(BUCKET_BYTES, size // MOST_BUCKETS)))
+    heads = range_heads(source.select("id", h.alias("h")), blocks_of(size, max(BUCKET_BYTES, size // MOST_BUCKETS)))
     known = spark.sparkContext.broadcast(heads)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

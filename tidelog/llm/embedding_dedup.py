@@ -204,7 +204,7 @@ class _Index:
         picked = vectors.where(F.pmod(F.xxhash64("vector", F.lit("k-means")), F.lit(1 << 30)) < rate).select("node", "vector").toArrow()
         x = _unit(_vectors(picked.column("vector"))) if picked.num_rows else np.ones((1, 1))
         order = np.lexsort(x.T[:3])
-        shards = max(1, min(MOST_SHARDS, len(x), blocks_of(spark, n, PER_SHARD)))
+        shards = max(1, min(MOST_SHARDS, len(x), blocks_of(n, PER_SHARD)))
         self.centroids = kmeans(x[order], shards).astype(np.float32)
         self.shards = shards
 

@@ -4,7 +4,8 @@
    the filter positions it set, with a mark where it set one more than once: pre-aggregated, four bytes a position.
 2. Positions are merged by filter segment. A position set by two documents is in the twice-seen filter, so a key that
    occurs in two documents has both its positions there: no repeat is missed. The merged filter is folded to sixteen
-   bits per position in use, at most ``2 ** FILTER_BITS`` bits (32 MB), which bounds the broadcast at any input size.
+   bits per position in use, at most ``2 ** FILTER_BITS`` bits (128 MB), which bounds the broadcast at any input size; far beyond
+   2 ** FILTER_BITS distinct lines it rules out fewer of them, and more are shuffled.
 3. Only keys that the filter suspects are digested (128-bit BLAKE2b), counted per partition and shuffled; counts at or
    above ``min_docs`` confirm the repeat, and the smallest document id is its first occurrence.
 4. Confirmed digests are broadcast if there are at most ``BROADCAST_KEYS`` of them; beyond that they are joined to the
@@ -27,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_batches, keyed_runs, read_table, written
+from tidelog.llm.common import bounded_batches, read_table, written
 
-FILTER_BITS = 28
-SEGMENT_BITS = 20
+FILTER_BITS = 30
+SEGMENT_BITS = 18
 BROADCAST_KEYS = 400_000
 _SPACE = b" \t\n\x0b\x0c\r"
 _FLUSH = 4_000_000
@@ -80,15 +81,25 @@ def twice_filter(docs: DataFrame, text_col: str, min_chars: int) -> tuple[np.nda
         yield from segments(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for segment, rows in keyed_runs(batches, "segment"):
-            once = np.zeros(1 << SEGMENT_BITS, bool)
-            twice = np.zeros(1 << SEGMENT_BITS, bool)
-            for spots in rows.column("spots"):
+        now: int | None = None
+        once, twice = np.zeros(1 << SEGMENT_BITS, bool), np.zeros(1 << SEGMENT_BITS, bool)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([int(twice.sum())], pa.int64()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["segment", "n", "bits"])
+
+        for batch in batches:
+            for segment, spots in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if segment != now:
+                    if now is not None:
+                        yield out()
+                    now = segment
+                    once[:] = twice[:] = False
                 marks = np.frombuffer(spots.as_buffer(), np.uint32)
                 at = marks & np.uint32((1 << SEGMENT_BITS) - 1)
                 twice[at] |= once[at] | (marks >> np.uint32(31)).astype(bool)
                 once[at] = True
-            yield pa.RecordBatch.from_arrays([pa.array([int(segment)], pa.int32()), pa.array([int(twice.sum())], pa.int64()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["segment", "n", "bits"])
+        if now is not None:
+            yield out()
 
     sent = docs.select(text_col).mapInArrow(seen, "segment int, spots binary")
     rows = sent.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, n bigint, bits binary").where("n > 0").collect()
