@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_batches, read_table, written
+from tidelog.llm.common import bounded_batches, fresh, read_table, written
 
 FILTER_BITS = 30
 SEGMENT_BITS = 18
@@ -186,8 +186,8 @@ def _strip(text: str | None, who, repeats: dict[bytes, object], suspects: Suspec
     return len(lines), len(lines) - len(kept), b"\n".join(kept).decode()
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep: str = "none", broadcast_keys: int = BROADCAST_KEYS, drop_text: bool = False) -> DataFrame:
-    """``docs`` with a struct column ``stripped`` (n_lines, n_dropped, kept) after the others, which stay as they are.
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep: str = "none", broadcast_keys: int = BROADCAST_KEYS, drop_text: bool = False, name: str = "stripped") -> DataFrame:
+    """``docs`` with a struct column ``name`` (n_lines, n_dropped, kept) after the others, which stay as they are.
 
     ``drop_text`` leaves the input's text out of the result.
     """
@@ -235,7 +235,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield _done(batch, done)
 
         out = base.join(lists, "mark", "left").select("row", "id", "text", "known").mapInArrow(strip, f"row {row_type}, {STRIPPED}")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in carried.columns], F.struct("n_lines", "n_dropped", "kept").alias("stripped"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in carried.columns], F.struct("n_lines", "n_dropped", "kept").alias(name))
 
 
 def _done(batch: pa.RecordBatch, done: list[tuple[int, int, str]]) -> pa.RecordBatch:
@@ -250,11 +250,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines stay once, in the first document that holds them. No document goes, though it may end up empty."""
-    out = drop_repeated_lines(docs, min_docs=10, min_chars=1, keep="first")
-    cut = F.col("stripped.n_dropped") > 0
-    text = F.when(cut, F.col("stripped.kept")).otherwise(F.col("text"))
-    chars = F.when(cut, F.length("stripped.kept").cast("bigint")).otherwise(F.col("n_chars"))
-    return out.withColumns({"text": text, "n_chars": chars}).drop("stripped")
+    name = fresh(docs, "stripped")
+    out = drop_repeated_lines(docs, min_docs=10, min_chars=1, keep="first", name=name)
+    cut, kept = F.col(name)["n_dropped"] > 0, F.col(name)["kept"]
+    text = F.when(cut, kept).otherwise(F.col("text"))
+    chars = F.when(cut, F.length(kept).cast("bigint")).otherwise(F.col("n_chars"))
+    return out.withColumns({"text": text, "n_chars": chars}).drop(name)
 
 
 _LINES = r"""

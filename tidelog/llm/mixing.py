@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import keyed_runs, read_table, written
+from tidelog.llm.common import fresh, keyed_runs, read_table, written
 
 FAN_IN = 64
 PER_GROUP = 1024
@@ -112,16 +112,17 @@ def with_targets(sources: DataFrame, most: int = MOST) -> DataFrame:
     return s.select("source", "source_size", F.when(F.col("stops"), F.col("stop")).otherwise(F.col("final") * F.col("weight")).alias("target"))
 
 
-def marked(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+def marked(docs: DataFrame, id_col: str, source_col: str, text_col: str, name: str = "mix_mark") -> DataFrame:
     """``docs`` with a digest of id, source and text."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (id_col, source_col, text_col)]
-    return docs.withColumn("mix_mark", F.md5(F.concat_ws("\x01", *parts)))
+    return docs.withColumn(name, F.md5(F.concat_ws("\x01", *parts)))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(documents, copies): (mix_mark, id, source, size) of each row, and (mix_mark, source, source_size, target, copies) of each unit."""
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = written(marked(docs, id_col, source_col, text_col).select("mix_mark", F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mixing-rows")
+    own = fresh(docs, "mix_mark")
+    rows = written(marked(docs, id_col, source_col, text_col, own).select(F.col(own).alias("mix_mark"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mixing-rows")
     units = rows.groupBy("mix_mark", "source").agg((F.sum("size")).alias("words"))
     sizes = units.groupBy("source").agg(F.sum("words").alias("source_size"), F.count("*").alias("units"))
     targets = with_targets(sizes.select("source", "source_size")).withColumnsRenamed({"source": "s", "source_size": "words"})
@@ -173,8 +174,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     _, copies = mix(docs)
-    taken = marked(docs, "doc_id", "source", "text").join(copies.where("copies > 0").select("mix_mark", "copies"), "mix_mark")
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    own, times, copy = (fresh(docs, x) for x in ("mix_mark", "mix_copies", "mix_copy"))
+    counts = copies.where("copies > 0").select(F.col("mix_mark").alias(own), F.col("copies").alias(times))
+    taken = marked(docs, "doc_id", "source", "text", own).join(counts, own)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
 
 
 QUERIES = {"op6_mixing": op6_mixing}

@@ -1,6 +1,9 @@
 """The corpus pipeline: bad documents go, repeated lines stay once, near-duplicates stay once, sources are mixed, ids packed.
 
-Each stage takes what the one before it kept, written as Parquet and read again.
+Each stage takes what the one before it kept, written as Parquet and read again. Every stage states in its module what becomes of
+null, empty, very long, tied and repeated rows. Together: without labels, or with labels of one kind, no document goes as bad; a text whose
+lines all go becomes empty, and of the texts without words one stays; of repeated rows one stays; null ids stay null to the end; an empty
+table gives no rows; columns beyond those of documents pass through up to the packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-#: The classifier, the fingerprints and the tokenizer have no SQL form; a brute-force version is in the tests.
+#: The classifier, the fingerprints and the tokenizer have no SQL form; tests/llm/test_pipeline.py follows each stage by brute force.
 ORACLE_SQL = None
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_batches, discard, read_table, shared_dir, slices
+from tidelog.llm.common import bounded_batches, discard, fresh, read_table, shared_dir, slices
 
 LABELLED = 15_000
 ROUNDS = 2
@@ -384,8 +384,8 @@ class Scorer:
         return tuple(float(_sigmoid(np.array(x))) for x in (a, b, both))
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
-    """``docs`` with a struct column ``verdict`` (content, meta, score, kept) after the others."""
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, name: str = "verdict") -> DataFrame:
+    """``docs`` with a struct column ``name`` (content, meta, score, kept) after the others."""
     spark = docs.sparkSession
     bounded_batches(spark)
     found = fit(docs, labels, labelled)
@@ -402,7 +402,7 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["row", "content", "meta", "score"])
 
     out = base.mapInArrow(score, f"row {base.schema['row'].dataType.simpleString()}, content double, meta double, score double")
-    verdict = F.struct("content", "meta", "score", (F.col("score") >= 0.5 if fitted else F.lit(True)).alias("kept")).alias("verdict")
+    verdict = F.struct("content", "meta", "score", (F.col("score") >= 0.5 if fitted else F.lit(True)).alias("kept")).alias(name)
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], verdict)
 
 
@@ -414,7 +414,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps."""
-    return classify(docs, read_table(spark, sf_dir, "labels")).where("verdict.kept").drop("verdict")
+    name = fresh(docs, "verdict")
+    return classify(docs, read_table(spark, sf_dir, "labels"), name=name).where(F.col(name)["kept"]).drop(name)
 
 
 QUERIES = {"op7_quality": op7_quality}

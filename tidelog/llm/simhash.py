@@ -8,9 +8,11 @@ the cells one step up, so that every pair within one step meets in a cell; pairs
 a cell a breadth-first search over the verified links gives a spanning forest, never all pairs, and equal fingerprints
 have been folded into one before.
 
-The pipeline's stage finds every pair of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more; 64
-bits cannot tell those from unrelated texts. Sets that are alike share one of the least fifth (and one) of their hashes: these are
-the cells where sets meet, their sizes and the number of cells shared rule out most pairs, and the others are verified on the whole sets.
+The pipeline's stage finds every pair of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. The same
+grid join over the sets' fingerprints comes first, and its links are verified on the sets. It can't be all: at similarities of 0.80 to 0.85
+few pairs are within 4 bits, and 64 bits can't tell the others from unrelated texts. So what it leaves apart is completed exactly: sets
+that are alike share one of the least fifth (and one) of their hashes; these are the cells where sets meet, their sizes and the number
+of cells shared rule out most pairs, and the others are verified on the whole sets.
 
 Null or empty texts (no word) have the fingerprint zero and link like any other. Null doc_ids take part in links; a
 component's id is the smallest doc_id that is not null. Repeated rows stay, each with its component. An empty table gives
@@ -19,7 +21,7 @@ no rows. Columns of the input other than ``id_col`` and ``text_col`` are not rea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import EDGE, Forest, components, discard, keyed_runs, read_table, slices, written
+from tidelog.llm.common import EDGE, Forest, components, discard, fresh, keyed_runs, read_table, slices, written
 
 BITS = 64
 SEGMENT = 2
@@ -60,15 +62,18 @@ def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
         yield np.array([h(joined[a:b], 42) for a, b in pairs], np.uint64)
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Unsigned SimHash: a bit is one if set in over half of the shingles' hashes; zero without words."""
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """Unsigned SimHash: a bit is one if set in over half of the hashes; zero without any."""
     counts, n = np.zeros(BITS, np.int64), 0
-    for hashes in shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower().split(), width):
+    for hashes in blocks:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(hashes)
-    if not n:
-        return 0
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]) if n else 0
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """The SimHash of a text's shingles, repeats included."""
+    return majority(shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower().split(), width))
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, mark_col: str | None = None) -> DataFrame:
@@ -205,11 +210,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     uid = TaskContext.get().partitionId() << 36
     for batch in batches:
         for part in slices(batch, "text"):
-            own = [shingle_set(t.as_py()).tobytes() for t in part.column("text")]
+            sets = [shingle_set(t.as_py()) for t in part.column("text")]
+            fps = np.array([majority(x[at : at + 200_000] for at in range(0, len(x), 200_000)) for x in sets], np.uint64).view(np.int64)
+            own = [x.tobytes() for x in sets]
             uids = pa.array(range(uid, uid + len(own)), pa.int64())
             uid += len(own)
             keys = pa.array([xxhash.xxh3_128_digest(x) for x in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), uids, keys, pa.array(own, pa.binary())], names=["id", "mark", "uid", "key", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), uids, keys, pa.array(fps), pa.array(own, pa.binary())], names=["id", "mark", "uid", "key", "fp", "hashes"])
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,8 +292,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs], pa.bool_()))
 
 
+def grid_pairs(sets: DataFrame, most: int = 4) -> DataFrame:
+    """(a, b) between rows (uid, fp) that connect equal fingerprints and those at ``most`` or fewer differing bits."""
+    prints = sets.select("uid", "fp")
+    least = written(prints.groupBy("fp").agg(F.min("uid").alias("least")), "shingle-prints")
+    same = prints.join(least, "fp").where("uid <> least").select(F.col("least").alias("a"), F.col("uid").alias("b"))
+    links = near_links(least.select("fp"), most).toDF("fa", "fb")
+    near = links.join(least.toDF("fa", "a"), "fa").join(least.toDF("fb", "b"), "fb")
+    return same.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def alike_links(sets: DataFrame) -> DataFrame:
-    """(a, b) between rows (uid, hashes) of distinct sets that connect all pairs that are alike."""
+    """(a, b) between rows (uid, fp, hashes) of distinct sets that connect all pairs that are alike."""
     spark = sets.sparkSession
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
@@ -309,9 +326,10 @@ def alike_links(sets: DataFrame) -> DataFrame:
 
     entries = sets.mapInArrow(_entries, _CELL).repartition("cell").sortWithinPartitions("cell")
     cells = written(entries.mapInArrow(_shared, _CELL), "shingle-cells")
-    # Neighbours in the first cells of each set first: what they connect is not paired again, so that a large group costs no
-    # square of its size.
-    first = checked(meet(cells.where(F.col("place") < FIRST).withColumn("label", F.col("uid")), 1).select("a", "b").distinct(), "shingle-first")
+    # Links of the grid and neighbours in the first cells of each set first: what they connect is not paired again, so that a large
+    # group costs no square of its size.
+    neighbours = meet(cells.where(F.col("place") < FIRST).withColumn("label", F.col("uid")), 1).select("a", "b")
+    first = checked(grid_pairs(sets).union(neighbours).distinct(), "shingle-first")
     groups = written(components(first, "shingle-groups"), "shingle-labels")
     labelled = cells.join(groups.select(F.col("node").alias("uid"), F.col("root").alias("label")), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     pairs = meet(labelled, None).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("short").alias("short")).where("shared >= short").select("a", "b")
@@ -321,22 +339,26 @@ def alike_links(sets: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each group of alike texts: that with the smallest id, null ids last."""
+    """One row of ``docs`` for each group of alike texts: that with the smallest id, null ids last.
+
+    Texts without words are alike, repeated rows are one, and other columns pass through whatever their names.
+    """
     kind = dict(docs.dtypes)[id_col]
     mark = F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("-")), F.lit("\x01"), F.coalesce(F.col(text_col), F.lit(""))))
-    marked = docs.withColumn("simhash_mark", mark)
-    source = marked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("simhash_mark").alias("mark"))
-    prints = written(source.mapInArrow(_sets, f"id {kind}, mark string, uid bigint, key binary, hashes binary"), "shingle-sets")
+    own, nth = fresh(docs, "mark"), fresh(docs, "nth")
+    marked = docs.withColumn(own, mark)
+    source = marked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(own).alias("mark"))
+    prints = written(source.mapInArrow(_sets, f"id {kind}, mark string, uid bigint, key binary, fp bigint, hashes binary"), "shingle-sets")
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), F.col("id"), F.col("mark"))).alias("first")
     distinct = written(prints.groupBy("key").agg(F.min("uid").alias("uid"), first).drop("key"), "shingle-distinct")
-    sets = prints.select("uid", "hashes").join(distinct.select("uid"), "uid", "left_semi")
+    sets = prints.select("uid", "fp", "hashes").join(distinct.select("uid"), "uid", "left_semi")
     groups = components(alike_links(sets), "shingle-links")
     discard(prints)
     root = F.coalesce("root", "uid").alias("root")
     least = distinct.join(groups.withColumnRenamed("node", "uid"), "uid", "left").groupBy(root).agg(F.min("first").alias("first"))
-    rows = marked.join(least.select(F.col("first.mark").alias("simhash_mark")), "simhash_mark", "left_semi")
-    once = F.row_number().over(Window.partitionBy("simhash_mark").orderBy("simhash_mark"))
-    return rows.withColumn("simhash_once", once).where("simhash_once = 1").drop("simhash_mark", "simhash_once")
+    rows = marked.join(least.select(F.col("first.mark").alias(own)), own, "left_semi")
+    once = F.row_number().over(Window.partitionBy(own).orderBy(own))
+    return rows.withColumn(nth, once).where(F.col(nth) == 1).drop(own, nth)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
