@@ -64,7 +64,7 @@ def test_every_unlabelled_document_teaches(spark):
     assert [n for n, _ in seen] == [6000] * quality.ROUNDS
     taught = seen[-1][1][0]
     assert taught[:, -1].sum() > 4500 and (taught[:, :-1].max(axis=1) <= taught[:, -1]).all()
-    assert model.content.weights[quality.zlib.crc32(b"p5rarew") % quality.SPACE] < 0
+    assert model.content.weights[quality.word_features("rareword7")[-1]] < 0
 
 
 def test_every_word_of_a_token_is_seen():
@@ -104,3 +104,54 @@ def test_sums_do_not_depend_on_blocks():
             assert np.allclose(rows.spread(values, 50), sum(np.bincount(x, minlength=50) * v for x, v in zip(lists, values, strict=True)))
         finally:
             quality.Rows.blocks = whole
+
+
+def slow_numbers(text):
+    import string
+
+    data = (text or "").encode()
+    words, lines, n = data.split(), data.split(b"\n"), max(1, len(data))
+    each = max(1, len(words))
+    count = lambda kind: sum(chr(x) in kind for x in data if x < 128)
+    plain = string.ascii_letters + string.digits + " \t\n\x0b\x0c\r.,;:'\"!?()-"
+    return [
+        np.log1p(len(data)), np.log1p(len(lines)), np.log1p(len(words)), count(string.ascii_uppercase) / n, count(string.digits) / n,
+        sum(x < 128 and chr(x) not in plain for x in data) / n, count("!?") / n, sum(map(len, words)) / each, len(set(words)) / each,
+        sum(a == b for a, b in zip(words[:-1], words[1:])) / each, sum(len(x) < 40 for x in lines) / len(lines),
+    ]
+
+
+def test_columns_match_texts_one_by_one():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [r[1] for r in cases.rows()] + [" lead", "trail \n", " \t", "a a a B!? 12 #$", "é\xa0ß x"]
+    texts += ["".join(rng.choice("aAbB1!? \n#é") for _ in range(rng.randint(0, 80))) for _ in range(200)]
+    for at in range(0, len(texts), 40):
+        part = quality.Texts(pa.array(texts[at : at + 40], pa.string()))
+        assert np.allclose(part.numbers(), [slow_numbers(t) for t in texts[at : at + 40]])
+        doc, found = part.features()
+        for i, text in enumerate(texts[at : at + 40]):
+            want = {f for token in (text or "").encode().split() for f in quality.word_features(token.decode())}
+            assert found[doc == i].tolist() == sorted(want)
+    assert quality.Texts(pa.array([None, ""], pa.string())).features()[0].tolist() == []
+    one, two = quality.word_features("Wörter,x1"), quality.word_features("wörter")
+    assert len(one) == 5 and len(two) == 4 and one[1:] == [two[1], *one[2:3], *two[2:]] and quality.word_features("x")[1] == one[2]
+    odd = ["a" * 50_000, "ab", "ba", "aab", "", "12", "é", "日本語日本語"]
+    assert [f for t in odd for f in quality.word_features(t)] == quality.token_features(pa.array(odd, pa.large_string()))[0].tolist()
+    many = {tuple(quality.word_features(f"{i}")) for i in range(3000)}
+    assert len(many) > 2950
+    weights = np.zeros(quality.SPACE)
+    weights[two[1]] = 1.0
+    feature, starts = quality.token_features(pa.array(["x", "wörter", "wörter."], pa.large_string()), weights)
+    assert feature.tolist() == [two[1], two[1]] and starts.tolist() == [0, 0, 1, 2]
+
+
+def test_metadata_rows():
+    edges = [np.array([0.5, 1.5])] * len(quality.NUMBERS)
+    numbers = np.array([[0.0] * 11, [1.0] * 11, [2.0] * 11])
+    rows = quality.meta_rows(edges, ["en", None, "en"], ["s", "s", None], numbers)
+    lists = [rows.features[a:b].tolist() for a, b in zip(rows.starts[:-1], rows.starts[1:])]
+    assert [x[:11] for x in lists] == [[k * 13 + i for k in range(11)] for i in range(3)]
+    assert all(len(x) == len(set(x)) == 13 and x == sorted(x) for x in lists)
+    assert len(quality.meta_rows(edges, [], [], np.zeros((0, 11))).starts) == 1

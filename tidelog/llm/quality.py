@@ -19,7 +19,6 @@ table gives no rows. Extra columns pass through in ``classify`` whatever their n
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -27,49 +26,122 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import bounded_batches, discard, fresh, read_table, shared_dir, slices
 
 LABELLED = 15_000
+BROADCAST_LABELS = 1_000_000
 ROUNDS = 2
 SURE = 0.985
 #: A word has about four features; each takes its part of the log odds that it is taught.
 PART = 0.25
 TAUGHT_LEAST = 0.5
 Z_LEAST = 3.5
-SPACE = 1 << 18
+SPACE_BITS = 18
+SPACE = 1 << SPACE_BITS
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 BINS = 12
-_LETTERS = re.compile(r"[^\W\d_]+")
 _UPPER, _LOWER, _DIGIT = (bytes(range(a, b + 1)) for a, b in ((65, 90), (97, 122), (48, 57)))
 _PLAIN = bytes(range(128, 256)) + _UPPER + _LOWER + _DIGIT + b" \t\n\x0b\x0c\r.,;:'\"!?()-"
+#: For each byte whether it counts as upper case, digit, sign or loud.
+_KINDS = np.array([[x in _UPPER for x in range(256)], [x in _DIGIT for x in range(256)], [x not in _PLAIN for x in range(256)], [x in b"!?" for x in range(256)]], np.int64)
 NUMBERS = ("chars", "lines", "words", "upper", "digits", "signs", "loud", "length", "distinct", "stutter", "short_lines")
 
 
-def word_features(token: str) -> list[int]:
-    """Places of a token's features in the content space."""
-    out = [zlib.crc32(b"t" + token.encode()) % SPACE]
-    for letters in _LETTERS.findall(token):
-        out.append(zlib.crc32(b"w" + letters.encode()) % SPACE)
-        for n in (4, 5):
-            if len(letters) > n:
-                out.append(zlib.crc32(b"p%d" % n + letters[:n].encode()) % SPACE)
-    return out
+def _hashes(values: pa.Array, kind: int) -> np.ndarray:
+    """Places of large strings in the content space: their bytes as the digits of a number in a fixed base, mixed."""
+    at = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, 8 * values.offset)
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].astype(np.uint64)
+    sizes = np.diff(at)
+    full = sizes > 0
+    powers = np.ones(int(sizes.max(initial=0)), np.uint64)
+    np.cumprod(np.full(max(0, len(powers) - 1), _BASE), out=powers[1:])
+    starts = (at[:-1] - at[0])[full]
+    place = np.arange(len(data)) - np.repeat(starts, sizes[full])
+    out = np.full(len(values), np.uint64(kind))
+    if len(starts):
+        out[full] += np.add.reduceat((data + np.uint64(1)) * powers[place], starts)
+    out ^= out >> np.uint64(32)
+    out *= _BASE
+    out ^= out >> np.uint64(29)
+    out *= _BASE
+    return (out >> np.uint64(64 - SPACE_BITS)).astype(np.int64)
+
+
+def token_features(tokens: pa.Array, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, starts): of each token itself, its letter runs and the first letters of longer ones; with weights, those that have one."""
+    lower = pc.utf8_lower(tokens)
+    lists = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, r"[^\p{L}]+", " "))
+    runs = lists.flatten()
+    whose = np.repeat(np.arange(len(tokens)), np.diff(np.asarray(lists.offsets)))
+    size = pc.utf8_length(runs).to_numpy()
+    rows, found = [np.arange(len(tokens)), whose[size > 0]], [_hashes(lower, 1), _hashes(runs, 2)[size > 0]]
+    for n in (4, 5):
+        long = size > n
+        rows.append(whose[long])
+        found.append(_hashes(pc.utf8_slice_codeunits(runs.filter(pa.array(long)), 0, n), n))
+    row, feature = np.concatenate(rows), np.concatenate(found)
+    if weights is not None:
+        keep = weights[feature] != 0
+        row, feature = row[keep], feature[keep]
+    order = np.argsort(row, kind="stable")
+    return feature[order], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(tokens)))))
 
 
-def layout(data: bytes) -> list[float]:
-    """The numbers of the metadata view."""
-    n = len(data)
-    words = data.split()
-    lines = data.split(b"\n")
-    each = max(1, len(words))
-    return [
-        np.log1p(n), np.log1p(len(lines)), np.log1p(len(words)),
-        (n - len(data.translate(None, _UPPER))) / max(1, n), (n - len(data.translate(None, _DIGIT))) / max(1, n),
-        len(data.translate(None, _PLAIN)) / max(1, n), (data.count(b"!") + data.count(b"?")) / max(1, n), sum(map(len, words)) / each,
-        len(set(words)) / each, sum(a == b for a, b in zip(words[:-1], words[1:], strict=True)) / each, sum(len(x) < 40 for x in lines) / len(lines),
-    ]
+def word_features(token: str) -> list[int]:
+    """Places of a token's features in the content space."""
+    return token_features(pa.array([token], pa.large_string()))[0].tolist()
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in rising order."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
+class Texts:
+    """Some texts by columns: the place of each text and the code of its distinct token, for every token between ASCII white space."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        texts = texts.cast(pa.large_string()).fill_null("")
+        lists = pc.ascii_split_whitespace(texts)
+        every = lists.flatten().dictionary_encode()
+        self.texts, self.n, self.tokens = texts, len(texts), every.dictionary
+        self.lengths = pc.binary_length(every.dictionary).to_numpy()
+        doc = np.repeat(np.arange(self.n), np.diff(np.asarray(lists.offsets)))
+        code = every.indices.to_numpy().astype(np.int64)
+        full = self.lengths[code] > 0
+        self.doc, self.code = doc[full], code[full]
+        # Each distinct token of each text.
+        pairs = distinct((self.doc << 32) + self.code)
+        self.pair_doc, self.pair_code = pairs >> 32, pairs & 0xFFFFFFFF
+
+    def numbers(self) -> np.ndarray:
+        """The numbers of the metadata view, a row a text."""
+        total = lambda x: np.bincount(self.doc, weights=x[self.code], minlength=self.n)
+        kinds = _KINDS[:, np.frombuffer(b"".join(self.tokens.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), np.uint8)]
+        ends = np.cumsum(self.lengths)
+        upper, digits, signs, loud = (total(np.diff(np.concatenate(([0], np.cumsum(k)))[np.concatenate(([0], ends))])) for k in kinds)
+        size = pc.binary_length(self.texts).to_numpy().astype(float)
+        words = np.bincount(self.doc, minlength=self.n)
+        lines = [[len(x) < 40 for x in t.split(b"\n")] for t in self.texts.cast(pa.large_binary()).to_numpy(zero_copy_only=False)]
+        again = (self.doc[1:] == self.doc[:-1]) & (self.code[1:] == self.code[:-1])
+        n, each, n_lines = np.maximum(1, size), np.maximum(1, words), np.array([len(x) for x in lines])
+        return np.stack([
+            np.log1p(size), np.log1p(n_lines), np.log1p(words), upper / n, digits / n, signs / n, loud / n, total(self.lengths) / each,
+            np.bincount(self.pair_doc, minlength=self.n) / each, np.bincount(self.doc[1:][again], minlength=self.n) / each, np.array([sum(x) for x in lines]) / n_lines,
+        ], axis=1)
+
+    def features(self, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct features of each text in rising order, as (text, feature)."""
+        flat, starts = token_features(self.tokens, weights)
+        times = np.diff(starts)[self.pair_code]
+        at = np.repeat(starts[self.pair_code] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        found = distinct((np.repeat(self.pair_doc, times) << 32) + flat[at])
+        return found >> 32, found & 0xFFFFFFFF
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -98,8 +170,8 @@ class Rows:
     def dot(self, weights: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.starts) - 1)
         for rows, own, starts in self.blocks():
-            sums = np.concatenate(([0.0], np.cumsum(weights[self.features[own]])))
-            out[rows] = sums[starts[1:]] - sums[starts[:-1]]
+            # Adds each row by itself, so that its sum does not depend on the others.
+            out[rows] = np.bincount(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), weights=weights[self.features[own]], minlength=len(starts) - 1)
         return out
 
     def spread(self, values: np.ndarray, space: int) -> np.ndarray:
@@ -199,18 +271,24 @@ class Model:
     edges: list = field(default_factory=list)
     mix: tuple = ()
 
-    def meta_features(self, lang: str | None, source: str | None, numbers: list[float]) -> list[int]:
-        return meta_features(self.edges, lang, source, numbers)
-
 
 META_SPACE = 1 << 12
 _CATEGORIES = META_SPACE - len(NUMBERS) * (BINS + 1)
 
 
-def meta_features(edges: list, lang: str | None, source: str | None, numbers: list[float]) -> list[int]:
-    out = [k * (BINS + 1) + int(np.searchsorted(e, x)) for k, (e, x) in enumerate(zip(edges, numbers, strict=True))]
+def meta_rows(edges: list, langs: list, sources: list, numbers: np.ndarray) -> Rows:
+    """The metadata features of each row."""
+    bins = [k * (BINS + 1) + np.searchsorted(e, numbers[:, k]) for k, e in enumerate(edges)]
     base = len(NUMBERS) * (BINS + 1)
-    return out + sorted({base + zlib.crc32(f"{k}={v}".encode()) % _CATEGORIES for k, v in (("lang", lang), ("source", source))})
+    places: dict[tuple, int] = {}
+    for pair in {*(("lang", x) for x in langs), *(("source", x) for x in sources)}:
+        places[pair] = base + zlib.crc32(f"{pair[0]}={pair[1]}".encode()) % _CATEGORIES
+    named = np.array([sorted((places["lang", a], places["source", b])) for a, b in zip(langs, sources, strict=True)], np.int64).reshape(-1, 2)
+    every = np.stack([*bins, named[:, 0], named[:, 1]], axis=1).astype(np.int32)
+    # A language and a source at one place count once.
+    keep = np.ones(every.shape, bool)
+    keep[:, -1] = named[:, 0] != named[:, 1]
+    return Rows(every[keep], np.concatenate(([0], np.cumsum(keep.sum(axis=1)))).astype(np.int64))
 
 
 def train(labelled: list[tuple], edges: list, exchange: Callable[[list[View]], list[np.ndarray]]) -> Model:
@@ -221,7 +299,7 @@ def train(labelled: list[tuple], edges: list, exchange: Callable[[list[View]], l
         return Model(prior)
 
     def views(rows: list[tuple]) -> tuple[Rows, Rows]:
-        return Rows.of([r[0] for r in rows]), Rows.of([meta_features(edges, *r[1:4]) for r in rows])
+        return Rows.of([r[0] for r in rows]), meta_rows(edges, [r[1] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows]))
 
     apart = np.arange(len(labelled)) % 4 == 3
     fit_rows, held_rows = [r for r, x in zip(labelled, apart, strict=True) if not x], [r for r, x in zip(labelled, apart, strict=True) if x]
@@ -253,25 +331,14 @@ def unpacked(steps: bytes) -> np.ndarray:
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple] = {}
     for batch in batches:
-        for part in slices(batch, "text", 2_000_000):
-            words, numbers = [], []
-            for text in part.column("text").to_pylist():
-                text, found = text or "", set()
-                if len(known) > 100_000:
-                    known = {}
-                for token in set(text.lower().split()):
-                    own = known.get(token)
-                    if own is None:
-                        own = tuple(word_features(token))
-                        if len(own) <= 16:
-                            known[token] = own
-                    found.update(own)
-                words.append(packed(np.sort(np.fromiter(found, "<u4", len(found)))))
-                numbers.append(layout(text.encode()))
-            cols = [part.column("doc_id"), pa.array(words, pa.binary()), part.column("lang"), part.column("source"), pa.array(numbers, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "words", "lang", "source", "numbers"])
+        for part in slices(batch, "text", 6_000_000):
+            texts = Texts(part.column("text"))
+            doc, found = texts.features()
+            words = [packed(x) for x in np.split(found.astype("<u4"), np.searchsorted(doc, np.arange(1, texts.n)))]
+            numbers = texts.numbers()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, numbers.size + 1, numbers.shape[1]), pa.int32()), pa.array(numbers.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.binary()), part.column("lang"), part.column("source"), lists], names=["id", "words", "lang", "source", "numbers"])
 
 
 def _numbers(column: pa.Array) -> np.ndarray:
@@ -307,7 +374,7 @@ def exchanged(pool: DataFrame, edges: list, views: list[View]) -> list[np.ndarra
         counts = [np.zeros((2, n), np.int64) for n in spaces]
         for batch in batches:
             words = Rows.of([unpacked(w) for w in batch.column(0).to_pylist()])
-            meta = Rows.of([meta_features(edges, *x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), _numbers(batch.column(3)).tolist(), strict=True)])
+            meta = meta_rows(edges, batch.column(1).to_pylist(), batch.column(2).to_pylist(), _numbers(batch.column(3)))
             rows = (words, meta)
             for k in (0, 1):
                 p = _sigmoid(shared.value[1 - k].logit(rows[1 - k]))
@@ -350,38 +417,25 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     sample = sample.take(pa.array(order))
     cols = [sample.column(c).to_pylist() for c in ("words", "lang", "source", "numbers", "good")]
     sample = None
-    pool = made.join(known.select("l_id"), F.col("id") == F.col("l_id"), "left_anti")
+    ids = known.select("l_id").distinct()
+    # Up to that many ids are a small broadcast; beyond it the features are shuffled.
+    pool = made.join(F.broadcast(ids) if n_known <= BROADCAST_LABELS else ids, F.col("id") == F.col("l_id"), "left_anti")
     model = train([(unpacked(w), *rest) for w, *rest in zip(*cols, strict=True)], edges, lambda views: exchanged(pool, edges, views))
     discard(made)
     return model
 
 
-class Scorer:
-    """Scores texts with a model; words without weight cost one look-up."""
-
-    def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
-
-    def of(self, text: str | None, lang: str | None, source: str | None) -> tuple[float, float, float]:
-        m = self.model
-        if m.content is None:
-            return m.prior, m.prior, m.prior
-        text = text or ""
-        if len(self.known) > 150_000:
-            self.known = {}
-        known, weights, found = self.known, m.content.weights, set()
-        tokens = list(set(text.lower().split()))
-        for token, own in zip(tokens, map(known.get, tokens), strict=True):
-            if own is None:
-                known[token] = own = tuple(f for f in word_features(token) if weights[f])
-            if own:
-                found.update(own)
-        own = weights[sorted(found)]
-        a = m.content.scale * (float(own.sum()) + m.content.bias) + m.content.shift
-        b = m.meta.scale * (float(m.meta.weights[m.meta_features(lang, source, layout(text.encode()))].sum()) + m.meta.bias) + m.meta.shift
-        w, bias = m.mix
-        both = float(combined(np.array(a), np.array(b), np.minimum(own, 0).sum()) @ w + bias)
-        return tuple(float(_sigmoid(np.array(x))) for x in (a, b, both))
+def scores(model: Model, part: pa.RecordBatch) -> np.ndarray:
+    """The probabilities of the content view, the metadata view and both together for each of some (text, lang, source)."""
+    texts = Texts(part.column("text"))
+    doc, found = texts.features(model.content.weights)
+    weights = model.content.weights[found]
+    sums, against = (np.bincount(doc, weights=x, minlength=texts.n) for x in (weights, np.minimum(weights, 0)))
+    a = model.content.scale * (sums + model.content.bias) + model.content.shift
+    b = model.meta.logit(meta_rows(model.edges, part.column("lang").to_pylist(), part.column("source").to_pylist(), texts.numbers()))
+    w, bias = model.mix
+    both = (combined(a, b, against) * w).sum(axis=1) + bias
+    return np.stack([_sigmoid(x) for x in (a, b, both)])
 
 
 def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, name: str = "verdict") -> DataFrame:
@@ -395,11 +449,11 @@ def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, name:
     base = docs.select(row.alias("row"), F.col("text").alias("text"), F.col("lang").alias("lang"), F.col("source").alias("source"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        m = model.value
         for batch in batches:
-            done = [scorer.of(*x) for part in slices(batch, "text", 2_000_000) for x in zip(*[part.column(i).to_pylist() for i in (1, 2, 3)], strict=True)]
-            cols = [pa.array([x[i] for x in done], pa.float64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["row", "content", "meta", "score"])
+            for part in slices(batch, "text", 6_000_000):
+                done = scores(m, part) if fitted else np.full((3, part.num_rows), m.prior)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x) for x in done]], names=["row", "content", "meta", "score"])
 
     out = base.mapInArrow(score, f"row {base.schema['row'].dataType.simpleString()}, content double, meta double, score double")
     verdict = F.struct("content", "meta", "score", (F.col("score") >= 0.5 if fitted else F.lit(True)).alias("kept")).alias(name)
