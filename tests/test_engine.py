@@ -36,10 +36,42 @@ def test_counters_top_and_report(spark):
     assert [(x.key, x.n) for x in counters.top_of(r, "client", 2).collect()] == [("1.1.1.0", 3), ("1.1.1.1", 3)]
     assert [(x.key, x.n) for x in counters.top_of(r, "client", 0).collect()] == [("1.1.1.0", 3)]
     assert counters.approximate_top(r, "client", 1).count() == 1
-    text = report.counter_report(r, 1, {("status", "200"): 5})
-    assert "requests: 8" in text and "200        8 (+3)" in text and "-not set-" in text
+    text = report.counter_report(r, 1, {("status", "200"): 5}, rejected=2)
+    assert "lines: 10" in text and "requests: 8" in text and "200        8 (+3)" in text and "-not set-" in text
     dump = json.loads(report.metrics_report(rollup.rollup(r, 10)))
     assert dump["1"][""]["Values"]["200010101300"] == 8
+    rolled = rollup.rollup(parse.requests(frame(spark, [line(m) for m in (0, 15, 25, 25, 35)])), 10)
+    live = json.loads(report.metrics_report(rolled, 2))
+    assert live["1"][""]["Values"] == {"200010101320": 2, "200010101330": 1}
+    assert list(json.loads(report.metrics_report(rolled, None, 1))["3"]) == ["200"]
+
+
+def test_only_the_wanted_cells_are_made(spark):
+    r = parse.requests(frame(spark, [line(0), line(9)]))
+    one = rollup.rollup(r, 10, types=("status",))
+    assert [(x.metric_type, x.key_value, x.metric_value) for x in one.collect()] == [(3, "200", 2)]
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "zgrab" not in plan
+
+
+def test_marks_in_lines_are_text(spark):
+    forged = "\x01".join(["x", "", "6.6.6.6", "-", "-", "10/Oct/2000:13:00:36 +0000", "GET", "/", "HTTP/1.1", "200", "1", "", "", "", "", "", ""])
+    good = line(0, agent="a\x01b\x02c\x02a")
+    got = parse.requests(frame(spark, [forged, good, line(1, uri="/p\x01q"), line(2)])).orderBy("n").collect()
+    assert [r.n for r in got] == [1, 2, 3] and got[0].user_agent.full_name == "a\x01b\x02c\x02a" and got[1].uri == "/p\x01q"
+    assert got[0].client_ip == "1.1.1.1"
+
+
+def test_out_of_order_over_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(parse, "BLOCK", 7)
+    rng = random.Random(2)
+    minutes = {f: [rng.randrange(60) for _ in range(50)] for f in ("a", "b")}
+    rows = [(f, i, line(m)) for f, ms in minutes.items() for i, m in enumerate(ms)]
+    r = parse.requests(spark.createDataFrame(rows, "file string, n int, value string"))
+    got = {(x.file, x.n): x.is_out_of_order for x in parse.flag_out_of_order(r, "file", "n").collect()}
+    assert got == {(f, i): i > 0 and m < max(ms[:i]) for f, ms in minutes.items() for i, m in enumerate(ms)}
 
 
 def test_metric_table_upserts_and_replay(spark, tmp_path):
@@ -49,6 +81,15 @@ def test_metric_table_upserts_and_replay(spark, tmp_path):
     assert table.upsert(row, False, "q", 0) and not table.upsert(row, False, "q", 0) and table.upsert(row, False, "q", 1)
     assert table.read().first().metric_value == 10
     assert table.upsert(row, True) and table.read().first().metric_value == 5
+    other = spark.createDataFrame([(1, 1, "", 200010111300, 7), (1, 1, "", 200010111310, 8)], sinks.MetricTable.SCHEMA)
+    before = table._head()["days"]["20001010"]
+    table.upsert(other, False)
+    assert table._head()["days"]["20001010"] == before and sorted(r.metric_value for r in table.read().collect()) == [5, 7, 8]
+    assert table.upsert(other.limit(0), False, "q", 2) and table.read().count() == 3
+    assert len(os.listdir(tmp_path / "m" / "heads")) <= 4 and len([x for x in os.listdir(tmp_path / "m" / "staged")]) == 0
+    stale = table._head() | {"n": table._head()["n"]}
+    with pytest.raises(RuntimeError):
+        table._publish(stale)
 
 
 def test_json_lines_round_trip(spark, tmp_path):
@@ -69,7 +110,8 @@ def test_text_source(spark, tmp_path):
     assert logs.without_matching(n, "^o").count() == 3
 
 
-def test_tail_through_rotation(tmp_path):
+def test_tail_through_rotation(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail, "SETTLED", 0.0)
     p = tmp_path / "access.log"
     p.write_text("a\nb\nhalf")
     r = tail.TailReader([str(p)], 0, 4)
@@ -86,11 +128,42 @@ def test_tail_through_rotation(tmp_path):
     p.write_text("new\n")
     o2 = r.latestOffset()
     assert take(o1, o2) == ["half done", "late", "new"] and take(o2, o2) == []
-    assert tail.TailReader([str(p)], -1, 100).initialOffset() == o2
+    # Two rotations at once, a line written to the renamed file and one without an end.
+    os.rename(tmp_path / "access.log.1", tmp_path / "access.log.3")
+    with p.open("a") as f:
+        f.write("second\n")
+    os.rename(p, tmp_path / "access.log.2")
+    p.write_text("between\nopen end")
+    os.rename(p, tmp_path / "access.log.1")
+    with (tmp_path / "access.log.2").open("a") as f:
+        f.write("after the rename\n")
+    os.utime(tmp_path / "access.log.1")
+    p.write_text("newest\n")
+    o3 = r.latestOffset()
+    assert sorted(take(o2, o3)) == sorted(["second", "after the rename", "between", "open end", "newest"])
+    # Truncated in place, and grown beyond where it was read.
+    p.write_text("other start\nand more than before\n")
+    o4 = r.latestOffset()
+    assert take(o3, o4) == ["other start", "and more than before"]
+    assert json.loads(tail.TailReader([str(p)], -1, 100).initialOffset()["files"])[str(p)] == json.loads(o4["files"])[str(p)][-1:]
     missing = tail.TailReader([str(tmp_path / "none")], 0, 100)
     assert missing.partitions(missing.initialOffset(), missing.latestOffset()) == []
 
 
+def test_tail_takes_in_what_a_trigger_may(tmp_path):
+    p = tmp_path / "big.log"
+    p.write_text("".join(f"line {i}\n" for i in range(100)))
+    r = tail.TailReader([str(p)], 0, 1 << 20, 50)
+    got, at, steps = [], r.initialOffset(), 0
+    while True:
+        then = r.latestOffset()
+        if then == at:
+            break
+        got += [x for part in r.partitions(at, then) for x, _ in r.read(part)]
+        at, steps = then, steps + 1
+    assert got == [f"line {i}" for i in range(100)] and 10 <= steps <= 20
+
+
 def test_tail_stream(spark, tmp_path):
     p = tmp_path / "s.log"
     p.write_text(line(0) + "\n" + line(1) + "\n")
@@ -113,9 +186,10 @@ def test_stream_equals_batch_and_late_rows_drop(spark, tmp_path):
     lines = [line(m) for m in (0, 5, 12, 25, 40)]
     (source / "1.txt").write_text("\n".join(lines))
     stream = spark.readStream.text(str(source))
-    streaming.start_bounded(stream, 10, "bounded_rollup", str(tmp_path / "c1")).awaitTermination()
+    bounded = sinks.MetricTable(spark, str(tmp_path / "b"))
+    streaming.start_bounded(stream, 10, bounded, 7, str(tmp_path / "c1")).awaitTermination()
     batch = rollup.rollup(parse.requests(spark.read.text(str(source))), 10)
-    assert sorted(map(tuple, spark.table("bounded_rollup").select(*sorted(batch.columns)).collect())) == sorted(map(tuple, batch.select(*sorted(batch.columns)).collect()))
+    assert sorted(map(tuple, bounded.read().select(*sorted(batch.columns)).collect())) == sorted(map(tuple, batch.select(*sorted(batch.columns)).collect()))
     table = sinks.MetricTable(spark, str(tmp_path / "m"))
     q = streaming.start_metrics(spark.readStream.text(str(source)), table, 7, 10, 2, str(tmp_path / "c2"), every="0 seconds")
     try:
@@ -186,3 +260,72 @@ def test_follow_and_sampler(spark, tmp_path):
     finally:
         for q in queries:
             q.stop()
+
+
+def test_running_tops_show_changes(spark):
+    tops = streaming.Tops(1)
+    rows = lambda *x: spark.createDataFrame([("status", k, n) for k, n in x] + [("lines", "", sum(n for _, n in x))], "dimension string, key string, n bigint")
+    tops.update(rows(("200", 5), ("404", 2)))
+    counts, before = tops.update(rows(("200", 8), ("500", 1)))
+    text = report.live_report(counts, before, 2)
+    assert "lines: 9 (+2)" in text and "200        8 (+3)" in text and "404        2 (+0)" in text
+
+
+def database_lines():
+    shop = line(1).replace("1.1.1.1 -", "shop.example:80 2.2.2.2 -")
+    browser = line(0, agent="Mozilla/5.0 (Macintosh; Intel Mac OS X 10.15; rv:138.0) Gecko/20100101 Firefox/138.0", ip="10.0.0.1")
+    return [browser, line(2), line(3, 404), shop, "junk"]
+
+
+@pytest.mark.parametrize("jdbc", [False, True])
+def test_configured_run_keeps_rows(spark, tmp_path, jdbc):
+    from tidelog.operators import database
+
+    p = tmp_path / "x.log"
+    p.write_text("\n".join(database_lines()))
+    settings = {"Handlers": ["METRICS"], "WriteMetricsToDb": True, "SaveLogsToDb": True, "SaveLogsToDbOnlyRelevant": 1, "SaveLogsToDbMaskIPs": False, "HostId": 4, "DomainName": "example.org", "ReplaceExistingMetrics": False}
+    if jdbc:
+        settings["DbAddress"] = f"jdbc:derby:{tmp_path}/db;create=true"
+    found = config.load(json.dumps({"--default--": settings, str(p): {}}))
+    c = config.for_file(found, str(p))
+    kept = database.tables(spark, c, str(tmp_path / "t"))
+    for _ in range(2):
+        cli.run(spark, str(p), c, kept)
+
+    def read(name):
+        if jdbc:
+            df = spark.read.jdbc(c.db_address, name)
+            return df.toDF(*[x.lower() for x in df.columns])
+        return kept.metrics.read() if name == "metrics" else spark.read.parquet(str(tmp_path / "t" / name))
+
+    domains = {r.domain: r.domain_id for r in read("domains").collect()}
+    assert set(domains) == {"example.org", "shop.example:80"} and sorted(domains.values()) == [1, 2]
+    counts = {r.domain_id: r.metric_value for r in read("metrics").where("metric_type = 1").collect()}
+    assert counts == {domains["example.org"]: 6, domains["shop.example:80"]: 2}
+    raw = read("raw_logs").collect()
+    assert len(raw) == 2 and {bytes(r.client_ip) for r in raw} == {bytes([10, 0, 0, 1])} and raw[0].host_id == 4
+    assert config.load(json.dumps({"--default--": settings, str(p): {"WriteMetricsToDb": False}}))[str(p)].write_metrics_to_db is False
+
+
+def test_upsert_statements():
+    for url, word in (("jdbc:mysql://h/d", "ON DUPLICATE KEY"), ("jdbc:postgresql://h/d", "ON CONFLICT"), ("jdbc:derby:x", "MERGE INTO")):
+        assert word in sinks.upsert_statement(url, "metrics", "staged", True) and "metric_value +" in sinks.upsert_statement(url, "metrics", "staged", False)
+
+
+def test_host_sampler_of_a_configuration(spark, tmp_path):
+    from tidelog.operators import database
+
+    c = config.load(json.dumps({"--default--": {"HostId": 3}, "--OS-metrics--": {"OSMetricsEnabled": True, "OSMetricsIntervalMinutes": 1}}))[config.HOST_KEY]
+    kept = database.ParquetTables(spark, str(tmp_path / "t"))
+    assert cli.sample_host(spark, config.FileConfig(), kept, "unused") is None
+    q = cli.sample_host(spark, c, kept, str(tmp_path / "c"), aligned=False)
+    try:
+        import time
+
+        for _ in range(150):
+            if (tmp_path / "t" / "host_metrics" / "_SUCCESS").exists():
+                break
+            time.sleep(0.2)
+        assert spark.read.parquet(str(tmp_path / "t" / "host_metrics")).first().host_id == 3
+    finally:
+        q.stop()

@@ -10,12 +10,13 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelog.operators import parse, report, rollup, sinks
+from tidelog.operators import database, parse, report, rollup, sinks
 from tidelog.plans import config
 from tidelog.plans.shared import shared_dir
 from tidelog.sources import logs
 from tidelog.sources.tail import TailSource
 from tidelog.streaming import rollup as streaming
+from tidelog.streaming.host import start_host_sampler
 
 PROFILES = {"count": "COUNTER", "metrics": "METRICS", "security": ""}
 
@@ -33,6 +34,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("-t", dest="target", default="")
     p.add_argument("-n", dest="top_n", type=int, default=10)
     p.add_argument("-i", dest="interval", type=int, default=30)
+    p.add_argument("-o", dest="log_file", default="")
     p.add_argument("-h", action="help")
     p.add_argument("path", nargs="?", default="")
     return p.parse_args(argv)
@@ -53,16 +55,21 @@ def configs(args: argparse.Namespace) -> dict[str, config.FileConfig]:
     }
 
 
-def run(spark: SparkSession, path: str, c: config.FileConfig) -> list[str]:
-    """What the handlers of a bounded file print."""
+def run(spark: SparkSession, path: str, c: config.FileConfig, kept: database.Tables | None = None) -> list[str]:
+    """What the handlers of a bounded file print; rows go to ``kept`` where the configuration says so."""
     lines = logs.skip_first(logs.numbered_lines(spark, path), c.start_from)
-    requests = parse.requests(logs.without_matching(lines, c.skip_pattern))
+    detected = parse.detect(logs.without_matching(lines, c.skip_pattern))
+    requests = parse.to_requests(detected)
+    if kept is not None:
+        database.save_raw_logs(requests, c, kept)
     out = []
     for handler in c.handlers:
         if handler == "COUNTER":
-            out.append(report.counter_report(requests, c.top_n))
+            out.append(report.counter_report(requests, c.top_n, rejected=parse.line_counts(detected).first().rejected))
         elif handler == "METRICS":
-            out.append(report.metrics_report(rollup.rollup(requests, c.time_window_minutes)))
+            out.append(report.metrics_report(rollup.rollup(requests, c.time_window_minutes), c.metrics_window_size))
+            if kept is not None:
+                database.save_metrics(requests, c, kept)
         elif handler == "WRITE_TO_FILE":
             sinks.write_json_lines(requests, c.write_to_file)
         else:
@@ -70,8 +77,8 @@ def run(spark: SparkSession, path: str, c: config.FileConfig) -> list[str]:
     return out
 
 
-def follow(spark: SparkSession, path: str, c: config.FileConfig) -> list[StreamingQuery]:
-    """Streams of a growing file: a report every interval, closed windows into a metric table."""
+def follow(spark: SparkSession, path: str, c: config.FileConfig, kept: database.Tables | None = None) -> list[StreamingQuery]:
+    """Streams of a growing file: a report with changes every interval, closed windows into a metric table, raw logs."""
     spark.dataSource.register(TailSource)
     lines = spark.readStream.format("access_log_tail").option("paths", json.dumps([path])).option("startFrom", c.start_from).load()
     lines = logs.without_matching(lines, c.skip_pattern)
@@ -79,27 +86,54 @@ def follow(spark: SparkSession, path: str, c: config.FileConfig) -> list[Streami
     out = []
     for handler in c.handlers:
         if handler == "COUNTER":
-            out.append(streaming.start_counters(lines, lambda counts: print(report.top_report(counts, c.top_n)), f"{root}/counter", f"{c.counter_interval} seconds"))
+            out.append(streaming.start_counters(lines, lambda counts, before: print(report.live_report(counts, before, c.top_n)), f"{root}/counter", c.top_n, f"{c.counter_interval} seconds"))
         elif handler == "METRICS":
             table = sinks.MetricTable(spark, f"{root}/metrics")
-            out.append(streaming.start_metrics(lines, table, 1, c.time_window_minutes, c.metrics_window_size, f"{root}/rollup", c.replace_existing))
+            if kept is not None and c.write_metrics_to_db:
+                name = spark.createDataFrame([(c.domain_name,)], "domain string")
+                number = database.with_domain_ids(name, kept).first().domain_id
+                out.append(streaming.start_metrics(lines, kept, number, c.time_window_minutes, c.metrics_window_size, f"{root}/rollup", c.replace_existing))
+            else:
+                out.append(streaming.start_metrics(lines, table, 1, c.time_window_minutes, c.metrics_window_size, f"{root}/rollup", c.replace_existing))
         elif handler == "WRITE_TO_FILE":
             written = sinks.json_lines(parse.requests(lines)).writeStream.format("text").option("path", c.write_to_file)
             out.append(written.option("checkpointLocation", f"{root}/json").start())
+    if kept is not None and c.save_raw_logs:
+        raw = parse.requests(lines).writeStream.foreachBatch(lambda batch, _: database.save_raw_logs(batch, c, kept))
+        out.append(raw.option("checkpointLocation", f"{root}/raw").start())
     return out
 
 
+def sample_host(spark: SparkSession, c: config.FileConfig, kept: database.Tables, checkpoint: str, aligned: bool = True) -> StreamingQuery | None:
+    """The host sampler, if the configuration turns it on."""
+    if not c.host_metrics:
+        return None
+    return start_host_sampler(spark, c.host_id, lambda rows: kept.append("host_metrics", rows), checkpoint, c.host_interval, aligned)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = arguments(argv)
-    logging.basicConfig(level={"debug": logging.DEBUG, "info": logging.INFO, "warn": logging.WARNING}[args.log_level])
+    level = {"debug": logging.DEBUG, "info": logging.INFO, "warn": logging.WARNING}[args.log_level]
+    try:
+        logging.basicConfig(level=level, filename=args.log_file or None)
+    except OSError:
+        logging.basicConfig(level=level)
     spark = SparkSession.builder.appName("tidelog").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    for path, c in configs(args).items():
-        if path == config.HOST_KEY or not c.enabled:
+    found = configs(args)
+    root = f"{shared_dir(spark)}/tidelog"
+    for path in found:
+        c = config.for_file(found, path)
+        if path == config.HOST_KEY:
+            if c.host_metrics:
+                sample_host(spark, c, database.tables(spark, c, f"{root}/tables"), f"{root}/host-sampler")
+            continue
+        if not c.enabled:
             continue
+        kept = database.tables(spark, c, f"{root}/tables") if c.write_metrics_to_db or c.save_raw_logs else None
         if c.follow:
-            follow(spark, path, c)
+            follow(spark, path, c, kept)
         else:
-            print(*run(spark, path, c), sep="\n")
+            print(*run(spark, path, c, kept), sep="\n")
     if spark.streams.active:
         spark.streams.awaitAnyTermination()
 

@@ -13,7 +13,7 @@ FORMATS = ("common", "combined", "vhost", "nginx", "nginx_custom")
 # The pattern of a log line.
 LINE = r'^(?:(\S+) )?(\S+) (\S+) (\S+) \[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d+) (\d+)( "([^"]*)" "([^"]*)"( (\S+) (\S+))?)?$'
 GROUPS = ("vhost", "client_ip", "logname", "user", "stamp", "method", "uri", "protocol", "status", "bytes", "closing", "referer", "agent", "times", "request_time", "upstream_time")
-_MARK = "\x01"
+_MARK, _ESCAPE = "\x01", "\x02"
 
 
 def trimmed(line: Column) -> Column:
@@ -24,9 +24,14 @@ def capture(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """``lines`` with the captured parts as the array ``parts`` and the name of the format, NULL if none fits.
 
     The parts come out of a generator: filters on the format are not pushed below it, where they would run the pattern again.
+    A line that holds the mark between parts itself is written without it before the pattern runs, and its parts are set right after.
     """
-    flat = F.regexp_replace(F.col(line_col), LINE, _MARK + _MARK.join(f"${k}" for k in range(1, len(GROUPS) + 1)))
-    with_parts = lines.select("*", F.explode_outer(F.array(F.split(flat, _MARK))).alias("parts"))
+    line = F.col(line_col)
+    clean = F.when(line.rlike("[\\x01\\x02]"), F.replace(F.replace(line, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_MARK), F.lit(_ESCAPE + "a"))).otherwise(line)
+    flat = F.regexp_replace(clean, LINE, _MARK + _MARK.join(f"${k}" for k in range(1, len(GROUPS) + 1)))
+    split = F.split(flat, _MARK)
+    right = F.transform(split, lambda x: F.replace(F.replace(x, F.lit(_ESCAPE + "a"), F.lit(_MARK)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE)))
+    with_parts = lines.select("*", F.explode_outer(F.array(F.when(flat.contains(_ESCAPE), right).otherwise(split))).alias("parts"))
     has_host, has_end, has_times = part("vhost") != "", part("closing") != "", part("times") != ""
     name = (
         F.when(F.coalesce(F.size("parts"), F.lit(0)) != len(GROUPS) + 1, None)

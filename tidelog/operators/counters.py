@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.operators.rollup import agent_field
 
 DIMENSIONS = {
+    "lines": lambda: F.lit(""),
     "client": lambda: F.col("client_ip"),
     "device": lambda: agent_field("device_type", "Unknown"),
     "intent": lambda: agent_field("intent", "Unknown"),
@@ -34,7 +35,7 @@ def totals(requests: DataFrame) -> DataFrame:
     )
 
 
-def by_dimension(requests: DataFrame, dimensions: tuple[str, ...] = tuple(DIMENSIONS)) -> DataFrame:
+def by_dimension(requests: DataFrame, dimensions: tuple[str, ...] = tuple(d for d in DIMENSIONS if d != "lines")) -> DataFrame:
     """(dimension, key, n) of all dimensions in one pass."""
     each = F.array(*[F.struct(F.lit(d).alias("dimension"), DIMENSIONS[d]().alias("key")) for d in dimensions])
     return requests.select(F.explode(each).alias("d")).groupBy("d.dimension", "d.key").agg(F.count("*").alias("n"))

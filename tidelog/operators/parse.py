@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidelog.functions import agents, formats, threats, timebin, urls
 from tidelog.functions.formats import part
 
-#: Order in which a format wins where a file has several.
-STICKY_ORDER = ("nginx_custom", "nginx", "vhost", "combined", "common")
+#: Files whose formats are sent to all executors; lines of more files meet them by a shuffle.
+BROADCAST_FILES = 100_000
+#: Lines of a file whose order is looked at in one task.
+BLOCK = 100_000
 
 
 def detect(lines: DataFrame, line_col: str = "value") -> DataFrame:
@@ -18,8 +20,13 @@ def detect(lines: DataFrame, line_col: str = "value") -> DataFrame:
 
 
 def keep_first_format(detected: DataFrame, file_col: str, order_col: str) -> DataFrame:
-    """Only lines of the format that each file's first accepted line has: one row per file is joined back."""
+    """Only lines of the format that each file's first accepted line has: one row per file is joined back.
+
+    A line that fits several formats counts as the first of nginx_custom, nginx, vhost, combined and common that it fits (``capture``).
+    """
     first = detected.where("format is not null").groupBy(file_col).agg(F.min_by("format", order_col).alias("_sticky"))
+    if not detected.isStreaming and detected.select(file_col).distinct().limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+        first = F.broadcast(first)
     return detected.join(first, file_col).where(F.col("format") == F.col("_sticky")).drop("_sticky")
 
 
@@ -81,6 +88,16 @@ def line_counts(detected: DataFrame) -> DataFrame:
 
 
 def flag_out_of_order(requests: DataFrame, file_col: str, order_col: str) -> DataFrame:
-    """Marks requests whose timestamp lies before that of an earlier line of the file."""
-    before = Window.partitionBy(file_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    return requests.withColumn("is_out_of_order", F.coalesce(F.col("ts") < F.max("ts").over(before), F.lit(False)))
+    """Marks requests whose timestamp lies before that of an earlier line of the file.
+
+    ``order_col`` is a number. Lines are compared within blocks of about ``BLOCK`` numbers and with the newest timestamp of the
+    blocks before, so that a file of any length is spread over tasks.
+    """
+    blocked = requests.withColumn("_block", F.floor(F.col(order_col) / BLOCK))
+    tops = blocked.groupBy(file_col, "_block").agg(F.max("ts").alias("_top"))
+    before = Window.partitionBy(file_col).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = tops.select(file_col, "_block", F.max("_top").over(before).alias("_before"))
+    here = Window.partitionBy(file_col, "_block").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    own = blocked.withColumn("_newest", F.max("ts").over(here)).join(earlier, [file_col, "_block"])
+    late = F.coalesce(F.col("ts") < F.greatest("_before", "_newest"), F.lit(False))
+    return own.withColumn("is_out_of_order", late).select(*requests.columns, *(["is_out_of_order"] if "is_out_of_order" not in requests.columns else []))

@@ -12,6 +12,10 @@ from pyspark.sql.types import BinaryType
 from tidelog.operators.rollup import agent_field
 
 
+#: Longest domain name.
+MOST_NAME = 255
+
+
 def is_relevant() -> Column:
     """Harmless requests of browsers and unknown agents that ended in 2xx or 5xx."""
     ended = F.col("status").startswith("2") | F.col("status").startswith("5")
@@ -27,7 +31,10 @@ def packed_ip(ip: pd.Series) -> pd.Series:
         except ValueError:
             return None
 
-    return ip.map(pack)
+    # An address is packed once a batch.
+    codes, names = pd.factorize(ip)
+    packed = [*map(pack, names), None]
+    return pd.Series([packed[c] for c in codes], dtype=object)
 
 
 def raw_rows(requests: DataFrame, masked: bool, domain: str = "", keep: list[str] = ()) -> DataFrame:
@@ -64,9 +71,10 @@ def request_domain(domain: Column, configured: str) -> Column:
 def assign_ids(names: DataFrame, known: DataFrame, name_col: str, id_col: str) -> DataFrame:
     """``known`` (id, name) with new names appended under the next ids, in order of name.
 
-    Only names that are new are numbered; those are one row per domain, not per request.
+    Names are cut to ``MOST_NAME`` characters before they are looked up as well as before they are kept. Only names that are new are
+    numbered; those are one row per domain, not per request.
     """
-    fresh = names.select(name_col).distinct().join(known, name_col, "left_anti")
-    top = known.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint").alias("_top"))
-    numbered = fresh.withColumn("_n", F.row_number().over(Window.orderBy(name_col))).crossJoin(top)
-    return known.select(id_col, name_col).union(numbered.select((F.col("_top") + F.col("_n")).cast("bigint").alias(id_col), name_col))
+    fresh = names.select(F.left(name_col, F.lit(MOST_NAME)).alias(name_col)).distinct().join(known, name_col, "left_anti")
+    top = known.agg(F.max(id_col)).first()[0] or 0
+    numbered = fresh.withColumn("_n", F.row_number().over(Window.orderBy(name_col)))
+    return known.select(id_col, name_col).union(numbered.select((F.lit(top) + F.col("_n")).cast("bigint").alias(id_col), name_col))

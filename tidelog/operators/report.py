@@ -4,32 +4,52 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from tidelog.operators import counters
+from tidelog.operators.rollup import live_windows
 from tidelog.operators.sinks import live_json
 
 
-def top_report(counts: DataFrame, n: int = 10, previous: dict[tuple[str, str], int] | None = None) -> str:
-    """The top keys of each printed dimension of (dimension, key, n); with ``previous`` counts, changes in parentheses."""
-    rows = counters.top(counts, n).orderBy("dimension", "rank").collect()
+def top_report(counts: dict[tuple[str, str], int], n: int = 10, previous: dict[tuple[str, str], int] | None = None) -> str:
+    """The top keys of each printed dimension from (dimension, key) counts; with ``previous`` ones, changes in parentheses."""
     lines = []
     for dimension in counters.PRINTED:
-        mine = [r for r in rows if r.dimension == dimension]
-        width = min(15, max([10, *(len(r.key or "") for r in mine)]))
+        mine = sorted(((key, c) for (d, key), c in counts.items() if d == dimension), key=lambda x: (-x[1], x[0] or ""))[: max(1, n)]
+        width = min(15, max([10, *(len(key or "") for key, _ in mine)]))
         lines.append(f"--- {dimension} ---")
-        for r in mine:
-            delta = "" if previous is None else f" (+{r.n - previous.get((dimension, r.key), 0)})"
-            lines.append(f"{(r.key or '-not set-')[:width]:<{width}} {r.n}{delta}")
+        for key, c in mine:
+            delta = "" if previous is None else f" (+{c - previous.get((dimension, key), 0)})"
+            lines.append(f"{(key or '-not set-')[:width]:<{width}} {c}{delta}")
     return "\n".join(lines)
 
 
-def counter_report(requests: DataFrame, n: int = 10, previous: dict[tuple[str, str], int] | None = None) -> str:
-    """Totals and the top keys of each printed dimension."""
+def counter_report(requests: DataFrame, n: int = 10, previous: dict[tuple[str, str], int] | None = None, rejected: int | None = None) -> str:
+    """Totals, with the lines read where ``rejected`` ones are known, and the top keys of each printed dimension."""
     total = counters.totals(requests).first().asDict()
-    return "\n".join([f"{k}: {v}" for k, v in total.items()] + [top_report(counters.by_dimension(requests, counters.PRINTED), n, previous)])
-
-
-def metrics_report(rolled: DataFrame) -> str:
-    found = {str(r.metric_type): {k: json.loads(v) for k, v in json.loads(r.value).items()} for r in live_json(rolled).collect()}
+    if rejected is not None:
+        total = {"lines": total["requests"] + rejected, "rejected": rejected} | total
+    tops = {(r.dimension, r.key): r.n for r in counters.top(counters.by_dimension(requests, counters.PRINTED), n).collect()}
+    return "\n".join([f"{k}: {v}" for k, v in total.items()] + [top_report(tops, n, previous)])
+
+
+def live_report(counts: dict[tuple[str, str], int], before: dict[tuple[str, str], int], n: int = 10) -> str:
+    """A report of a running count: the lines so far and the tops, with changes since the report before."""
+    lines = counts.get(("lines", ""), 0)
+    return f"lines: {lines} (+{lines - before.get(('lines', ''), 0)})\n" + top_report(counts, n, before)
+
+
+def metrics_report(rolled: DataFrame, slots: int | None = None, most_keys: int = 1000) -> str:
+    """{type: {key: {"Values": {window: n}}}}, of each key's newest ``slots`` windows where given.
+
+    A type's ``most_keys`` largest keys are shown, as a console dump must fit the driver; the metric table has all of them.
+    """
+    live = rolled if slots is None else live_windows(rolled, slots).where("live")
+    size = live.groupBy("metric_type", "key_value").agg(F.sum("metric_value").alias("size"))
+    nth = F.row_number().over(Window.partitionBy("metric_type").orderBy(F.desc("size"), "key_value"))
+    shown = size.withColumn("nth", nth).where(F.col("nth") <= most_keys).select("metric_type", "key_value")
+    found: dict[str, dict] = {}
+    for r in live_json(live.join(shown, ["metric_type", "key_value"])).collect():
+        found.setdefault(str(r.metric_type), {})[r.key_value] = json.loads(r.value)
     return json.dumps(found, indent=4, sort_keys=True)

@@ -35,10 +35,11 @@ def merge(current: DataFrame, fresh: DataFrame, replace: bool, key: tuple[str, .
 
 
 class MetricTable:
-    """A metric table kept as Parquet versions; each version names the batches it holds.
+    """A metric table kept as Parquet by day; a head names each day's folder and the batches that the table holds.
 
-    A batch that was merged before is skipped, so adding upserts survive the replay of a micro-batch. The version is made
-    visible by one small file written last.
+    An upsert rewrites only the days that it touches. A batch that was merged before is skipped, so adding upserts survive the replay of
+    a micro-batch. A version becomes visible with its head, a small file that only one writer can put in its place; folders that
+    it replaced are deleted with the version after the next one, so that running reads finish.
     """
 
     SCHEMA = "domain_id bigint, metric_type int, key_value string, time_window bigint, metric_value bigint"
@@ -46,28 +47,60 @@ class MetricTable:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _head(self) -> dict:
+        path, files = self._files()
+        folder = path(f"{self.root}/heads")
+        names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+        newest = max((n for n in names if n.endswith(".json")), default=None)
+        if newest is None:
+            return {"n": 0, "days": {}, "batches": {}, "gone": []}
+        stream = files.open(path(f"{self.root}/heads/{newest}"))
         try:
-            rows = self.spark.read.text(f"{self.root}/heads").collect()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return {"n": 0, "data": None, "batches": {}}
-        return max((json.loads(r.value) for r in rows), key=lambda h: h["n"])
-
-    def read(self) -> DataFrame:
-        data = self._head()["data"]
-        return self.spark.read.schema(self.SCHEMA).parquet(data) if data else self.spark.createDataFrame([], self.SCHEMA)
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, head: dict) -> None:
+        path, files = self._files()
+        draft, place = path(f"{self.root}/drafts/{uuid.uuid4().hex}"), path(f"{self.root}/heads/{head['n']:012d}.json")
+        stream = files.create(draft)
+        stream.write(bytearray(json.dumps(head).encode()))
+        stream.close()
+        files.mkdirs(place.getParent())
+        if files.exists(place) or not files.rename(draft, place):
+            files.delete(draft, False)
+            raise RuntimeError(f"another writer has put version {head['n']} in place")
+        files.delete(path(f"{self.root}/heads/{head['n'] - 2:012d}.json"), False)
+
+    def read(self, days: list[str] | None = None) -> DataFrame:
+        """The table, or some of its days."""
+        head = self._head()
+        folders = [f for d, f in head["days"].items() if days is None or d in days]
+        return self.spark.read.schema(self.SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], self.SCHEMA)
 
     def upsert(self, fresh: DataFrame, replace: bool, query: str = "", batch_id: int | None = None) -> bool:
         head = self._head()
         if batch_id is not None and head["batches"].get(query, -1) >= batch_id:
             return False
+        path, files = self._files()
+        day = F.floor(F.coalesce("time_window", F.lit(0)) / 10_000).cast("bigint")
+        # Written first, so that the batch is computed once however often it is read below.
+        staged = f"{self.root}/staged/{uuid.uuid4().hex}"
+        fresh.select(*KEY, "metric_value").write.parquet(staged)
+        new = self.spark.read.schema(self.SCHEMA).parquet(staged)
+        days = [str(r.day) for r in new.select(day.alias("day")).distinct().collect()]
         data = f"{self.root}/data/{uuid.uuid4().hex}"
-        merge(self.read(), fresh, replace).write.parquet(data)
+        if days:
+            merge(self.read(days), new, replace).withColumn("day", day).repartition("day").write.partitionBy("day").parquet(data)
         batches = head["batches"] | ({query: batch_id} if batch_id is not None else {})
-        line = json.dumps({"n": head["n"] + 1, "data": data, "batches": batches})
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/heads")
+        gone = [head["days"][d] for d in days if d in head["days"]]
+        self._publish({"n": head["n"] + 1, "days": head["days"] | {d: f"{data}/day={d}" for d in days}, "batches": batches, "gone": gone})
+        for folder in [*head["gone"], staged]:
+            files.delete(path(folder), True)
         return True
 
 
@@ -76,8 +109,62 @@ def write_jdbc(rows: DataFrame, url: str, table: str, properties: dict[str, str]
     rows.coalesce(writers).write.jdbc(url, table, mode="append", properties={"batchsize": str(batch), "rewriteBatchedStatements": "true", **properties})
 
 
+def upsert_statement(url: str, table: str, staged: str, replace: bool) -> str:
+    """The statement that merges staged metric rows into the table, in the database's own words."""
+    keys, columns = ", ".join(KEY), ", ".join((*KEY, "metric_value"))
+    if url.startswith(("jdbc:mysql:", "jdbc:mariadb:")):
+        value = "VALUES(metric_value)" if replace else "metric_value + VALUES(metric_value)"
+        return f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {staged} ON DUPLICATE KEY UPDATE metric_value = {value}"
+    if url.startswith(("jdbc:postgresql:", "jdbc:sqlite:")):
+        value = "excluded.metric_value" if replace else f"{table}.metric_value + excluded.metric_value"
+        return f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {staged} WHERE true ON CONFLICT ({keys}) DO UPDATE SET metric_value = {value}"
+    on = " AND ".join(f"t.{k} = s.{k}" for k in KEY)
+    value = "s.metric_value" if replace else "t.metric_value + s.metric_value"
+    return f"MERGE INTO {table} t USING {staged} s ON {on} WHEN MATCHED THEN UPDATE SET metric_value = {value} WHEN NOT MATCHED THEN INSERT ({columns}) VALUES ({', '.join(f's.{c}' for c in (*KEY, 'metric_value'))})"
+
+
+def _connection(spark: SparkSession, url: str, properties: dict[str, str]):
+    jvm = spark._jvm
+    given = jvm.java.util.Properties()
+    for k, v in properties.items():
+        given.setProperty(k, v)
+    if "driver" in properties:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(properties["driver"])
+    return jvm.java.sql.DriverManager.getConnection(url, given)
+
+
+def execute(spark: SparkSession, url: str, properties: dict[str, str], statements: list[str]) -> None:
+    """Runs the statements in one transaction."""
+    connection = _connection(spark, url, properties)
+    try:
+        connection.setAutoCommit(False)
+        for text in statements:
+            statement = connection.createStatement()
+            statement.executeUpdate(text)
+            statement.close()
+        connection.commit()
+    finally:
+        connection.close()
+
+
+def has_table(spark: SparkSession, url: str, properties: dict[str, str], name: str) -> bool:
+    connection = _connection(spark, url, properties)
+    try:
+        return any(connection.getMetaData().getTables(None, None, n, None).next() for n in (name, name.upper()))
+    finally:
+        connection.close()
+
+
+def upsert_jdbc(rows: DataFrame, url: str, table: str, staged: str, properties: dict[str, str], replace: bool) -> None:
+    """Metric rows into a database table with a key over ``KEY``: appended to a staging table over a bounded number of connections, then
+    merged and cleared by the database in one transaction. The staging table belongs to one writer."""
+    summed = rows.groupBy(*KEY).agg(F.sum("metric_value").alias("metric_value"))
+    execute(rows.sparkSession, url, properties, [f"DELETE FROM {staged}"])
+    write_jdbc(summed, url, staged, properties)
+    execute(rows.sparkSession, url, properties, [upsert_statement(url, table, staged, replace), f"DELETE FROM {staged}"])
+
+
 def live_json(rolled: DataFrame) -> DataFrame:
-    """{type: {key: {"Values": {window: n}}}} of the cells, as indented JSON in one row; for console dumps of live cells."""
+    """(metric_type, key_value, value): {"Values": {window: n}} of each key; for console dumps of live cells."""
     keys = rolled.groupBy("metric_type", "key_value").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("time_window").cast("string"), "metric_value")))).alias("w"))
-    kinds = keys.groupBy("metric_type").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key_value", F.to_json(F.struct(F.col("w").alias("Values"))).alias("v"))))).alias("k"))
-    return kinds.select("metric_type", F.to_json("k").alias("value"))
+    return keys.select("metric_type", "key_value", F.to_json(F.struct(F.col("w").alias("Values"))).alias("value"))

@@ -75,6 +75,7 @@ def _cells(minutes: int) -> str:
     return REQ + f", cells AS ({every}), rolled AS (SELECT metric_type, key_value, time_window, CAST(sum(v) AS BIGINT) AS metric_value FROM cells GROUP BY ALL) "
 
 
+# The five line patterns, from the groups that each format has in common.
 _RX_MIDDLE = r'\[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d+) (\d+)'
 _RX_END = r' "([^"]*)" "([^"]*)"'
 _PATTERNS = {
@@ -190,13 +191,13 @@ def metric_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.rollup(requests(spark, sf_dir), 10)
 
 
-def _metric_query(number: int):
-    return lambda spark, sf_dir: rollup.rollup(requests(spark, sf_dir), 60).where(F.col("metric_type") == number)
+def _metric_query(name: str):
+    return lambda spark, sf_dir: rollup.rollup(requests(spark, sf_dir), 60, types=(name,))
 
 
 for _name, _number in rollup.METRIC_TYPES.items():
     if _name != "client_ip":
-        query(f"metric_{_name}", _cells(60) + f"SELECT * FROM rolled WHERE metric_type = {_number}")(_metric_query(_number))
+        query(f"metric_{_name}", _cells(60) + f"SELECT * FROM rolled WHERE metric_type = {_number}")(_metric_query(_name))
 
 
 @query("metric_by_domain", _cells(60).replace("FROM req ", "FROM req ") + "SELECT 'example.org' AS domain, metric_type, CAST(sum(metric_value) AS BIGINT) AS metric_value FROM rolled GROUP BY ALL")
@@ -232,9 +233,9 @@ for _d in counters.TOP_DIMENSIONS:
     query(f"topn_{_d}s", REQ + f"SELECT {_DIMENSIONS[_d]} AS key, count(*) AS n FROM req GROUP BY 1 ORDER BY n DESC, key LIMIT 10")(_top_query(_d))
 
 
-@query("counter_delta", _cells(60) + "SELECT *, CAST(metric_value - coalesce(lag(metric_value) OVER (PARTITION BY metric_type, key_value ORDER BY time_window), 0) AS BIGINT) AS delta FROM rolled WHERE metric_type IN (1, 2, 3)")
+@query("counter_delta", _cells(60) + "SELECT *, CAST(metric_value - coalesce(lag(metric_value) OVER (PARTITION BY metric_type, key_value ORDER BY time_window), 0) AS BIGINT) AS delta FROM rolled")
 def counter_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counters.change(rollup.rollup(requests(spark, sf_dir), 60).where("metric_type in (1, 2, 3)"))
+    return counters.change(rollup.rollup(requests(spark, sf_dir), 60))
 
 
 _RELEVANT = "malicious = 0 AND (status LIKE '2%' OR status LIKE '5%') AND device <> 'Script' AND family NOT IN ('Scanner', 'SEOBot', 'Script')"
@@ -310,23 +311,37 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("j.protocol").cast("bigint").alias("event_id"), F.col("j.timestamp").alias("stamp"), "j.client_ip", "j.method", "j.path", "j.status", "j.bytes_sent", "j.referer", "j.malicious", "j.user_agent.family")
 
 
-@query("live_windows", _cells(10) + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric_type, key_value ORDER BY time_window DESC) <= 3 AS live FROM rolled) WHERE metric_type IN (1, 3)")
+@query("live_windows", _cells(10) + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric_type, key_value ORDER BY time_window DESC) <= 3 AS live FROM rolled)")
 def live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.live_windows(rollup.rollup(requests(spark, sf_dir), 10).where("metric_type in (1, 3)"), 3)
+    return rollup.live_windows(rollup.rollup(requests(spark, sf_dir), 10), 3)
 
 
-_LATE = "wall < max(wall) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 30 MINUTE"
+#: Lines arrive in three parts by order, and every tenth of them only at the end.
+_ARRIVAL = "CASE WHEN event_id % 10 = 3 THEN 3 ELSE CAST(floor(3.0 * event_id / (max(event_id) OVER () + 1)) AS INTEGER) END"
+_END = "date_trunc('hour', wall) + INTERVAL 10 MINUTE * (1 + CAST(floor(extract('minute' FROM wall) / 10) AS INTEGER))"
 
 
-@query("late_dropped", REQ + f"SELECT count(*) FILTER (late) AS late, count(*) FILTER (NOT late) AS in_time FROM (SELECT coalesce({_LATE}, false) AS late FROM req)")
+@query(
+    "late_dropped",
+    # A batch drops what lies in windows that were closed by the lines before the batch before it.
+    _cells(10).replace("\nreq AS (", "\nall_req AS (").rsplit(", cells AS (", 1)[0]
+    + f""", arrived AS (SELECT *, {_ARRIVAL} AS batch, {_END} AS w_end FROM all_req), newest AS (SELECT batch, max(wall) AS wall FROM arrived GROUP BY batch),
+    marks AS (SELECT b.batch, max(n.wall) FILTER (n.batch < b.batch - 1) - INTERVAL 30 MINUTE AS late, max(n.wall) - INTERVAL 30 MINUTE AS done FROM newest b, newest n GROUP BY b.batch),
+    req AS (SELECT a.* FROM arrived a JOIN marks USING (batch) WHERE (late IS NULL OR w_end > late) AND w_end <= done), cells AS ("""
+    + _cells(10).rsplit(", cells AS (", 1)[1]
+    + "SELECT * FROM rolled",
+)
 def late_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines later than three ten-minute windows behind the newest wall clock before them in the file."""
-    flagged = parse.flag_out_of_order(requests(spark, sf_dir).withColumns({"file": F.lit("log"), "ts": F.col("ts_wall") + F.expr("INTERVAL 30 MINUTES"), "seen": F.col("ts_wall")}), "file", "event_id")
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("file").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    late = F.coalesce(F.col("ts") < F.max("seen").over(before), F.lit(False))
-    return flagged.select(late.alias("late")).agg(F.count_if("late").alias("late"), F.count_if(~F.col("late")).alias("in_time"))
+    """What a stream with a watermark of three ten-minute windows keeps of lines that arrive late, in the windows that it closed."""
+    root = f"{shared_dir(spark)}/tidelog/late-{uuid.uuid4().hex}"
+    arrival = F.expr(_ARRIVAL.replace("max(event_id) OVER ()", str(spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()[0])))
+    lines = fixture.spark_log(spark, sf_dir).withColumn("batch", arrival)
+    for k in range(4):
+        lines.where(F.col("batch") == k).select("value").coalesce(1).write.text(f"{root}/lines/part={k}")
+    stream = spark.readStream.schema("value string, part int").option("maxFilesPerTrigger", 1).text(f"{root}/lines").select("value")
+    table = sinks.MetricTable(spark, f"{root}/metrics")
+    streaming.start_metrics(stream, table, 1, 10, 3, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return table.read().select("metric_type", _shown("key_value").alias("key_value"), "time_window", "metric_value")
 
 
 @query("out_of_order", REQ + "SELECT count(*) FILTER (o) AS out_of_order FROM (SELECT coalesce(epoch(strptime(stamp, '%d/%b/%Y:%H:%M:%S %z')) < max(epoch(strptime(stamp, '%d/%b/%Y:%H:%M:%S %z'))) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS o FROM req)")
@@ -339,10 +354,10 @@ def out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"rollup_{uuid.uuid4().hex}"
-    run = streaming.start_bounded(fixture.as_log(stream), 10, name, f"{shared_dir(spark)}/tidelog/stream-{name}")
-    run.awaitTermination()
-    return spark.table(name).withColumn("key_value", _shown("key_value"))
+    root = f"{shared_dir(spark)}/tidelog/stream-{uuid.uuid4().hex}"
+    table = sinks.MetricTable(spark, f"{root}/metrics")
+    streaming.start_bounded(fixture.as_log(stream), 10, table, 1, f"{root}/checkpoint").awaitTermination()
+    return table.read().select("metric_type", _shown("key_value").alias("key_value"), "time_window", "metric_value")
 
 
 _UPTIMES = (

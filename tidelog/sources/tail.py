@@ -1,18 +1,33 @@
 """A streaming source that follows growing log files through rotation.
 
-The offset of a file is its inode and the end of its last complete line. When the inode changes, the rotated file is looked for
-beside it and drained from the old offset, then the new file is read from its start. Lines still being written wait for their end.
+The offset of a path is the end of the last complete line read of every file that was there lately: the current one and the ones it was
+renamed to, known by their inodes, with a checksum of each file's first bytes. A rotated file is followed to its end, also where lines
+are still written to it after the rotation, and any number of rotations between two triggers is caught up on, the oldest file first.
+A file that shrank, or that begins otherwise than before, was truncated in place and is read from its start. Lines still being written wait
+for their end; a rotated file's last line has ended when nothing was written for ``SETTLED`` seconds.
+
+Files are opened by path where the tasks run: on a cluster the folder must be mounted everywhere, as with any ``file://`` source.
+``maxBytesPerTrigger`` bounds what a trigger takes in of all files (0: everything); the first trigger after a restart has no bound.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import os
+import time
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+SETTLED = 5.0
+#: Bytes of a file's start that tell it from another one.
+FACE = 256
+#: Rotated files of a path that are followed.
+FOLLOWED = 8
 _CHUNK = 1 << 16
+_log = logging.getLogger(__name__)
 
 
 class ByteRange(InputPartition):
@@ -20,6 +35,12 @@ class ByteRange(InputPartition):
         self.path, self.shown, self.start, self.end = path, shown, start, end
 
 
+def face(path: str, n: int) -> int:
+    """A checksum of the first n bytes."""
+    with open(path, "rb") as f:
+        return zlib.crc32(f.read(n))
+
+
 def complete_end(path: str, start: int = 0) -> int:
     """The place after the last line end at or after ``start``, ``start`` if there is none."""
     size = os.path.getsize(path)
@@ -36,15 +57,22 @@ def complete_end(path: str, start: int = 0) -> int:
 
 
 class TailReader(DataSourceStreamReader):
-    def __init__(self, paths: list[str], start_from: int, most_bytes: int) -> None:
-        self.paths, self.start_from, self.most_bytes = paths, start_from, most_bytes
-        self.at: dict = {}
+    """Offsets are {path: [[inode, end, bytes in the checksum, checksum], ...]}, the current file last."""
+
+    def __init__(self, paths: list[str], start_from: int, most_bytes: int, per_trigger: int = 0) -> None:
+        self.paths, self.start_from, self.most_bytes, self.per_trigger = paths, start_from, most_bytes, per_trigger
+        self.last: dict[str, list] | None = None
+
+    @staticmethod
+    def _entry(path: str, end: int) -> list:
+        n = min(FACE, end)
+        return [os.stat(path).st_ino, end, n, face(path, n)]
 
     def initialOffset(self) -> dict:
         out = {}
         for path in self.paths:
             if not os.path.exists(path):
-                out[path] = [0, 0]
+                out[path] = []
                 continue
             where = 0
             if self.start_from < 0:
@@ -54,36 +82,88 @@ class TailReader(DataSourceStreamReader):
                     for _ in range(max(1, self.start_from - 1)):
                         f.readline()
                     where = f.tell()
-            out[path] = [os.stat(path).st_ino, where]
+            out[path] = [self._entry(path, where)]
+        self.last = out
         return {"files": json.dumps(out)}
 
+    @staticmethod
+    def _files(path: str) -> dict[int, str]:
+        """The path's own file and those that it may have been renamed to, by inode, the oldest first."""
+        folder, name = os.path.split(path)
+        folder = folder or "."
+        found = []
+        for other in os.listdir(folder) if os.path.isdir(folder) else ():
+            full = path if other == name else os.path.join(folder, other)
+            if (other == name or other.startswith(name) and other[len(name)] in ".-_") and not other.endswith((".gz", ".bz2", ".xz", ".zst")) and os.path.isfile(full):
+                stat = os.stat(full)
+                found.append((other == name, stat.st_mtime_ns, stat.st_ino, full))
+        return {inode: full for _, _, inode, full in sorted(found)}
+
+    def _now(self, path: str, before: list) -> list:
+        """The path's entries up to its last complete lines, of the files known before and of those that are newer."""
+        files = self._files(path)
+        known = {e[0] for e in before}
+        for inode in known - set(files):
+            _log.warning("%s: a rotated file is gone before its end was read", path)
+        seen = [i for i in files if i in known]
+        oldest = os.stat(files[seen[0]]).st_mtime_ns if seen else None
+        out = []
+        for inode, full in files.items():
+            if full != path and inode not in known and (oldest is None or os.stat(full).st_mtime_ns < oldest):
+                continue
+            settled = full != path and time.time() - os.stat(full).st_mtime > SETTLED
+            out.append(self._entry(full, os.path.getsize(full) if settled else complete_end(full)))
+        return out[-FOLLOWED:]
+
     def latestOffset(self) -> dict:
+        before = self.last or {}
+        room = self.per_trigger if self.per_trigger and self.last is not None else None
         out = {}
         for path in self.paths:
-            out[path] = [os.stat(path).st_ino, complete_end(path)] if os.path.exists(path) else [0, 0]
+            entries = self._now(path, before.get(path, []))
+            if room is not None:
+                entries, room = self._bounded(path, before.get(path, []), entries, room)
+            out[path] = entries
+        self.last = out
         return {"files": json.dumps(out)}
 
-    def _rotated(self, path: str, inode: int) -> str | None:
-        folder = os.path.dirname(path) or "."
-        for name in os.listdir(folder):
-            other = os.path.join(folder, name)
-            if os.path.isfile(other) and os.stat(other).st_ino == inode:
-                return other
-        return None
+    def _bounded(self, path: str, before: list, entries: list, room: int) -> tuple[list, int]:
+        """As many of the new bytes as there is room for, cut at a line's end, one line at least."""
+        starts, files, out = self._starts(path, before, entries), self._files(path), []
+        for (inode, end, n, check), start in zip(entries, starts, strict=True):
+            if end > start and room <= 0:
+                break
+            if end - start > room:
+                with open(files[inode], "rb") as f:
+                    f.seek(start + max(0, room - 1))
+                    f.readline()
+                    end = min(end, f.tell())
+                out.append(self._entry(files[inode], end))
+                return out, 0
+            room -= max(0, end - start)
+            out.append([inode, end, n, check])
+        return out or [e for e in before], room
+
+    def _starts(self, path: str, before: list, after: list) -> list[int]:
+        """Where reading goes on in each file of ``after``."""
+        had, files = {e[0]: e for e in before}, self._files(path)
+        out = []
+        for inode, end, _, _ in after:
+            _, at, n, check = had.get(inode, [inode, 0, 0, 0])
+            fresh = end < at or n and inode in files and face(files[inode], n) != check
+            out.append(0 if fresh else at)
+        return out
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
         out: list[InputPartition] = []
-        for path, (inode, stop) in after.items():
-            old, at = before.get(path, [0, 0])
-            if old and old != inode:
-                if (rest := self._rotated(path, old)) is not None:
-                    out += self._split(rest, path, at, os.path.getsize(rest))
-                at = 0
-            if stop < at:  # truncated in place
-                at = 0
-            if inode:
-                out += self._split(path, path, at, stop)
+        for path, entries in after.items():
+            files = self._files(path)
+            for (inode, stop, _, _), at in zip(entries, self._starts(path, before.get(path, []), entries), strict=True):
+                if stop > at and inode not in files:
+                    raise FileNotFoundError(f"{path}: a file with {stop - at} bytes to read is gone")
+                out += self._split(files.get(inode, path), path, at, stop) if stop > at else []
+        self.last = after
         return out
 
     def _split(self, path: str, shown: str, start: int, end: int) -> list[InputPartition]:
@@ -120,4 +200,4 @@ class TailSource(DataSource):
         return "value string, file string"
 
     def streamReader(self, schema) -> TailReader:
-        return TailReader(json.loads(self.options["paths"]), int(self.options.get("startFrom", 0)), int(self.options.get("maxPartitionBytes", 32 << 20)))
+        return TailReader(json.loads(self.options["paths"]), int(self.options.get("startFrom", 0)), int(self.options.get("maxPartitionBytes", 32 << 20)), int(self.options.get("maxBytesPerTrigger", 0)))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidelog.operators import counters, parse
 from tidelog.operators.rollup import cells
@@ -23,25 +25,59 @@ def windowed(requests: DataFrame, minutes: int, slots: int | None) -> DataFrame:
     return grouped.select("metric_type", "key_value", F.date_format("w.start", "yyyyMMddHHmm").cast("bigint").alias("time_window"), "metric_value")
 
 
-def start_bounded(lines: DataFrame, minutes: int, name: str, checkpoint: str) -> StreamingQuery:
-    """Everything there is, once, into the memory table ``name``: complete mode, so that the last windows come too."""
+def start_bounded(lines: DataFrame, minutes: int, table: MetricTable, domain_id: int, checkpoint: str) -> StreamingQuery:
+    """Everything there is, once, into a metric table: cells that a batch changed replace what the table had of them."""
     out = windowed(parse.requests(lines), minutes, None)
-    return out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _saved(out, table, domain_id, True, checkpoint).outputMode("update").trigger(availableNow=True).start()
+
 
+def _saved(out: DataFrame, table: MetricTable, domain_id: int, replace: bool, checkpoint: str) -> DataStreamWriter:
+    def save(batch: DataFrame, batch_id: int) -> None:
+        table.upsert(batch.withColumn("domain_id", F.lit(domain_id).cast("bigint")), replace, checkpoint, batch_id)
 
-def start_metrics(lines: DataFrame, table: MetricTable, domain_id: int, minutes: int, slots: int, checkpoint: str, replace: bool = True, every: str = "10 seconds") -> StreamingQuery:
+    return out.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+
+
+def start_metrics(lines: DataFrame, table: MetricTable, domain_id: int, minutes: int, slots: int, checkpoint: str, replace: bool = True, every: str = "10 seconds", available_now: bool = False) -> StreamingQuery:
     """Closed windows into a metric table; late rows are dropped by the watermark, replayed batches are skipped."""
     out = windowed(parse.requests(lines), minutes, slots)
+    trigger = {"availableNow": True} if available_now else {"processingTime": every}
+    return _saved(out, table, domain_id, replace, checkpoint).outputMode("append").trigger(**trigger).start()
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        table.upsert(batch.withColumn("domain_id", F.lit(domain_id).cast("bigint")), replace, checkpoint, batch_id)
 
-    return out.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+class Tops:
+    """The largest keys of each dimension, from the counts that changed.
+
+    Counts only grow, so a key that did not change enters no top: the tops of the changed keys and the tops before are all that is
+    needed. ``WIDER`` times as many keys as are shown are held, with their counts at the last report.
+    """
+
+    WIDER = 20
+
+    def __init__(self, n: int) -> None:
+        self.n = max(1, n)
+        self.counts: dict[tuple[str, str], int] = {}
+
+    def update(self, changed: DataFrame) -> tuple[dict[tuple[str, str], int], dict[tuple[str, str], int]]:
+        """(counts, counts before) of the held keys after a batch of changed (dimension, key, n); new keys had none before."""
+        before = self.counts
+        now = dict(before)
+        now.update({(r.dimension, r.key): r.n for r in counters.top(changed, self.WIDER * self.n).collect()})
+        held = {}
+        for dimension in {d for d, _ in now}:
+            mine = sorted(((k, n) for k, n in now.items() if k[0] == dimension), key=lambda x: (-x[1], x[0][1] or ""))
+            held.update(mine[: self.WIDER * self.n])
+        self.counts = held
+        return held, before
+
 
+def start_counters(lines: DataFrame, show: Callable[[dict, dict], None], checkpoint: str, top_n: int = 10, every: str = "30 seconds") -> StreamingQuery:
+    """Exact running counts by dimension; ``show`` gets the largest ones and what they were at the trigger before.
 
-def start_counters(lines: DataFrame, show, checkpoint: str, every: str = "30 seconds") -> StreamingQuery:
-    """Exact running counts by dimension, given to ``show`` as a DataFrame with each trigger."""
+    Each trigger emits only the keys that it changed; the totals of all keys are in the state store.
+    """
     requests = parse.requests(lines)
-    each = F.array(*[F.struct(F.lit(d).alias("dimension"), counters.DIMENSIONS[d]().alias("key")) for d in counters.PRINTED])
+    each = F.array(*[F.struct(F.lit(d).alias("dimension"), counters.DIMENSIONS[d]().alias("key")) for d in ("lines", *counters.PRINTED)])
     counted = requests.select(F.explode(each).alias("d")).groupBy("d.dimension", "d.key").agg(F.count("*").alias("n"))
-    return counted.writeStream.outputMode("complete").foreachBatch(lambda batch, _: show(batch)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    tops = Tops(top_n)
+    return counted.writeStream.outputMode("update").foreachBatch(lambda batch, _: show(*tops.update(batch))).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
