@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm import cases
 from tidelog.llm import quality
@@ -47,7 +48,8 @@ def test_awkward_rows_and_missing_labels(spark):
     assert quality.classify(cases.empty(spark), known).count() == 0
 
 
-def test_every_unlabelled_document_teaches(spark):
+def test_every_unlabelled_document_teaches(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SURE", 0.985)
     rng = random.Random(3)
     docs, labels = corpus(1000)
     for i in range(1000, 7000):
@@ -83,7 +85,7 @@ def test_a_repeated_id_brings_one_row(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     seen = []
-    monkeypatch.setattr(quality, "train", lambda labelled, *rest: seen.append(len(labelled)) or quality.Model(0.5))
+    monkeypatch.setattr(quality, "train", lambda words, meta, good, *rest: seen.append(len(good)) or quality.Model(0.5))
     docs = spark.createDataFrame([(i, f"text {i}", "en", "a", 6) for i in range(60)], cases.SCHEMA)
     many = spark.range(5000).select(F.lit(3).cast("bigint").alias("doc_id"), F.concat(F.lit("copy "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(6).cast("bigint").alias("n_chars"))
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
@@ -96,6 +98,11 @@ def test_sums_do_not_depend_on_blocks():
     rows = quality.Rows.of([rng.integers(0, 50, rng.integers(0, 9)) for _ in range(300)])
     weights, values = rng.normal(size=50), rng.normal(size=300)
     lists = [rows.features[a:b] for a, b in zip(rows.starts[:-1], rows.starts[1:], strict=True)]
+    chosen = rng.random(50) < 0.4
+    few = rows.only(chosen)
+    assert [few.features[a:b].tolist() for a, b in zip(few.starts[:-1], few.starts[1:])] == [x[chosen[x]].tolist() for x in lists]
+    packed = quality.Rows.unpacked(pa.chunked_array([pa.array([quality.packed(np.unique(x).astype("<u4")) for x in lists], pa.binary())]))
+    assert [packed.features[a:b].tolist() for a, b in zip(packed.starts[:-1], packed.starts[1:])] == [np.unique(x).tolist() for x in lists]
     whole = quality.Rows.blocks
     for most in (1, 7, 10_000):
         quality.Rows.blocks = lambda self, most=most: whole(self, most)
@@ -122,8 +129,6 @@ def slow_numbers(text):
 
 
 def test_columns_match_texts_one_by_one():
-    import pyarrow as pa
-
     rng = random.Random(4)
     texts = [r[1] for r in cases.rows()] + [" lead", "trail \n", " \t", "a a a B!? 12 #$", "é\xa0ß x"]
     texts += ["".join(rng.choice("aAbB1!? \n#é") for _ in range(rng.randint(0, 80))) for _ in range(200)]

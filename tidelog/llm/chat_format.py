@@ -231,5 +231,41 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "position", "source_role", "role", "action", F.concat_ws(",", "before").alias("before"), F.concat_ws(",", "after").alias("after"), "fragment")
 
 
+def _least(*found: str) -> str:
+    """The cheapest of (cost, path) pairs, given as cost and state before, with the next label's own cost."""
+    return "list_min([" + ", ".join(f"{{'c': {cost}, 'p': p{state}}}" for cost, state in (f.split("|") for f in found)) + "])"
+
+
+def _own(label: int) -> str:
+    return f"CASE WHEN r < 0 THEN {UNKNOWN} WHEN r = {label} THEN 0 ELSE {RELABEL} END"
+
+
+#: The program by whole paths, conversation by conversation.
+ORACLE = f"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, role AS source_role, coalesce(text, '') AS body,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text) - 1 AS position, count(*) OVER (PARTITION BY conv_id) AS n,
+    CASE lower(trim(role)) WHEN 'system' THEN 0 WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE -1 END AS r FROM conversations),
+steps AS (
+  SELECT conv_id, position, n, {_own(0)} AS c0, '0' AS p0, {_own(1)} AS c1, '1' AS p1, {_own(2)} + {INSERT} AS c2, '2' AS p2 FROM turns WHERE position = 0
+  UNION ALL
+  SELECT conv_id, position, n, b0.c + {_own(0)}, b0.p || '0', b1.c + {_own(1)}, b1.p || '1', b2.c + {_own(2)}, b2.p || '2' FROM (
+    SELECT t.conv_id, t.position, t.n, t.r, {_least(f"c0 + {MERGE}|0")} AS b0, {_least("c0|0", f"c1 + {MERGE}|1", "c2|2")} AS b1, {_least(f"c0 + {INSERT}|0", "c1|1", f"c2 + {MERGE}|2")} AS b2
+    FROM steps s JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.position = s.position + 1)),
+paths AS (SELECT conv_id, {_least(f"c0 + {2 * INSERT}|0", f"c1 + {INSERT}|1", "c2|2")}.p AS path FROM steps WHERE position = n - 1),
+told AS (SELECT t.*, CAST(substr(path, CAST(position + 1 AS BIGINT), 1) AS INTEGER) AS l, CASE WHEN position > 0 THEN CAST(substr(path, CAST(position AS BIGINT), 1) AS INTEGER) ELSE 3 END AS s
+  FROM turns t JOIN paths p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+named AS (SELECT *, ['system', 'user', 'assistant'][l + 1] AS role, s = l AS merged, CASE WHEN l = 2 AND s IN (0, 3) THEN 'user' ELSE '' END AS before,
+  CASE WHEN position < n - 1 OR l = 2 THEN '' WHEN l = 1 THEN 'assistant' ELSE 'user,assistant' END AS after FROM told),
+worded AS (SELECT *, lower(trim(coalesce(source_role, ''))) <> role AS relabelled, chr(10) AS nl FROM named)
+SELECT conv_id, turn, CAST(position AS BIGINT) AS position, source_role, role,
+  CASE WHEN merged AND relabelled THEN 'relabel and merge' WHEN merged THEN 'merge' WHEN relabelled THEN 'relabel' ELSE 'keep' END AS action, before, after,
+  CASE WHEN merged THEN nl ELSE CASE WHEN position > 0 THEN '<|end|>' || nl ELSE '' END || CASE WHEN before <> '' THEN '<|user|>' || nl || '<|end|>' || nl ELSE '' END || '<|' || role || '|>' || nl END
+  || replace(body, '<|', '< |')
+  || CASE WHEN position < n - 1 THEN '' ELSE '<|end|>' || nl || CASE after WHEN 'assistant' THEN '<|assistant|>' || nl || '<|end|>' || nl
+     WHEN 'user,assistant' THEN '<|user|>' || nl || '<|end|>' || nl || '<|assistant|>' || nl || '<|end|>' || nl ELSE '' END END AS fragment
+FROM worded
+"""
+
 QUERIES = {"op1_chat_formatting": op1_chat_formatting}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_chat_formatting": ORACLE}
