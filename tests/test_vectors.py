@@ -1,4 +1,4 @@
-"""Published vectors of log lines, URIs, user agents, timestamps and host samples."""
+"""Published vectors of log lines, URIs, user agents, timestamps and host samples: fixed values, as they say what is to be matched."""
 
 import datetime as dt
 
