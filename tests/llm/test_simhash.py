@@ -110,3 +110,26 @@ def test_stage_keeps_one_of_all_texts_alike(spark):
                 changed = True
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
     assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == sorted(set(label))
+
+
+def test_a_passage_in_many_texts_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for i in range(200):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        texts.append(" ".join(own[:20] + passage + own[20:]))
+        if i % 10 == 0:
+            words = texts[-1].split()
+            words[3] = "edited"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(simhash, "LOCAL", 2)
+    sets = spark.createDataFrame([(i, simhash.shingle_set(t).tobytes()) for i, t in enumerate(texts)], "uid bigint, hashes binary")
+    common = simhash.common_hashes(sets)
+    assert len(common) == 36 and (np.diff(common) > 0).all()
+    shared = simhash.shingle_set(texts[0]).view(np.int64)
+    ordered = simhash.in_order(shared, common)
+    assert sorted(ordered.tolist()) == sorted(shared.tolist()) and set(ordered[-36:].tolist()) == set(common.tolist())
+    edited = {i for i, t in enumerate(texts) if "edited" in t}
+    assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == [i for i in range(len(texts)) if i not in edited]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+BROADCAST_IDS = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """A written table of numbers, marked for broadcast where it has at most BROADCAST_IDS rows (about 30 MB); more are shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing reads any more."""
     path = getattr(df, "_tidelog_path", None)

@@ -4,7 +4,7 @@ The content view sees which words a text holds: as written in lower case, as let
 metadata view sees language, source and layout counts (length, lines, words, letter cases, digits, signs, repeated words) in
 quantile bins. Both are logistic regressions over features whose share differs between good and bad documents by ``Z_LEAST``
 standard errors or more. In each round both views score all unlabelled documents, and those that one is ``SURE`` of (calibrated)
-teach the other: their features are counted by label, and the log odds of the counts are where the weights of its regression start
+teach the other, unless that one holds the opposite to be likelier: their features are counted by label, and the log odds of the counts are where the weights of its regression start
 and are drawn back to. Calibration and the combination are fitted on labelled documents kept apart.
 A document is good if its quality is 1 and it is not toxic; ``kept`` is a combined probability of at least one half.
 
@@ -35,7 +35,7 @@ from tidelog.llm.common import bounded_batches, discard, fresh, read_table, shar
 LABELLED = 15_000
 BROADCAST_LABELS = 1_000_000
 ROUNDS = 2
-SURE = 0.985
+SURE = 0.995
 #: A word has about four features; each takes its part of the log odds that it is taught.
 PART = 0.25
 TAUGHT_LEAST = 0.5
@@ -184,6 +184,26 @@ class Rows:
     def take(self, which: np.ndarray) -> Rows:
         return Rows.of([self.features[self.starts[i] : self.starts[i + 1]] for i in which.tolist()])
 
+    def only(self, chosen: np.ndarray) -> Rows:
+        """The rows without features that are not chosen."""
+        found, sizes = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+        for _, own, starts in self.blocks():
+            features = self.features[own]
+            keep = chosen[features]
+            found.append(features[keep])
+            sizes.append(np.diff(np.concatenate(([0], np.cumsum(keep)))[starts]))
+        return Rows(np.concatenate(found), np.cumsum(np.concatenate(sizes)))
+
+    @classmethod
+    def unpacked(cls, column: pa.ChunkedArray) -> Rows:
+        """Rows from packed features, filled in place."""
+        sizes = pc.binary_length(column).to_numpy().astype(np.int64) // 4
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        features = np.empty(int(starts[-1]), np.int32)
+        for k, steps in enumerate(column):
+            np.cumsum(np.frombuffer(steps.as_buffer(), "<u4"), out=features[starts[k] : starts[k + 1]].view(np.uint32), dtype=np.uint32)
+        return cls(features, starts)
+
 
 @dataclass
 class View:
@@ -213,9 +233,7 @@ class View:
         p = (a + b) / (n1 + n0)
         z = (a / n1 - b / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
         chosen = (np.abs(z) >= self.least) & (a + b >= 4)
-        keep = chosen[rows.features]
-        counts = np.concatenate(([0], np.cumsum(keep)))
-        own = Rows(rows.features[keep], counts[rows.starts])
+        own = rows.only(chosen)
         start = np.zeros(self.space) if taught is None else self.prior(taught)
         # What the rows themselves do not choose keeps what it was taught.
         weights, bias = start.copy(), float(np.log(n1 / n0))
@@ -291,20 +309,14 @@ def meta_rows(edges: list, langs: list, sources: list, numbers: np.ndarray) -> R
     return Rows(every[keep], np.concatenate(([0], np.cumsum(keep.sum(axis=1)))).astype(np.int64))
 
 
-def train(labelled: list[tuple], edges: list, exchange: Callable[[list[View]], list[np.ndarray]]) -> Model:
-    """A model from (features, lang, source, numbers, good) rows; ``exchange`` gives what each view is taught by the other."""
-    good_all = np.array([r[4] for r in labelled], float)
-    prior = float(good_all.mean()) if len(labelled) else 0.5
-    if len(labelled) < 20 or not 0 < good_all.sum() < len(good_all):
+def train(words: Rows, meta: Rows, good: np.ndarray, edges: list, exchange: Callable[[list[View]], list[np.ndarray]]) -> Model:
+    """A model from the features of labelled documents; ``exchange`` gives what each view is taught by the other."""
+    prior = float(good.mean()) if len(good) else 0.5
+    if len(good) < 20 or not 0 < good.sum() < len(good):
         return Model(prior)
-
-    def views(rows: list[tuple]) -> tuple[Rows, Rows]:
-        return Rows.of([r[0] for r in rows]), meta_rows(edges, [r[1] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows]))
-
-    apart = np.arange(len(labelled)) % 4 == 3
-    fit_rows, held_rows = [r for r, x in zip(labelled, apart, strict=True) if not x], [r for r, x in zip(labelled, apart, strict=True) if x]
-    fit_good, held_good = good_all[~apart], good_all[apart]
-    fit_views, held_views = views(fit_rows), views(held_rows)
+    apart = np.arange(len(good)) % 4 == 3
+    fit_views, held_views = ([rows.take(np.flatnonzero(which)) for rows in (words, meta)] for which in (~apart, apart))
+    fit_good, held_good = good[~apart], good[apart]
     model = [View(SPACE, Z_LEAST), View(META_SPACE, Z_LEAST)]
     taught: list = [None, None]
     for turn in range(ROUNDS + 1):
@@ -326,10 +338,6 @@ def packed(features: np.ndarray) -> bytes:
     return np.diff(features, prepend=np.uint32(0)).astype("<u4").tobytes()
 
 
-def unpacked(steps: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(steps, "<u4"), dtype=np.uint32)
-
-
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 6_000_000):
@@ -373,13 +381,14 @@ def exchanged(pool: DataFrame, edges: list, views: list[View]) -> list[np.ndarra
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [np.zeros((2, n), np.int64) for n in spaces]
         for batch in batches:
-            words = Rows.of([unpacked(w) for w in batch.column(0).to_pylist()])
+            words = Rows.unpacked(pa.chunked_array([batch.column(0)]))
             meta = meta_rows(edges, batch.column(1).to_pylist(), batch.column(2).to_pylist(), _numbers(batch.column(3)))
             rows = (words, meta)
+            says = [_sigmoid(view.logit(x)) for view, x in zip(shared.value, rows, strict=True)]
             for k in (0, 1):
-                p = _sigmoid(shared.value[1 - k].logit(rows[1 - k]))
+                own, p = says[k], says[1 - k]
                 times = np.diff(rows[k].starts)
-                for good, sure in enumerate((p <= 1 - SURE, p >= SURE)):
+                for good, sure in enumerate(((p <= 1 - SURE) & (own <= 0.5), (p >= SURE) & (own >= 0.5))):
                     counts[k][good, :-1] += np.bincount(rows[k].features[np.repeat(sure, times)], minlength=spaces[k] - 1)
                     counts[k][good, -1] += int(sure.sum())
         for k in (0, 1):
@@ -415,12 +424,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     sample = made.join(F.broadcast(chosen), F.col("id") == F.col("l_id")).groupBy("id").agg(F.min(F.struct("words", "lang", "source", "numbers", "good")).alias("row")).select("id", "row.*").toArrow()
     order = np.argsort(np.array([zlib.crc32(str(i).encode()) for i in sample.column("id").to_pylist()], np.int64), kind="stable")
     sample = sample.take(pa.array(order))
-    cols = [sample.column(c).to_pylist() for c in ("words", "lang", "source", "numbers", "good")]
-    sample = None
+    words = Rows.unpacked(sample.column("words"))
+    sample = sample.drop_columns(["words"])
+    langs, sources, good = (sample.column(c).to_pylist() for c in ("lang", "source", "good"))
+    numbers = np.array(sample.column("numbers").to_pylist(), float).reshape(-1, len(NUMBERS))
     ids = known.select("l_id").distinct()
     # Up to that many ids are a small broadcast; beyond it the features are shuffled.
     pool = made.join(F.broadcast(ids) if n_known <= BROADCAST_LABELS else ids, F.col("id") == F.col("l_id"), "left_anti")
-    model = train([(unpacked(w), *rest) for w, *rest in zip(*cols, strict=True)], edges, lambda views: exchanged(pool, edges, views))
+    model = train(words, meta_rows(edges, langs, sources, numbers), np.array(good, float), edges, lambda views: exchanged(pool, edges, views))
     discard(made)
     return model
 

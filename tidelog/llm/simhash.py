@@ -11,8 +11,9 @@ have been folded into one before.
 The pipeline's stage finds every pair of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. The same
 grid join over the sets' fingerprints comes first, and its links are verified on the sets. It can't be all: at similarities of 0.80 to 0.85
 few pairs are within 4 bits, and 64 bits can't tell the others from unrelated texts. So what it leaves apart is completed exactly: sets
-that are alike share one of the least fifth (and one) of their hashes; these are the cells where sets meet, their sizes and the number
-of cells shared rule out most pairs, and the others are verified on the whole sets.
+that are alike share one of the first fifth (and one) of their hashes in any order that is the same for all. Hashes that many sets
+hold come last in it, so that a passage in many texts makes no pairs of them; these first hashes are the cells where sets meet, their
+sizes and the number of cells shared rule out most pairs, and the others are verified on the whole sets.
 
 Null or empty texts (no word) have the fingerprint zero and link like any other. Null doc_ids take part in links; a
 component's id is the smallest doc_id that is not null. Repeated rows stay, each with its component. An empty table gives
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import EDGE, Forest, components, discard, fresh, keyed_runs, read_table, slices, written
+from tidelog.llm.common import EDGE, Forest, components, discard, fresh, keyed_runs, read_table, slices, small, written
 
 BITS = 64
 SEGMENT = 2
@@ -41,6 +42,9 @@ WORDS = 5
 SHARE = (4, 5)
 #: Cells of each set that the first of the two rounds looks at.
 FIRST = 3
+#: A hash counts as common if that many sets hold it, twice as many where more than MOST_COMMON hashes would be. Sets are counted in blocks
+#: of about BLOCK hashes, of which only those count that are in ``LOCAL`` sets of the block. It decides the order alone.
+COMMON, MOST_COMMON, BLOCK, LOCAL = 40, 1_000_000, 4_000_000, 4
 _CELL = "cell bigint, uid bigint, n bigint, place bigint"
 _POWERS = 3 ** np.arange(max(GROUPS), dtype=np.int64)
 
@@ -219,12 +223,52 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), uids, keys, pa.array(fps), pa.array(own, pa.binary())], names=["id", "mark", "uid", "key", "fp", "hashes"])
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def common_hashes(sets: DataFrame) -> np.ndarray:
+    """The hashes that many sets hold, in rising order."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        total = 0
+
+        def out() -> pa.RecordBatch:
+            every = np.sort(np.concatenate([np.empty(0, np.int64), *held]))
+            starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.empty(0, np.int64)
+            times = np.diff(np.concatenate((starts, [len(every)])))
+            many = times >= LOCAL
+            return pa.RecordBatch.from_arrays([pa.array(every[starts][many]), pa.array(times[many])], names=["hash", "n"])
+
+        for batch in batches:
+            for x in batch.column(0):
+                held.append(np.frombuffer(x.as_buffer(), np.int64))
+                total += len(held[-1])
+                if total > BLOCK:
+                    yield out()
+                    held, total = [], 0
+        yield out()
+
+    counts = written(sets.select("hashes").mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")), "shingle-counts")
+    least = COMMON
+    while counts.where(F.col("n") >= least).count() > MOST_COMMON:
+        least *= 2
+    found = counts.where(F.col("n") >= least).select("hash").toArrow().column("hash").to_numpy()
+    discard(counts)
+    return np.sort(found)
+
+
+def in_order(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """A set's hashes with the common ones last."""
+    if not len(common):
+        return hashes
+    last = common[np.searchsorted(common, hashes).clip(max=len(common) - 1)] == hashes
+    return np.concatenate([hashes[~last], hashes[last]])
+
+
+def _entries(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "hashes"):
             cells, uids, sizes, places = [np.empty(0, np.int64)], [], [], []
             for uid, x in zip(part.column("uid").to_pylist(), part.column("hashes").to_pylist(), strict=True):
-                own = np.frombuffer(x, np.int64)
+                own = in_order(np.frombuffer(x, np.int64), common.value)
                 k = prefix(len(own))
                 cells.append(own[:k])
                 uids.append((uid, k))
@@ -308,8 +352,8 @@ def alike_links(sets: DataFrame) -> DataFrame:
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = written(pairs, f"{name}-pairs")
-        nodes = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-        needed = written(sets.join(nodes, "uid", "left_semi"), f"{name}-sets")
+        nodes = written(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct(), f"{name}-nodes")
+        needed = written(sets.select("uid", "hashes").join(small(nodes), "uid", "left_semi"), f"{name}-sets")
         both = pairs.join(needed.select(F.col("uid").alias("a"), F.col("hashes").alias("of_a")), "a").join(needed.select(F.col("uid").alias("b"), F.col("hashes").alias("of_b")), "b")
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = spark.conf.get(key)
@@ -319,19 +363,21 @@ def alike_links(sets: DataFrame) -> DataFrame:
             return written(both.select("a", "b", "of_a", "of_b").mapInArrow(_verify, EDGE), name)
         finally:
             spark.conf.set(key, before)
-            discard(needed)
+            for table in (pairs, nodes, needed):
+                discard(table)
 
     def meet(cells: DataFrame, lags: int | None) -> DataFrame:
         return cells.repartition("cell").sortWithinPartitions("cell", "n", "uid").mapInArrow(lambda batches: _cell_pairs(batches, lags), f"{EDGE}, shared bigint, short bigint")
 
-    entries = sets.mapInArrow(_entries, _CELL).repartition("cell").sortWithinPartitions("cell")
+    common = spark.sparkContext.broadcast(common_hashes(sets))
+    entries = sets.select("uid", "hashes").mapInArrow(lambda batches: _entries(batches, common), _CELL).repartition("cell").sortWithinPartitions("cell")
     cells = written(entries.mapInArrow(_shared, _CELL), "shingle-cells")
     # Links of the grid and neighbours in the first cells of each set first: what they connect is not paired again, so that a large
     # group costs no square of its size.
     neighbours = meet(cells.where(F.col("place") < FIRST).withColumn("label", F.col("uid")), 1).select("a", "b")
     first = checked(grid_pairs(sets).union(neighbours).distinct(), "shingle-first")
     groups = written(components(first, "shingle-groups"), "shingle-labels")
-    labelled = cells.join(groups.select(F.col("node").alias("uid"), F.col("root").alias("label")), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    labelled = cells.join(small(groups.select(F.col("node").alias("uid"), F.col("root").alias("label"))), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     pairs = meet(labelled, None).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("short").alias("short")).where("shared >= short").select("a", "b")
     rest = checked(pairs, "shingle-rest")
     discard(cells)
@@ -351,7 +397,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = written(source.mapInArrow(_sets, f"id {kind}, mark string, uid bigint, key binary, fp bigint, hashes binary"), "shingle-sets")
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), F.col("id"), F.col("mark"))).alias("first")
     distinct = written(prints.groupBy("key").agg(F.min("uid").alias("uid"), first).drop("key"), "shingle-distinct")
-    sets = prints.select("uid", "fp", "hashes").join(distinct.select("uid"), "uid", "left_semi")
+    uids = written(distinct.select("uid"), "shingle-uids")
+    sets = prints.select("uid", "fp", "hashes").join(small(uids), "uid", "left_semi")
     groups = components(alike_links(sets), "shingle-links")
     discard(prints)
     root = F.coalesce("root", "uid").alias("root")
