@@ -38,3 +38,22 @@ def test_first_occurrence_stays_once(spark):
 def test_empty_table(spark):
     assert line_dedup.drop_repeated_lines(cases.empty(spark)).count() == 0
     assert line_dedup.stage_line_dedup(spark, cases.empty(spark), "").columns == cases.empty(spark).columns
+
+
+def test_merged_filter_reaches_the_driver_in_few_bytes(spark, monkeypatch):
+    import numpy as np
+
+    size = (1 << line_dedup.SEGMENT_BITS) // 8
+    rng = np.random.default_rng(3)
+    for share in (0.00001, 0.01, 1 / 32, 0.5):
+        twice = rng.random(1 << line_dedup.SEGMENT_BITS) < share
+        data = line_dedup.segment_bytes(twice)
+        assert len(data) <= min(size, 4 * int(twice.sum()))
+        assert (line_dedup.segment_bits(data) == np.packbits(twice)).all()
+    read = []
+    whole = line_dedup.segment_bits
+    monkeypatch.setattr(line_dedup, "segment_bits", lambda data: read.append(len(data)) or whole(data))
+    lines = "\n".join(f"line {i} of them" for i in range(3000))
+    docs = spark.createDataFrame([(i, lines) for i in range(3)], "doc_id bigint, text string")
+    packed, bits = line_dedup.twice_filter(docs, "text", 1)
+    assert sum(read) <= 4 * 2 * 3000 and int(np.unpackbits(packed).sum()) > 5000 and bits == 18

@@ -1,10 +1,12 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
 
 from tests.llm import cases
 from tidelog.llm import quality
+from tidelog.llm.common import written
 
 
 def corpus(n=1500):
@@ -160,3 +162,12 @@ def test_metadata_rows():
     assert [x[:11] for x in lists] == [[k * 13 + i for k in range(11)] for i in range(3)]
     assert all(len(x) == len(set(x)) == 13 and x == sorted(x) for x in lists)
     assert len(quality.meta_rows(edges, [], [], np.zeros((0, 11))).starts) == 1
+
+
+def test_sample_in_pieces_is_the_sample_at_once(spark):
+    rows = [(i, quality.packed(np.array(range(i, 3 * i, 2), np.uint32)), "en", [float(i)], i % 2.0) for i in range(200)]
+    sample = written(spark.createDataFrame(rows, "id bigint, words binary, lang string, numbers array<double>, good double").repartition(3), "test-sample")
+    words, table = quality.gathered(sample, 5)
+    ids = table.column("id").to_pylist()
+    assert ids == sorted(range(200), key=lambda i: zlib.crc32(str(i).encode())) and table.column("good").to_pylist() == [i % 2.0 for i in ids]
+    assert [words.features[a:b].tolist() for a, b in zip(words.starts[:-1], words.starts[1:], strict=True)] == [list(range(i, 3 * i, 2)) for i in ids]

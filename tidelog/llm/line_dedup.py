@@ -3,7 +3,8 @@
 1. Each partition hashes the keys of its lines (one per key and document) and sends, for each of the two hash functions,
    the filter positions it set, with a mark where it set one more than once: pre-aggregated, four bytes a position.
 2. Positions are merged by filter segment. A position set by two documents is in the twice-seen filter, so a key that
-   occurs in two documents has both its positions there: no repeat is missed. The merged filter is folded to sixteen
+   occurs in two documents has both its positions there: no repeat is missed. The merged segments are written to the shared folder
+   as lists of positions, or as bits where those are shorter; the driver reads them a partition at a time and folds them to sixteen
    bits per position in use, at most ``2 ** FILTER_BITS`` bits (128 MB), which bounds the broadcast at any input size; far beyond
    2 ** FILTER_BITS distinct lines it rules out fewer of them, and more are shuffled.
 3. Only keys that the filter suspects are digested (128-bit BLAKE2b), counted per partition and shuffled; counts at or
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_batches, fresh, read_table, written
+from tidelog.llm.common import bounded_batches, discard, fresh, read_table, written
 
 FILTER_BITS = 30
 SEGMENT_BITS = 18
@@ -58,6 +59,21 @@ def digest_of(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
+def segment_bytes(twice: np.ndarray) -> bytes:
+    """A segment's set places, four bytes each, or all its bits where those take fewer bytes."""
+    at = np.flatnonzero(twice).astype(np.uint32)
+    return at.tobytes() if at.nbytes < len(twice) // 8 else np.packbits(twice).tobytes()
+
+
+def segment_bits(data: bytes) -> np.ndarray:
+    """The packed bits of what ``segment_bytes`` gives."""
+    if len(data) == (1 << SEGMENT_BITS) // 8:
+        return np.frombuffer(data, np.uint8)
+    bits = np.zeros(1 << SEGMENT_BITS, bool)
+    bits[np.frombuffer(data, np.uint32)] = True
+    return np.packbits(bits)
+
+
 def twice_filter(docs: DataFrame, text_col: str, min_chars: int) -> tuple[np.ndarray, int]:
     """The twice-seen filter as packed bits, and its size as a power of two."""
 
@@ -85,7 +101,7 @@ def twice_filter(docs: DataFrame, text_col: str, min_chars: int) -> tuple[np.nda
         once, twice = np.zeros(1 << SEGMENT_BITS, bool), np.zeros(1 << SEGMENT_BITS, bool)
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([int(twice.sum())], pa.int64()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["segment", "n", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([int(twice.sum())], pa.int64()), pa.array([segment_bytes(twice)], pa.binary())], names=["segment", "n", "bits"])
 
         for batch in batches:
             for segment, spots in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -102,14 +118,15 @@ def twice_filter(docs: DataFrame, text_col: str, min_chars: int) -> tuple[np.nda
             yield out()
 
     sent = docs.select(text_col).mapInArrow(seen, "segment int, spots binary")
-    rows = sent.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, n bigint, bits binary").where("n > 0").collect()
-    used = sum(r.n for r in rows)
+    merged = written(sent.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, n bigint, bits binary").where("n > 0"), "line-filter")
+    used = merged.agg(F.sum("n")).first()[0] or 0
     bits = min(FILTER_BITS, max(SEGMENT_BITS, (16 * used).bit_length()))
     folded = np.zeros((1 << bits) // 8, np.uint8)
     size = (1 << SEGMENT_BITS) // 8
-    for r in rows:
+    for r in merged.toLocalIterator():
         at = (r.segment << SEGMENT_BITS) % (1 << bits) // 8
-        folded[at : at + size] |= np.frombuffer(r.bits, np.uint8)
+        folded[at : at + size] |= segment_bits(r.bits)
+    discard(merged)
     return folded, bits
 
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_batches, discard, fresh, read_table, shared_dir, slices
+from tidelog.llm.common import bounded_batches, discard, fresh, read_table, shared_dir, slices, written
 
 LABELLED = 15_000
 BROADCAST_LABELS = 1_000_000
@@ -406,6 +406,22 @@ def exchanged(pool: DataFrame, edges: list, views: list[View]) -> list[np.ndarra
     return out
 
 
+def gathered(sample: DataFrame, pieces: int = 8) -> tuple[Rows, pa.Table]:
+    """The words and the other columns of a written sample, ordered by a hash of the id; it comes to the driver in pieces."""
+    tables, found = [], []
+    for k in range(pieces):
+        table = sample.where(F.pmod(F.xxhash64("id"), F.lit(pieces)) == k).toArrow()
+        found.append(Rows.unpacked(table.column("words")))
+        tables.append(table.drop_columns(["words"]))
+    discard(sample)
+    table = pa.concat_tables(tables)
+    order = np.argsort(np.array([zlib.crc32(str(i).encode()) for i in table.column("id").to_pylist()], np.int64), kind="stable")
+    sizes = np.concatenate([np.diff(x.starts) for x in found])
+    words = Rows(np.concatenate([x.features for x in found]), np.concatenate(([0], np.cumsum(sizes))))
+    found.clear()
+    return words.take(order), table.take(pa.array(order))
+
+
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").alias("l_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double").alias("good"))
@@ -421,11 +437,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     edges = bin_edges(made)
     chosen = known.where(_chance("l_id", 0.97 * labelled / max(1, n_known))).groupBy("l_id").agg(F.min("good").alias("good"))
     # One row of each id: a repeated one brings no more rows to the driver than another.
-    sample = made.join(F.broadcast(chosen), F.col("id") == F.col("l_id")).groupBy("id").agg(F.min(F.struct("words", "lang", "source", "numbers", "good")).alias("row")).select("id", "row.*").toArrow()
-    order = np.argsort(np.array([zlib.crc32(str(i).encode()) for i in sample.column("id").to_pylist()], np.int64), kind="stable")
-    sample = sample.take(pa.array(order))
-    words = Rows.unpacked(sample.column("words"))
-    sample = sample.drop_columns(["words"])
+    sample = made.join(F.broadcast(chosen), F.col("id") == F.col("l_id")).groupBy("id").agg(F.min(F.struct("words", "lang", "source", "numbers", "good")).alias("row")).select("id", "row.*")
+    words, sample = gathered(written(sample, "quality-sample"))
     langs, sources, good = (sample.column(c).to_pylist() for c in ("lang", "source", "good"))
     numbers = np.array(sample.column("numbers").to_pylist(), float).reshape(-1, len(NUMBERS))
     ids = known.select("l_id").distinct()
