@@ -138,3 +138,57 @@ def test_host_boilerplate_goes_and_unique_runs_stay(spark):
         assert got[i] == f"u{i}a u{i}b u{i}c\ntail{i}"
     assert got[50] == boiler and got[60] == "" and got[None] == "t" and got[61] == boiler
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def slow_vouched(pages, min_pages, share):
+    """Vouched texts by brute force: blocks that runs on enough of the host's distinct texts cover whole go, at most half of the tokens."""
+    run = html_text.RUN
+    texts = [(html_text.host_of(url), html_text.split_page(page)[0]) for _, url, page in pages]
+    out = []
+    for host, text in texts:
+        others = [t.split() for t in {t for h, t in texts if h == host and t}]
+        tokens, gone = text.split(), set()
+        for i in range(len(tokens) - run + 1):
+            n = sum(any(o[j : j + run] == tokens[i : i + run] for j in range(len(o) - run + 1)) for o in others)
+            if n >= min_pages and n >= share * len(others):
+                gone |= set(range(i, i + run))
+        kept, at, lost = [], 0, 0
+        for block in text.split("\n"):
+            size = len(block.split())
+            if gone >= set(range(at, at + size)):
+                lost += size
+            else:
+                kept.append(block)
+            at += size
+        out.append(text if 2 * lost > len(tokens) else "\n".join(kept))
+    return out
+
+
+def test_host_array_takes_boilerplate_out_of_vouched_texts(spark):
+    import random
+
+    rng = random.Random(7)
+    common = [" ".join(f"c{k}x{j}" for j in range(rng.randint(3, 14))) for k in range(6)]
+    pages = []
+    for i in range(80):
+        blocks = [" ".join(f"u{i}w{j}" for j in range(rng.randint(5, 25))) for _ in range(rng.randint(1, 4))]
+        for k, x in enumerate(common):
+            if rng.random() < (0.9, 0.75, 0.55, 0.45, 0.2, 0.6)[k]:
+                blocks.insert(rng.randint(0, len(blocks)), x + rng.choice(("", "", "", f" own{i}")))
+        host = rng.choice((None, "http://a.example/", "http://a.example/x", "http://b.example"))
+        pages.append((i, host, "<nav>n</nav><article>" + "".join(f"<p>{x}</p>" for x in blocks) + f"</article><footer>{i}</footer>"))
+    pages += [(100 + i, *pages[i][1:]) for i in range(0, 60, 2)] + [(300, "http://one.example", f"<article><p>{common[0]}</p></article>")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(5)
+    for min_pages, share, bucket_pages in ((3, 0.5, 256), (3, 0.5, 4), (2, 0.25, 7)):
+        got = {r.page_id: r.text for r in html_text.extract(df, min_pages=min_pages, vouched_share=share, bucket_pages=bucket_pages).collect()}
+        want = slow_vouched(pages, min_pages, share)
+        assert got == {p[0]: text for p, text in zip(pages, want, strict=True)}
+        assert sum(text != html_text.split_page(p[2])[0] for p, text in zip(pages, want, strict=True)) > 40
+
+
+def test_versions_and_copies_of_an_article_keep_their_text(spark):
+    long = " ".join(f"w{j}" for j in range(40))
+    pages = [(i, "http://h.example/", f"<article><p>{long}</p><p>version {i}</p></article><div class=ad>{i}</div>") for i in range(6)]
+    pages += [(10 + i, "http://g.example/", f"<article><p>{long}</p></article><div class=ad>{i}</div>") for i in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string"), bucket_pages=2).collect()}
+    assert all(got[i] == f"{long}\nversion {i}" for i in range(6)) and all(got[10 + i] == long for i in range(6))
