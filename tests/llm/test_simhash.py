@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tests.llm import cases
@@ -133,3 +134,25 @@ def test_a_passage_in_many_texts_makes_no_pairs(spark, monkeypatch):
     assert sorted(ordered.tolist()) == sorted(shared.tolist()) and set(ordered[-36:].tolist()) == set(common.tolist())
     edited = {i for i, t in enumerate(texts) if "edited" in t}
     assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == [i for i in range(len(texts)) if i not in edited]
+
+
+def test_sets_meet_only_where_alike_ones_must():
+    rng = np.random.default_rng(9)
+    # Like a group of copies that share four in five hashes: few are alike, each shares with each.
+    group = np.sort(rng.choice(1 << 40, 90, replace=False))
+    sets = [np.sort(np.concatenate([rng.choice(group, int(size * share), replace=False), rng.integers(1 << 41, 1 << 42, size - int(size * share))])) for size, share in zip(rng.integers(80, 90, 150), rng.choice((0.8, 0.9, 1.0), 150))]
+    order = [np.concatenate([x[x > 1 << 40], x[x <= 1 << 40]]) for x in sets]
+    entries = sorted((int(h), len(x), u, at) for u, x in enumerate(order) for at, h in enumerate(x[: simhash.prefix(len(x))]))
+    cells, n, uid, place = (pa.array(x, pa.int64()) for x in zip(*entries, strict=True))
+    batch = pa.RecordBatch.from_arrays([cells, uid, n, place, uid], names=["cell", "uid", "n", "place", "label"])
+    shared, short, rows = {}, {}, 0
+    for out in simhash._cell_pairs(iter([batch]), None):
+        for a, b, k, least in zip(*[c.to_pylist() for c in out.columns], strict=True):
+            shared[a, b], short[a, b], rows = shared.get((a, b), 0) + k, least, rows + k
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if simhash.alike(sets[i], sets[j])}
+    assert alike and alike <= {p for p, k in shared.items() if k >= short[p]}
+    of_cell = {}
+    for h, size, u, _ in entries:
+        of_cell.setdefault(h, []).append((size, u))
+    met = sum(5 * min(a, b) >= 4 * max(a, b) for x in of_cell.values() for i, (a, _) in enumerate(x) for b, _ in x[:i])
+    assert rows < 0.6 * met, (rows, met)

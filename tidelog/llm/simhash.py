@@ -42,6 +42,8 @@ WORDS = 5
 SHARE = (4, 5)
 #: Cells of each set that the first of the two rounds looks at.
 FIRST = 3
+#: A pair is checked where it shares so many cells; more rule out more pairs, over longer parts of the sets.
+MEETINGS = 2
 #: A hash counts as common if that many sets hold it, twice as many where more than MOST_COMMON hashes would be. Sets are counted in blocks
 #: of about BLOCK hashes, of which only those count that are in ``LOCAL`` sets of the block. It decides the order alone.
 COMMON, MOST_COMMON, BLOCK, LOCAL = 40, 1_000_000, 4_000_000, 4
@@ -308,10 +310,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cell_pairs(batches: Iterator[pa.RecordBatch], lags: int | None) -> Iterator[pa.RecordBatch]:
     """(a, b, shared, short): pairs of a cell at most ``lags`` places apart in the order of size, in how many cells they met here,
-    and how many of their cells they must share to be alike."""
+    and in how many they must meet to be alike.
+
+    Sets that are alike share ``least`` hashes or more. All sets have one order, so the first ``short`` shared hashes of a pair lie
+    within the first n - least + short places of either set; they meet in those places only, which loses none.
+    """
     num, den = SHARE
     for table in whole_cells(batches):
-        cells, uid, n, label = (table.column(c).to_numpy() for c in ("cell", "uid", "n", "label"))
+        cells, uid, n, place, label = (table.column(c).to_numpy() for c in ("cell", "uid", "n", "place", "label"))
         # No more than this can be shared beyond a set's own cells.
         rest = n - (n - -(-num * n // den) + 1)
         at, lag = np.arange(len(cells)), 1
@@ -321,9 +327,12 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch], lags: int | None) -> Iterator
             on = (cells[to] == cells[at]) & (n[at] * den >= n[to] * num)
             at, to = at[on], to[on]
             may = label[at] != label[to]
-            if may.any():
-                i, j = at[may], to[may]
-                short = -(-num * (n[i] + n[j]) // (num + den)) - np.maximum(rest[i], rest[j])
+            i, j = at[may], to[may]
+            least = -(-num * (n[i] + n[j]) // (num + den))
+            short = np.minimum(MEETINGS, least - np.maximum(rest[i], rest[j]))
+            early = (place[i] < n[i] - least + short) & (place[j] < n[j] - least + short)
+            i, j, short = i[early], j[early], short[early]
+            if len(i):
                 found, times = np.unique(np.stack([np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j]), short]), axis=1, return_counts=True)
                 columns = [found[0], found[1], times.astype(np.int64), found[2]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["a", "b", "shared", "short"])
