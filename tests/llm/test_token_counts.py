@@ -32,7 +32,7 @@ def test_every_prefix_has_the_count_of_the_library(library, tables):
 
 def test_full_caches_change_nothing(library, monkeypatch):
     monkeypatch.setattr(tc, "MOST", 3)
-    small = tc.vocabulary(tc.tokenizer_path())
+    small = tc.vocabulary.__wrapped__(tc.tokenizer_path())
     t = cases.LONG[:3000]
     assert int(tc.running(small.of(t))[-1]) == len(library.encode(t)) and len(small.young) <= 4 and len(small.pairs) <= 13
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,19 +43,25 @@ class Prefixes:
 
     def __init__(self, scores: dict[str, float]) -> None:
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pieces = list(scores)
+        #: A tree of the pieces' characters: each node is its branches and the number of the piece that ends there, -1 if none does.
+        self.tree: tuple[dict, int] = ({}, -1)
+        for number, piece in enumerate(self.pieces):
+            node = self.tree
+            for c in piece[:-1]:
+                node = node[0].setdefault(c, ({}, -1))
+            node[0][piece[-1]] = (node[0].get(piece[-1], ({}, -1))[0], number)
+        #: Whether a piece may follow another one (or none, which is the number after the last), by both numbers.
+        self.pairs: dict[int, bool] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _stands(self, left: str, right: str) -> bool:
+    def _stands(self, left: int, right: int) -> bool:
         """Whether the two pieces side by side are encoded as themselves."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > 4 * MOST:
-                self.pairs = {}
-            known = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
+        if len(self.pairs) > 4 * MOST:
+            self.pairs.clear()
+        own = self.pieces[left : left + 1] + [self.pieces[right]]
+        known = self.pairs[left << 32 | right] = self.merged("".join(own)) == own
         return known
 
     def merged(self, text: str) -> list[str]:
@@ -72,19 +79,26 @@ class Prefixes:
 
     def table(self, stretch: str) -> bytes:
         """Changes of the count, a signed byte for each character."""
-        scores, longest, stands = self.scores, self.longest, self._stands
-        counts, last = [0], [""]
-        for end in range(1, len(stretch) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = stretch[start:end]
-                if piece in scores and stands(last[start], piece):
-                    counts.append(counts[start] + 1)
-                    last.append(piece)
+        pairs, tree, none, n = self.pairs, self.tree, len(self.pieces), len(stretch)
+        # The last piece of each prefix, once it is known, and the count.
+        last, counts = [none] + [-1] * n, [0] * (n + 1)
+        for start in range(n):
+            before, count, branches = last[start], counts[start] + 1, tree[0]
+            for end in range(start, n):
+                node = branches.get(stretch[end])
+                if node is None:
                     break
-            else:
-                counts.append(counts[-1] + len(stretch[end - 1].encode()))
-                last.append("")
-        return np.diff(np.array(counts, np.int64)).astype(np.int8).tobytes()
+                branches, piece = node
+                if piece >= 0 and last[end + 1] < 0:
+                    stands = pairs.get(before << 32 | piece)
+                    if stands is None:
+                        stands = self._stands(before, piece)
+                    if stands:
+                        last[end + 1], counts[end + 1] = piece, count
+            if last[start + 1] < 0:
+                # No piece ends here: a character that the vocabulary lacks.
+                last[start + 1], counts[start + 1] = none, count - 1 + len(stretch[start].encode())
+        return bytes([(b - a) & 255 for a, b in zip(counts, counts[1:], strict=False)])
 
     def of(self, text: str) -> bytes:
         """Changes of the count over the text, a signed byte for each code point."""
@@ -111,8 +125,9 @@ class Prefixes:
         return known
 
 
+@lru_cache(maxsize=2)
 def vocabulary(path: str) -> Prefixes:
-    """Prefix tables over a SentencePiece model with byte fallback."""
+    """Prefix tables over a SentencePiece model with byte fallback; a Python worker keeps them from task to task."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
