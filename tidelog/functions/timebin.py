@@ -30,8 +30,8 @@ def window_size(minutes: int) -> int:
     return minutes if minutes in WINDOW_MINUTES else 10
 
 
-def window_id(wall: Column, minutes: int) -> Column:
-    """yyyyMMddHHmm of the window's start as a BIGINT; NULL timestamps have none."""
-    size = window_size(minutes)
+def window_id(wall: Column, minutes: int | Column) -> Column:
+    """yyyyMMddHHmm of the window's start as a BIGINT; NULL timestamps have none. Sizes other than 1, 5, 15, 30 and 60 minutes count as 10."""
+    size = window_size(minutes) if isinstance(minutes, int) else F.when(minutes.isin(*WINDOW_MINUTES), minutes).otherwise(10)
     start = F.floor(F.minute(wall) / size) * size
     return F.date_format(wall, "yyyyMMddHH").cast("bigint") * 100 + start.cast("bigint")

@@ -41,9 +41,28 @@ def by_dimension(requests: DataFrame, dimensions: tuple[str, ...] = tuple(d for
     return requests.select(F.explode(each).alias("d")).groupBy("d.dimension", "d.key").agg(F.count("*").alias("n"))
 
 
-def top(counts: DataFrame, n: int) -> DataFrame:
-    """The n largest keys of each dimension, ties by key; n below one keeps one."""
-    order = Window.partitionBy("dimension").orderBy(F.desc("n"), F.asc("key"))
+#: Sums over all lines, in the order they are printed.
+SUMS = ("lines", "rejected", "requests", "bytes", "humans", "non_humans", "malicious")
+
+
+def report_rows(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, dimension, key, n): what each line adds to a report, from accepted lines and rejected ones (``to_requests(keep_rejected=True)``)."""
+    human, ok = agent_field("human", "Unknown"), F.col("format").isNotNull()
+    ones = {"lines": F.lit(1), "rejected": F.when(~ok, 1), "requests": F.when(ok, 1), "bytes": F.col("bytes_sent"), "humans": F.when(human == "Human", 1), "non_humans": F.when(human == "NonHuman", 1), "malicious": F.when(F.col("malicious") != 0, 1)}
+    add = lambda d, key, n: F.struct(F.lit(d).alias("dimension"), key.alias("key"), n.cast("bigint").alias("n"))
+    sums = [add(d, F.lit(""), F.when(ok, ones[d]) if d not in ("lines", "rejected") else ones[d]) for d in SUMS]
+    keyed = [add(d, DIMENSIONS[d](), F.when(ok, 1)) for d in PRINTED]
+    return lines.select(*by, F.explode(F.filter(F.array(*sums, *keyed), lambda x: x["n"].isNotNull())).alias("d")).select(*by, "d.dimension", "d.key", "d.n")
+
+
+def report_counts(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """All sums and counts of a report, in one pass."""
+    return report_rows(lines, by).groupBy(*by, "dimension", "key").agg(F.sum("n").alias("n"))
+
+
+def top(counts: DataFrame, n: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The n largest keys of each dimension (of each value of ``by``), ties by key; n below one keeps one."""
+    order = Window.partitionBy(*by, "dimension").orderBy(F.desc("n"), F.asc("key"))
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, n))
 
 

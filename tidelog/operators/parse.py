@@ -19,21 +19,40 @@ def detect(lines: DataFrame, line_col: str = "value") -> DataFrame:
     return formats.capture(lines.withColumn(line_col, formats.trimmed(F.col(line_col))), line_col)
 
 
-def keep_first_format(detected: DataFrame, file_col: str, order_col: str) -> DataFrame:
-    """Only lines of the format that each file's first accepted line has: one row per file is joined back.
+def first_formats(detected: DataFrame, file_col: str, order_col: str) -> DataFrame:
+    """(file, first_format) of each file: the format of its first accepted line.
 
     A line that fits several formats counts as the first of nginx_custom, nginx, vhost, combined and common that it fits (``capture``).
     """
-    first = detected.where("format is not null").groupBy(file_col).agg(F.min_by("format", order_col).alias("_sticky"))
+    return detected.where("format is not null").groupBy(file_col).agg(F.min_by("format", order_col).alias("first_format"))
+
+
+def with_first_format(detected: DataFrame, file_col: str, order_col: str) -> DataFrame:
+    """``detected`` with its file's ``first_format``: one row a file is joined back."""
+    first = first_formats(detected, file_col, order_col)
     if not detected.isStreaming and detected.select(file_col).distinct().limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
         first = F.broadcast(first)
-    return detected.join(first, file_col).where(F.col("format") == F.col("_sticky")).drop("_sticky")
+    return detected.join(first, file_col, "left")
+
+
+def of_first_format(detected: DataFrame) -> DataFrame:
+    """Lines that don't fit their file's ``first_format`` are rejected like those that fit no format.
+
+    A file's lines are all read as its first one is, so what is read as nginx where any format may come is a combined line in a combined file.
+    """
+    read_as = F.when(F.col("format") == F.col("first_format"), F.col("format")).when((F.col("first_format") == "combined") & (F.col("format") == "nginx"), "combined")
+    return detected.withColumn("format", read_as).drop("first_format")
+
+
+def keep_first_format(detected: DataFrame, file_col: str, order_col: str) -> DataFrame:
+    """Only lines that fit the format that each file's first accepted line has."""
+    return of_first_format(with_first_format(detected, file_col, order_col)).where("format is not null")
 
 
-def to_requests(detected: DataFrame) -> DataFrame:
-    """Accepted lines as request columns; columns of the input other than ``parts`` come first."""
+def to_requests(detected: DataFrame, keep_rejected: bool = False) -> DataFrame:
+    """Accepted lines as request columns; columns of the input other than ``parts`` come first. Rejected lines are left out, or kept with NULLs."""
     others = [c for c in detected.columns if c not in ("parts", "value")]
-    accepted = detected.where("format is not null")
+    accepted = detected.withColumn("parts", F.when(F.col("format").isNotNull(), F.col("parts"))) if keep_rejected else detected.where("format is not null")
     nginx = F.col("format").isin("nginx", "nginx_custom")
     plain = F.col("format") == "common"
     fields = accepted.select(
@@ -72,14 +91,16 @@ def enrich(fields: DataFrame) -> DataFrame:
             "ts": timebin.instant(F.col("stamp")),
             "ts_wall": timebin.wall_clock(F.col("stamp")),
             "tz_offset": timebin.offset(F.col("stamp")),
-            "is_out_of_order": F.lit(False),
+            "is_out_of_order": F.col("is_out_of_order") if "is_out_of_order" in fields.columns else F.lit(False),
         }
     )
     return full.withColumn("ts_local", F.col("ts_wall").cast("timestamp_ntz")).drop("decoded", "agent", "raw_referer", "stamp")
 
 
 def requests(lines: DataFrame, line_col: str = "value") -> DataFrame:
-    return to_requests(detect(lines, line_col))
+    """The requests of lines; where lines say what format their file began with (``first_format``), of that format only."""
+    found = detect(lines, line_col)
+    return to_requests(of_first_format(found) if "first_format" in lines.columns else found)
 
 
 def line_counts(detected: DataFrame) -> DataFrame:

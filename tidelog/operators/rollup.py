@@ -48,7 +48,7 @@ def cells(requests: DataFrame, keep: list[str] = (), types: tuple[str, ...] | No
     return requests.select(*keep, F.explode(F.filter(every, lambda c: c.isNotNull())).alias("c")).select(*keep, "c.metric_type", "c.key_value", "c.value")
 
 
-def rollup(requests: DataFrame, minutes: int = 10, by: list[str] = (), types: tuple[str, ...] | None = None) -> DataFrame:
+def rollup(requests: DataFrame, minutes: int | Column = 10, by: list[str] = (), types: tuple[str, ...] | None = None) -> DataFrame:
     """Sums by (metric_type, key_value, time_window); lines without a readable timestamp have no window and are left out.
 
     The unpivot happens map-side, sums are partial before the one shuffle.

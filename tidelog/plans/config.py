@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field, fields, replace
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 DEFAULT_KEY, HOST_KEY = "--default--", "--OS-metrics--"
 HANDLERS = ("COUNTER", "METRICS", "WRITE_TO_FILE")
 
@@ -28,6 +31,8 @@ class FileConfig:
     mask_ip: bool = False
     skip_pattern: str = ""
     write_to_file: str = ""
+    idle_minutes: int = 0
+    trigger_bytes: int = 0
     host_metrics: bool = False
     host_interval: int = 5
     db_address: str = ""
@@ -62,6 +67,8 @@ NAMES = {
     "DbUser": "db_user",
     "DbPassword": "db_password",
 }
+#: Settings of our own: minutes after which a key without lines leaves the state of a followed file, and bytes that a trigger takes in (0: no limit).
+NAMES |= {"KeyIdleMinutes": "idle_minutes", "MaxBytesPerTrigger": "trigger_bytes"}
 _BASE = FileConfig()
 _KINDS = {f.name: type(getattr(_BASE, f.name)) for f in fields(FileConfig)}
 
@@ -115,10 +122,31 @@ def load(text: str) -> dict[str, FileConfig]:
     return out
 
 
+def default_of(text: str) -> FileConfig:
+    """The settings of files that have no entry of their own."""
+    return clamped(FileConfig(**_typed(json.loads(text).get(DEFAULT_KEY) or {})))
+
+
 def for_file(configs: dict[str, FileConfig], path: str, default: FileConfig | None = None) -> FileConfig:
     return configs.get(path) or default or clamped(FileConfig())
 
 
+#: Settings that meet lines as columns, by the names they have there.
+COLUMNS = {"domain_name": "string", "time_window_minutes": "int", "metrics_window_size": "int", "start_from": "int", "skip_pattern": "string", "host_id": "int"}
+
+
+def with_settings(lines: DataFrame, configs: dict[str, FileConfig], default: FileConfig, file_col: str = "file") -> DataFrame:
+    """``lines`` with the settings in ``COLUMNS`` of their file, those of ``default`` where it has no entry.
+
+    Entries are a table that is joined to the lines: as many as the configuration file has, which the driver has read, so they are sent to all executors.
+    """
+    schema = f"{file_col} string, " + ", ".join(f"{c} {kind}" for c, kind in COLUMNS.items())
+    rows = [(path, *[getattr(c, name) for name in COLUMNS]) for path, c in configs.items() if path != HOST_KEY]
+    table = lines.sparkSession.createDataFrame(rows, schema)
+    found = lines.join(F.broadcast(table), file_col, "left")
+    return found.withColumns({c: F.coalesce(c, F.lit(getattr(default, c)).cast(kind)) for c, kind in COLUMNS.items()})
+
+
 def next_run_minute(minute: int, every: int) -> int:
     """Minutes until the next aligned mark of a sampler that runs every 1, 5, 10, 15, 30 or 60 minutes."""
     if every not in (1, 5, 10, 15, 30, 60):

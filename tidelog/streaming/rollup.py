@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from tidelog.functions import timebin
 from tidelog.operators import counters, parse
 from tidelog.operators.rollup import cells
 from tidelog.operators.sinks import MetricTable
-from tidelog.functions import timebin
+from tidelog.operators.versions import Versions
+from tidelog.streaming import slots
 
 
 def windowed(requests: DataFrame, minutes: int, slots: int | None) -> DataFrame:
@@ -46,38 +49,60 @@ def start_metrics(lines: DataFrame, table: MetricTable, domain_id: int, minutes:
 
 
 class Tops:
-    """The largest keys of each dimension, from the counts that changed.
+    """The largest keys of each dimension, from the counts that changed; of each file, where counts have one.
 
     Counts only grow, so a key that did not change enters no top: the tops of the changed keys and the tops before are all that is
-    needed. ``WIDER`` times as many keys as are shown are held, with their counts at the last report.
+    needed. ``WIDER`` times as many keys as are shown are held, with their counts at the last report. With ``versions`` what is held is written
+    with each batch and read at the start, so that changes are those since the last report also after a restart or when a batch is repeated.
     """
 
     WIDER = 20
 
-    def __init__(self, n: int) -> None:
-        self.n = max(1, n)
-        self.counts: dict[tuple[str, str], int] = {}
+    def __init__(self, n: int, versions: Versions | None = None) -> None:
+        self.n, self.versions = max(1, n), versions
+        self.counts: dict[tuple[str, ...], int] = {}
+
+    def update(self, changed: DataFrame, batch_id: int | None = None) -> tuple[dict[tuple[str, ...], int], dict[tuple[str, ...], int]]:
+        """(counts, counts before) of the held keys after a batch of changed (file, dimension, key, n); new keys had none before.
 
-    def update(self, changed: DataFrame) -> tuple[dict[tuple[str, str], int], dict[tuple[str, str], int]]:
-        """(counts, counts before) of the held keys after a batch of changed (dimension, key, n); new keys had none before."""
+        Rows that have ``left`` true are of keys that left the state with these counts: they are held no more.
+        """
+        by = tuple(c for c in ("file",) if c in changed.columns)
         before = self.counts
+        if self.versions is not None:
+            held = self.versions.newest(batch_id) or {"counts": []}
+            before = {tuple(k): n for *k, n in held["counts"]}
         now = dict(before)
-        now.update({(r.dimension, r.key): r.n for r in counters.top(changed, self.WIDER * self.n).collect()})
+        rows = changed
+        if "left" in changed.columns:
+            for r in counters.top(changed.where("left").drop("left"), self.WIDER * self.n, by).collect():
+                now.pop((*[r[b] for b in by], r.dimension, r.key), None)
+            rows = changed.where("NOT left").drop("left")
+        now.update({(*[r[b] for b in by], r.dimension, r.key): r.n for r in counters.top(rows, self.WIDER * self.n, by).collect()})
+        groups: dict[tuple, list] = {}
+        for k, n in now.items():
+            groups.setdefault(k[:-1], []).append((k, n))
         held = {}
-        for dimension in {d for d, _ in now}:
-            mine = sorted(((k, n) for k, n in now.items() if k[0] == dimension), key=lambda x: (-x[1], x[0][1] or ""))
-            held.update(mine[: self.WIDER * self.n])
+        for mine in groups.values():
+            held.update(sorted(mine, key=lambda x: (-x[1], x[0][-1] or ""))[: self.WIDER * self.n])
         self.counts = held
+        if self.versions is not None and batch_id not in self.versions.numbers():
+            self.versions.publish({"n": batch_id, "counts": [[*k, n] for k, n in held.items()]})
         return held, before
 
 
-def start_counters(lines: DataFrame, show: Callable[[dict, dict], None], checkpoint: str, top_n: int = 10, every: str = "30 seconds") -> StreamingQuery:
-    """Exact running counts by dimension; ``show`` gets the largest ones and what they were at the trigger before.
+def start_counters(lines: DataFrame, show: Callable[[dict, dict], None], checkpoint: str, top_n: int = 10, every: str = "30 seconds", by: tuple[str, ...] = (), idle_minutes: float | None = None) -> StreamingQuery:
+    """Exact running sums and counts by dimension, rejected lines included; ``show`` gets the largest ones and what they were at the trigger before.
 
-    Each trigger emits only the keys that it changed; the totals of all keys are in the state store.
+    Each trigger emits only the keys that it changed; the totals of all keys are in the state store. With ``idle_minutes`` keys that have no line for so
+    long, by the machine's clock, leave it; should they come back, they count from nothing.
     """
-    requests = parse.requests(lines)
-    each = F.array(*[F.struct(F.lit(d).alias("dimension"), counters.DIMENSIONS[d]().alias("key")) for d in ("lines", *counters.PRINTED)])
-    counted = requests.select(F.explode(each).alias("d")).groupBy("d.dimension", "d.key").agg(F.count("*").alias("n"))
-    tops = Tops(top_n)
-    return counted.writeStream.outputMode("update").foreachBatch(lambda batch, _: show(*tops.update(batch))).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    spark, found = lines.sparkSession, parse.detect(lines)
+    every_line = parse.to_requests(parse.of_first_format(found) if "first_format" in lines.columns else found, keep_rejected=True)
+    tops = Tops(top_n, Versions(spark, f"{checkpoint}-tops"))
+    if idle_minutes is None:
+        counted = counters.report_counts(every_line, by)
+    else:
+        counted = slots.running_counts(every_line, by, idle_minutes)
+    with slots.state_in_rocksdb(spark) if idle_minutes is not None else nullcontext():
+        return counted.writeStream.outputMode("update").foreachBatch(lambda batch, batch_id: show(*tops.update(batch, batch_id))).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
