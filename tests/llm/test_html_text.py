@@ -1,3 +1,5 @@
+import pytest
+
 from tidelog.llm import html_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body class="has-sidebar">
@@ -192,3 +194,21 @@ def test_versions_and_copies_of_an_article_keep_their_text(spark):
     pages += [(10 + i, "http://g.example/", f"<article><p>{long}</p></article><div class=ad>{i}</div>") for i in range(6)]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string"), bucket_pages=2).collect()}
     assert all(got[i] == f"{long}\nversion {i}" for i in range(6)) and all(got[10 + i] == long for i in range(6))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><section class="related-work"><p>prose</p></section></article>', "prose"),
+        ('<article><div class="comments-off">a</div><div class="story-ad-free">b</div></article>', "a\nb"),
+        ('<article><p>x</p><div class="related-posts">r</div><div class="shareButtons">s</div><div class="post ad">t</div><p>y</p></article>', "x\ny"),
+        ('<div class="related-work"><p>menu</p></div><article>a</article>', "a"),
+        ('<article><p class="ad">Buy <b>now</b><p class="notice">We use cookies</p><h2 class="newsletter-title">Sign up</h2><p>b</p></article>', "b"),
+        ('<article><p class="ad">Buy <span>now</span> or later<div>kept</div></article>', "kept"),
+        ("<main><h1>T</h1><p>body</p></main><article>teaser</article>", "T\nbody"),
+        ("<main><p>a b c d</p><article>t</article></main>", "a b c d\nt"),
+        ("<main><h2>more</h2><article>a b c d</article></main>", "a b c d"),
+    ],
+)
+def test_what_names_condemn_and_what_main_keeps(page, text):
+    assert html_text.split_page(page)[0] == text

@@ -2,7 +2,9 @@
 
 The markup is cut into text blocks. Containers vouch for their blocks (article, then main, then a container named after
 content) or condemn them (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, hidden parts, scripts,
-styles). What a page's strongest vouching containers hold goes through an array of its host, see below. Where nothing vouches, the
+styles); paragraphs and headings may condemn themselves. Outside of what something vouches for a listed word anywhere in a class name condemns; inside, only a
+name made of such words and of words for shape and place ("related-posts", not "related-work"). Main wins over articles that have fewer words than it has
+beside them. What a page's strongest vouching containers hold goes through an array of its host, see below. Where nothing vouches, the
 undecided blocks are kept but for what the host repeats:
 
 1. Pages of a host with equal blocks are one page text. In each partition the page texts' unvouched token streams are concatenated
@@ -71,7 +73,12 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dia
 _BAD = set(
     "ad ads advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription paywall signup login signin search menu submenu nav navbar navigation topbar breadcrumb breadcrumbs sidebar aside widget widgets related recommended recommendations share sharing social footer colophon copyright comment comments commentlist reply replies respond disqus discussion toolbar pagination pager toc masthead".split()
 )
+#: Words that say where or what shape a part has. Inside an article a class name condemns only if it has no others beside a listed one.
+_SHAPE = set("area articles bar block body bottom box btn button buttons card cards center cnt col container content cta element field footer form frame grid group head heading holder icon icons inline inner item items large layer left link links list main mini mobile module outer page panel part placement post posts right row section side site slot small space sticky stories story strip text title tools top unit wrap wrapper zone".split())
+_OWN = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 _HEAD = {"header", "head", "topheader", "pageheader", "siteheader"}
+#: The level of an article within main.
+IN_MAIN = 4
 _GOOD = {"article", "content", "post", "entry", "story", "articlebody", "maincontent"}
 
 
@@ -80,13 +87,21 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _verdict(name: str, attributes: str) -> int | None:
-    """-1 condemns, 1 to 3 vouch, the more the stronger; None says nothing."""
+def _condemned(names: list[list[str]], inside: bool) -> bool:
+    """Whether class names (as their words) condemn: by any listed word, but within an article only by a name that says nothing else."""
+    if not inside:
+        return any(w in _BAD for words in names for w in words)
+    return any(any(w in _BAD for w in words) and all(w in _BAD or w in _SHAPE or w.isdigit() for w in words) for words in names)
+
+
+def _verdict(name: str, attributes: str, inside: bool = False) -> int | None:
+    """-1 condemns, 1 to 3 vouch, the more the stronger; None says nothing. ``inside``: of what something vouches for already."""
     if name in _GONE:
         return -1
     good = {"article": 3, "main": 2}.get(name)
     if attributes and "=" in attributes or "hidden" in attributes:
         words: set[str] = set()
+        names: list[list[str]] = []
         for key, a, b, c in _ATTR.findall(attributes):
             key, value = key.lower(), a or b or c
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -99,9 +114,11 @@ def _verdict(name: str, attributes: str) -> int | None:
             elif key == "itemprop" and value.lower() == "articlebody":
                 good = max(good or 0, 3)
             elif key in ("class", "id"):
-                words |= set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
+                # Letters are cut where capitals begin, so that camelCase names are words too.
+                names += [_WORD.findall(_CAMEL.sub(" ", whole).lower()) for whole in value.split()]
+                words |= {w for own in names for w in own}
         if name not in ("body", "html") and words:
-            if words & _BAD:
+            if _condemned(names, inside):
                 return -1
             if name == "header" or words & _HEAD:
                 return None if words & _GOOD else -1
@@ -144,14 +161,15 @@ def blocks(page: str) -> list[tuple[str, int]]:
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
     held: Counter[str] = Counter()
-    state = 0
+    # What containers say, and what a paragraph or heading says of itself until the next block.
+    state, own = 0, 0
 
     def close() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, state))
+                out.append((text, own or state))
 
     for before, end, name, attributes in markup(page):
         if before:
@@ -161,6 +179,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if end:
             if name in _BLOCK:
                 close()
+                own = 0
             if held[name]:
                 while True:
                     last, outer = stack.pop()
@@ -177,9 +196,12 @@ def blocks(page: str) -> list[tuple[str, int]]:
             parts.append("\n")
         if name in _BLOCK:
             close()
+            own = -1 if name in _OWN and attributes and _verdict(name, attributes, state > 0) == -1 else 0
         if name in _VOID or name not in _HELD or attributes.endswith("/") and name in ("svg", "template", "object"):
             continue
-        verdict = _verdict(name, attributes)
+        verdict = _verdict(name, attributes, state > 0)
+        if verdict == 3 and state == 2:
+            verdict = IN_MAIN
         if name == "header" and verdict == -1 and state >= 3 and not re.search(r"\b(?:class|id|role)\s*=", attributes):
             verdict = None
         if name == "li" and stack and stack[-1][0] == "li":
@@ -195,14 +217,28 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
+def _strongest(found: list[tuple[str, int]]) -> set[int]:
+    """The levels that a page's text is taken from: the strongest one, but main where it has more words of its own than the articles have."""
+    top = max((v for _, v in found), default=0)
+    if top <= 0:
+        return set()
+    words = Counter()
+    for text, v in found:
+        words[v] += len(text.split())
+    if top >= 3 and words[2] > words[top]:
+        # Articles in main are a part of it; those beside it are teasers.
+        return {2, IN_MAIN}
+    return {top}
+
+
 def split_page(page: str | None) -> tuple[str | None, list[str], list[str], int]:
     """(vouched text or None if open, undecided blocks, unvouched blocks, a hash of all blocks); the host's arrays decide on both."""
     found = blocks(page or "")
+    kept = _strongest(found)
     mark = xxhash.xxh3_64_intdigest("\n".join(t for t, _ in found)) - (1 << 63)
-    top = max((v for _, v in found), default=0)
     rest = [t for t, v in found if v <= 0]
-    if top > 0:
-        return "\n".join(t for t, v in found if v == top), [], rest, mark
+    if kept:
+        return "\n".join(t for t, v in found if v in kept), [], rest, mark
     undecided = [t for t, v in found if v == 0]
     return (None if undecided else ""), undecided, rest, mark
 
