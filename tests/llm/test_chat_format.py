@@ -73,3 +73,20 @@ def test_long_conversation_spans_ranges(spark, monkeypatch):
     roles = [rng.choice(["user", "assistant", "system"]) for _ in range(3000)]
     out = cf.repair(spark.createDataFrame([(1, i, r, "t") for i, r in enumerate(roles)], SCHEMA)).orderBy("position").collect()
     assert [r.role for r in out] == [cf.ROLES[x] for x in cf.labels([cf.role_number(r) for r in roles])]
+
+
+def test_ties_and_roles_are_read_as_the_sql_reads_them(spark, monkeypatch):
+    from collections import Counter
+
+    import duckdb
+
+    rows = [(1, 0, "user", f"text {k}") for k in range(6)] + [(1, 0, "user", "text 1"), (2, 0, "user\n", "a"), (2, 1, "\tAssistant \x0b", "b"), (2, 2, "user\xa0", "c"), (3, None, None, None), (3, None, None, ""), (None, 1, " SYSTEM\r\n", "s")]
+    monkeypatch.setattr(cf, "read_table", lambda *_: spark.createDataFrame(rows, SCHEMA))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    found = con.execute(cf.ORACLE)
+    columns = [c[0] for c in found.description]
+    got = cf.op1_chat_formatting(spark, "").select(columns).collect()
+    assert Counter(map(tuple, got)) == Counter(found.fetchall())
+    assert {r.action for r in got if r.source_role == "user\n"} == {"keep"} and "keep" not in {r.action for r in got if r.source_role == "user\xa0"}

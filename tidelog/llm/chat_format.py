@@ -13,8 +13,8 @@ known states. So a conversation of any length is never gathered, and the labels
 Output is one row per source turn, with its fragment: what rendering adds with this turn. The fragments in order of position
 are the rendered conversation; a merged run is never one string. Marker openings "<|" inside texts are written "< |".
 
-Null texts are empty, null or unknown roles cost the same under every label, null turns come last, ties go by role, hash of the text and
-place in the table, null conv_ids form one conversation. Conversations of any length and texts of any length are whole. Repeated
+Null texts are empty, null or unknown roles cost the same under every label, null turns come last, ties go by role, MD5 of the text (null as empty) and
+place in the table, roles are read without case and without white space of ASCII around them, null conv_ids form one conversation. Conversations of any length and texts of any length are whole. Repeated
 rows are turns of their own. An empty table gives no rows. Only the four named columns are read.
 """
 
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import blocks_of, keyed_runs, read_table, shared_dir, written
 
 ROLES = ("system", "user", "assistant")
+#: What may stand around a role.
+BLANKS = " \t\n\x0b\x0c\r"
 SYSTEM, USER, ASSISTANT, START = range(4)
 RELABEL, UNKNOWN, MERGE, INSERT = 3, 1, 1, 2
 _FAR = 1 << 50
@@ -44,7 +46,7 @@ END = [INSERT * len(CLOSING[s]) for s in range(4)]
 
 
 def role_number(role: str | None) -> int:
-    role = (role or "").strip().lower()
+    role = (role or "").strip(BLANKS).lower()
     return ROLES.index(role) if role in ROLES else -1
 
 
@@ -167,7 +169,7 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     numbered.write.option("compression", "zstd").parquet(path)
     numbered = spark.read.schema(numbered.schema).parquet(path)
     keys = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("source_role").asc_nulls_last(), F.col("mark").asc(), F.col("uid").asc()]
-    narrow = numbered.select("conv", "turn", "source_role", F.xxhash64("text").alias("mark"), "uid")
+    narrow = numbered.select("conv", "turn", "source_role", F.md5(F.coalesce("text", F.lit(""))).alias("mark"), "uid")
     n = numbered.count()
     ranges = blocks_of(n, max(PER_RANGE, n // MOST_RANGES))
     ordered = narrow.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("uid", "conv", "source_role")
@@ -214,7 +216,7 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     labelled = dealt.mapInArrow(label, "uid bigint, position bigint, role string, inner boolean, merged boolean, last boolean, before array<string>, after array<string>")
     joined = numbered.join(labelled, "uid")
-    relabelled = F.lower(F.trim(F.coalesce("source_role", F.lit("")))) != F.col("role")
+    relabelled = F.lower(F.btrim(F.coalesce("source_role", F.lit("")), F.lit(BLANKS))) != F.col("role")
     action = F.when(F.col("merged") & relabelled, "relabel and merge").when(F.col("merged"), "merge").when(relabelled, "relabel").otherwise("keep")
     body = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
 
@@ -240,12 +242,13 @@ def _own(label: int) -> str:
     return f"CASE WHEN r < 0 THEN {UNKNOWN} WHEN r = {label} THEN 0 ELSE {RELABEL} END"
 
 
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 #: The program by whole paths, conversation by conversation.
 ORACLE = f"""
 WITH RECURSIVE turns AS (
   SELECT conv_id, turn, role AS source_role, coalesce(text, '') AS body,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text) - 1 AS position, count(*) OVER (PARTITION BY conv_id) AS n,
-    CASE lower(trim(role)) WHEN 'system' THEN 0 WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE -1 END AS r FROM conversations),
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, md5(coalesce(text, ''))) - 1 AS position, count(*) OVER (PARTITION BY conv_id) AS n,
+    CASE lower(trim(role, {_BLANKS})) WHEN 'system' THEN 0 WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE -1 END AS r FROM conversations),
 steps AS (
   SELECT conv_id, position, n, {_own(0)} AS c0, '0' AS p0, {_own(1)} AS c1, '1' AS p1, {_own(2)} + {INSERT} AS c2, '2' AS p2 FROM turns WHERE position = 0
   UNION ALL
@@ -257,7 +260,7 @@ told AS (SELECT t.*, CAST(substr(path, CAST(position + 1 AS BIGINT), 1) AS INTEG
   FROM turns t JOIN paths p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 named AS (SELECT *, ['system', 'user', 'assistant'][l + 1] AS role, s = l AS merged, CASE WHEN l = 2 AND s IN (0, 3) THEN 'user' ELSE '' END AS before,
   CASE WHEN position < n - 1 OR l = 2 THEN '' WHEN l = 1 THEN 'assistant' ELSE 'user,assistant' END AS after FROM told),
-worded AS (SELECT *, lower(trim(coalesce(source_role, ''))) <> role AS relabelled, chr(10) AS nl FROM named)
+worded AS (SELECT *, lower(trim(coalesce(source_role, ''), {_BLANKS})) <> role AS relabelled, chr(10) AS nl FROM named)
 SELECT conv_id, turn, CAST(position AS BIGINT) AS position, source_role, role,
   CASE WHEN merged AND relabelled THEN 'relabel and merge' WHEN merged THEN 'merge' WHEN relabelled THEN 'relabel' ELSE 'keep' END AS action, before, after,
   CASE WHEN merged THEN nl ELSE CASE WHEN position > 0 THEN '<|end|>' || nl ELSE '' END || CASE WHEN before <> '' THEN '<|user|>' || nl || '<|end|>' || nl ELSE '' END || '<|' || role || '|>' || nl END
