@@ -117,3 +117,21 @@ def test_every_text_has_a_feature():
     ha, spam = of(b"ha ha " * 600), of(b"spam spam " * 600)
     assert ha.counts.sum() and spam.counts.sum() and of(b"a" * 5000).counts.sum()
     assert digests.likeness(ha, spam) < 1 and digests.likeness(ha, of(b"ha ha " * 500)) == 1
+
+
+def test_short_texts_stay_near_their_edits():
+    import random
+
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "river", "stone", "light", "paper", "green", "window", "garden"]
+    told = lambda n: " ".join(rng.choice(words) + str(rng.randrange(90)) for _ in range(60))[:n].encode()
+    ranks = lambda data: np.zeros(max(0, len(data) - digests.WINDOW + 1), np.int64)
+    for n in [*range(12, 150, 6), 126, 127, 128, 129, 200, 254, 255, 256, 257]:
+        near, far = [], []
+        for _ in range(10):
+            text, other = told(n), told(n)
+            edited = text[: n - n // 3] + other[: n // 3]
+            own = digests.digest(text, ranks(text))
+            near.append(digests.likeness(own, digests.digest(edited, ranks(edited))))
+            far.append(digests.likeness(own, digests.digest(other, ranks(other))))
+        assert min(near) >= 0.3 and np.mean(near) > np.mean(far) + 0.2, (n, near, far)

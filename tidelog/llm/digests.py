@@ -3,7 +3,8 @@
 The entropy of each 32-byte window is followed byte by byte with exact integers and put on a scale of 0 to 1000. How rare a
 level is comes from a count over all windows of all documents; levels under ``LOW`` (runs of a byte, short periods) come
 last. A window is selected if it is the rarest, leftmost one in at least ``WINS`` of the spans of ``SPAN`` windows that hold it.
-If none wins so many, those with the most wins are selected, so that no text but the empty one is without a feature.
+If none wins so many, those with the most wins are selected, so that no text but the empty one is without a feature. Few wide windows fit a short text, so
+texts under ``SHORT_BYTES`` have all their windows of ``NARROW`` bytes, in filters of their own.
 Selected windows are hashed (XXH3, 128 bits) to five of 2048 bits; a filter takes ``PER_FILTER`` of them, then a new one is chained.
 Likeness: each filter of the shorter chain meets the filter it overlaps most, as the part of the bits shared beyond
 chance; the mean is weighted by features. Equal digests have likeness 1.
@@ -13,7 +14,7 @@ finds over these two numbers; the head of each range also goes to the range befo
 texts are shuffled once. Rows equal in both may fill several ranges: each but the last of them is then its own next. The driver
 holds the first key of each range, at most about ``MOST_BUCKETS``.
 
-Null texts are empty. An empty text has the empty digest, which is like itself (1) and nothing else (0); a text under 32 bytes
+Null texts are empty. An empty text has the empty digest, which is like itself (1) and nothing else (0); a text under 6 bytes
 is one feature. Equal doc_ids are ordered by their texts' XXH64, null ones come last. A single document is its own next.
 Whole texts are read, however long. An empty table gives no rows. Only ``id_col`` (integers) and ``text_col`` are read.
 """
@@ -40,6 +41,9 @@ LEVELS = 1001
 LOW = 100
 SPAN = 32
 WINS = 8
+#: Bytes from which texts have features of WINDOW bytes, and under which they have all those of NARROW bytes.
+SHORT_BYTES = (128, 256)
+NARROW = 6
 PER_FILTER = 160
 FILTER_BITS = 2048
 BUCKET_BYTES = 24_000_000
@@ -104,13 +108,16 @@ def selected(ranks: np.ndarray) -> np.ndarray:
 class Digest:
     """Chained filters: bits as an array of (filters, bytes) and features per filter."""
 
-    def __init__(self, features: list[bytes]) -> None:
-        n = len(features)
-        self.counts = np.array([min(PER_FILTER, n - at) for at in range(0, n, PER_FILTER)], np.int64)
+    def __init__(self, *kinds: list[bytes]) -> None:
+        self.counts = np.array([min(PER_FILTER, len(features) - at) for features in kinds for at in range(0, len(features), PER_FILTER)], np.int64)
         bits = np.zeros((len(self.counts), FILTER_BITS), bool)
-        if n:
-            hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(f) for f in features]), "<u2").reshape(n, 8)[:, :5] & (FILTER_BITS - 1)
-            bits[(np.arange(n) // PER_FILTER)[:, None], hashes] = True
+        first = 0
+        for features in kinds:
+            n = len(features)
+            if n:
+                hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(f) for f in features]), "<u2").reshape(n, 8)[:, :5] & (FILTER_BITS - 1)
+                bits[(first + np.arange(n) // PER_FILTER)[:, None], hashes] = True
+                first += -(-n // PER_FILTER)
         self.bits = np.packbits(bits, axis=1)
 
     def text(self) -> str:
@@ -138,9 +145,11 @@ def likeness(a: Digest, b: Digest) -> float:
 
 
 def digest(data: bytes, ranks: np.ndarray) -> Digest:
-    if len(data) < WINDOW:
-        return Digest([data] if data else [])
-    return Digest([data[p : p + WINDOW] for p in selected(ranks).tolist()])
+    n = len(data)
+    # Texts between the two bounds have both kinds, so that an edit over a bound still meets its own kind.
+    narrow = [data[p : p + NARROW] for p in range(n - NARROW + 1)] if NARROW <= n < SHORT_BYTES[1] else [data] if 0 < n < NARROW else []
+    wide = [data[p : p + WINDOW] for p in selected(ranks).tolist()] if n >= SHORT_BYTES[0] else []
+    return Digest(narrow, wide)
 
 
 def level_counts(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
