@@ -281,8 +281,12 @@ def database_lines():
 def test_configured_run_keeps_rows(spark, tmp_path, jdbc):
     from tidelog.operators import database
 
-    p = tmp_path / "x.log"
-    p.write_text("\n".join(database_lines()))
+    # A file is read in one format, so the line of another host is a file of its own.
+    p = tmp_path / "logs"
+    p.mkdir()
+    lines = database_lines()
+    (p / "x.log").write_text("\n".join(x for x in lines if not x.startswith("shop")))
+    (p / "y.log").write_text("\n".join(x for x in lines if x.startswith("shop")))
     settings = {"Handlers": ["METRICS"], "WriteMetricsToDb": True, "SaveLogsToDb": True, "SaveLogsToDbOnlyRelevant": 1, "SaveLogsToDbMaskIPs": False, "HostId": 4, "DomainName": "example.org", "ReplaceExistingMetrics": False}
     if jdbc:
         settings["DbAddress"] = f"jdbc:derby:{tmp_path}/db;create=true"

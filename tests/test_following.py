@@ -356,3 +356,32 @@ def test_reports_take_one_pass(spark):
     got = {(r.dimension, r.key): r.n for r in counters.report_counts(every).collect()}
     assert [got.get((d, "")) for d in counters.SUMS] == [3, 1, 2, 20, None, 2, None]
     assert got["status", "200"] == got["status", "404"] == 1 and ("status", None) not in got
+
+
+def test_sketches_of_windows_and_runs_keep_the_heavy_keys(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    keys = [f"/{min(int(rng.paretovariate(0.9)), 4000)}" for _ in range(6000)]
+    rows = spark.createDataFrame([(k % 60, x) for k, x in enumerate(keys)], "w int, path string")
+    whole = rows.groupBy("path").count()
+    exact = {r["path"]: r["count"] for r in whole.collect()}
+    made = counters.sketches(rows, ("path",), ("w",), 96)
+    made.write.parquet(str(tmp_path / "s"))
+    got = {r.key: (r.n, r.error) for r in counters.top_of_sketches(spark.read.parquet(str(tmp_path / "s")), 10, tracked=96).collect()}
+    assert len(exact) > 128 and {e for _, e in got.values()} == {165}
+    assert all(abs(n - exact[k]) <= e for k, (n, e) in got.items())
+    heavy = {k for k, n in exact.items() if n > 2 * 165}
+    assert len(heavy) >= 3 and heavy <= set(got)
+
+
+def test_a_stream_of_sketches(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(2):
+        (source / f"{k}.txt").write_text("\n".join([line(m, ip=f"1.1.1.{m % 3}") for m in range(10 + k)]))
+        streaming.start_sketches(spark.readStream.text(str(source)), str(tmp_path / "s"), str(tmp_path / "c"), 5).awaitTermination()
+    kept = spark.read.parquet(str(tmp_path / "s"))
+    assert kept.select("batch", "time_window").distinct().count() == 5
+    top = counters.top_of_sketches(kept, 2).where("dimension = 'client'").orderBy("rank").collect()
+    assert [(r.key, r.n) for r in top] == [("1.1.1.0", 8), ("1.1.1.1", 7)]

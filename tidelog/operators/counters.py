@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.rollup import agent_field
@@ -72,10 +72,46 @@ def top_of(requests: DataFrame, dimension: str, n: int) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.asc("key")).limit(max(1, n))
 
 
+#: Keys that a sketch tracks; it is exact while there are no more, see ``sketch_error``.
+TRACKED = 4096
+
+
+def sketches(requests: DataFrame, dimensions: tuple[str, ...] = TOP_DIMENSIONS, by: tuple[str, ...] = (), tracked: int = TRACKED) -> DataFrame:
+    """(by, dimension, lines, sketch): heavy hitters of each dimension, in bounded memory whatever the number of keys.
+
+    Sketches are tables like others: those of windows, batches or runs may be kept and merged later.
+    """
+    each = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(DIMENSIONS[d](), F.lit("")).alias("key")) for d in dimensions])
+    keyed = requests.select(*by, F.explode(each).alias("d")).select(*by, "d.dimension", "d.key")
+    return keyed.groupBy(*by, "dimension").agg(F.count("*").alias("lines"), F.expr(f"approx_top_k_accumulate(key, {tracked})").alias("sketch"))
+
+
+def merged_sketches(made: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sketches of the same dimension (and ``by``) as one."""
+    return made.groupBy(*by, "dimension").agg(F.sum("lines").alias("lines"), F.expr("approx_top_k_combine(sketch)").alias("sketch"))
+
+
+def sketch_error(lines: Column, tracked: Column) -> Column:
+    """By how much a count of a sketch may be off: 3.5 / m of all lines, m being the power of two from 4/3 of the tracked keys on."""
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(tracked / 0.75)))
+    return F.ceil(3.5 * lines / size).cast("bigint")
+
+
+def top_of_sketches(made: DataFrame, n: int, by: tuple[str, ...] = (), tracked: int = TRACKED) -> DataFrame:
+    """(by, dimension, key, n, error, rank) of the n largest keys, ties by key. Counts are off by ``error`` at most.
+
+    Keys with more than twice ``error`` of the lines are there. ``tracked`` is what the sketches were made with.
+    """
+    whole = merged_sketches(made, by).withColumn("tracked", F.col("sketch.maxItemsTracked"))
+    # All that are tracked, so that ties at the end go by key.
+    listed = whole.select(*by, "dimension", sketch_error(F.col("lines"), F.col("tracked")).alias("error"), F.explode(F.expr(f"approx_top_k_estimate(sketch, {tracked})")).alias("t"))
+    order = Window.partitionBy(*by, "dimension").orderBy(F.desc("n"), F.asc("key"))
+    return listed.select(*by, "dimension", F.col("t.item").alias("key"), F.col("t.count").alias("n"), "error").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, n))
+
+
 def approximate_top(requests: DataFrame, dimension: str, n: int) -> DataFrame:
-    """Heavy hitters by a bounded sketch, for streams with unbounded keys."""
-    keyed = requests.select(DIMENSIONS[dimension]().alias("key"))
-    return keyed.agg(F.expr(f"approx_top_k(key, {max(1, n)})").alias("t")).select(F.explode("t").alias("t")).select(F.col("t.item").alias("key"), F.col("t.count").alias("n"))
+    """(key, n) of one dimension's heavy hitters."""
+    return top_of_sketches(sketches(requests, (dimension,), tracked=max(TRACKED, n)), n, tracked=max(TRACKED, n)).select("key", "n")
 
 
 def change(rolled: DataFrame) -> DataFrame:

@@ -234,6 +234,13 @@ for _d in counters.TOP_DIMENSIONS:
     query(f"topn_{_d}s", REQ + f"SELECT {_DIMENSIONS[_d]} AS key, count(*) AS n FROM req GROUP BY 1 ORDER BY n DESC, key LIMIT 10")(_top_query(_d))
 
 
+@query("heavy_hitters", _COUNTS + "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY dimension ORDER BY n DESC, key) AS INTEGER) AS rank FROM counts WHERE dimension IN ('client', 'referer', 'path')) WHERE rank <= 10")
+def heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top keys from sketches of each hour, which track more keys than there are here and so are exact."""
+    r = requests(spark, sf_dir).withColumn("time_window", timebin.window_id(F.col("ts_wall"), 60))
+    return counters.top_of_sketches(counters.sketches(r, by=("time_window",)), 10).drop("error")
+
+
 @query("counter_delta", _cells(60) + "SELECT *, CAST(metric_value - coalesce(lag(metric_value) OVER (PARTITION BY metric_type, key_value ORDER BY time_window), 0) AS BIGINT) AS delta FROM rolled")
 def counter_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters.change(rollup.rollup(requests(spark, sf_dir), 60))

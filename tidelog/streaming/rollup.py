@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from contextlib import nullcontext
 
@@ -106,3 +107,18 @@ def start_counters(lines: DataFrame, show: Callable[[dict, dict], None], checkpo
         counted = slots.running_counts(every_line, by, idle_minutes)
     with slots.state_in_rocksdb(spark) if idle_minutes is not None else nullcontext():
         return counted.writeStream.outputMode("update").foreachBatch(lambda batch, batch_id: show(*tops.update(batch, batch_id))).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def start_sketches(lines: DataFrame, folder: str, checkpoint: str, minutes: int = 60, every: str | None = None) -> StreamingQuery:
+    """Heavy hitters of each window and batch as sketches in a folder, from which ``counters.top_of_sketches`` answers for any windows, batches and runs.
+
+    A repeated batch writes its own part anew. With ``every`` the stream goes on, else it ends with its input.
+    """
+    timed = parse.requests(lines).where(F.col("ts_wall").isNotNull()).withColumn("time_window", timebin.window_id(F.col("ts_wall"), minutes))
+    run = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        counters.sketches(batch, by=("time_window",)).write.mode("overwrite").parquet(f"{folder}/run={run}/batch={batch_id}")
+
+    writer = timed.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
