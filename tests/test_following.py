@@ -385,3 +385,20 @@ def test_a_stream_of_sketches(spark, tmp_path):
     assert kept.select("batch", "time_window").distinct().count() == 5
     top = counters.top_of_sketches(kept, 2).where("dimension = 'client'").orderBy("rank").collect()
     assert [(r.key, r.n) for r in top] == [("1.1.1.0", 8), ("1.1.1.1", 7)]
+
+
+def test_lines_out_of_order_are_flagged_in_json(spark, tmp_path):
+    p = tmp_path / "o.log"
+    p.write_text("\n".join(line(m) for m in (5, 3, 7)) + "\n")
+    flags = lambda d: sorted((x["timestamp"][14:16], x["is_out_of_order"]) for x in (json.loads(r.value) for r in spark.read.text(str(d)).collect()))
+    cli.run(spark, str(p), config.FileConfig(handlers=("WRITE_TO_FILE",), write_to_file=str(tmp_path / "bounded")))
+    assert flags(tmp_path / "bounded") == [("03", True), ("05", False), ("07", False)]
+    q = cli.follow(spark, str(p), config.FileConfig(follow=True, handlers=("WRITE_TO_FILE",), write_to_file=str(tmp_path / "out")))
+    try:
+        drained(*q)
+        with p.open("a") as out:
+            out.write("".join(line(m) + "\n" for m in (6, 9, 8)))
+        drained(*q)
+    finally:
+        q[0].stop()
+    assert flags(tmp_path / "out") == [("03", True), ("05", False), ("06", True), ("07", False), ("08", True), ("09", False)]

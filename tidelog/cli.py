@@ -110,7 +110,7 @@ def _handled(spark: SparkSession, every_line: DataFrame, numbered: DataFrame, na
         for f in measured:
             out[f].append(dumps.get((f,), "{}"))
     for (target,), group in _alike({f: settings[f] for f in with_handler("WRITE_TO_FILE")}, "write_to_file").items():
-        sinks.write_json_lines(_of(requests, group), target)
+        sinks.write_json_lines(parse.flag_out_of_order(_of(requests, group), "file", "line_no"), target)
     for f in files:
         for handler in set(settings[f].handlers) - set(config.HANDLERS):
             logging.warning("unknown handler %s", handler)
@@ -217,13 +217,25 @@ def _follow_rows(requests: DataFrame, settings: dict[str, config.FileConfig], ta
     places = _by_tables({f: c for f, c in settings.items() if c.save_raw_logs}, tables_of)
     targets = _alike({f: c for f, c in settings.items() if "WRITE_TO_FILE" in c.handlers}, "write_to_file")
     run = uuid.uuid5(uuid.NAMESPACE_URL, root).hex
+    newest = Versions(requests.sparkSession, f"{root}/rows-newest")
+
+    def flagged(batch: DataFrame, batch_id: int) -> DataFrame:
+        """With the flag of lines that are older than one before them, in this batch or an earlier one; a row a file is kept from batch to batch."""
+        before = (newest.newest(batch_id) or {"seconds": {}})["seconds"]
+        now = {r.file: r.at for r in batch.groupBy("file").agg(F.max(F.unix_micros("ts")).alias("at")).collect() if r.at is not None}
+        if batch_id not in newest.numbers():
+            newest.publish({"n": batch_id, "seconds": {f: max(x for x in (before.get(f), now.get(f)) if x is not None) for f in before | now}})
+        known = batch.sparkSession.createDataFrame(list(before.items()), "file string, _before bigint")
+        here = parse.flag_out_of_order(batch, "file", "place").join(F.broadcast(known), "file", "left")
+        return here.withColumn("is_out_of_order", F.col("is_out_of_order") | F.coalesce(F.unix_micros("ts") < F.col("_before"), F.lit(False))).drop("_before")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         # Parsed once for all targets of the batch.
         batch = batch.persist()
         try:
+            told = flagged(batch, batch_id) if targets else batch
             for (target,), files in targets.items():
-                sinks.json_lines(_of(batch, files)).write.mode("overwrite").text(f"{target}/run={run}/batch={batch_id}")
+                sinks.json_lines(_of(told, files)).write.mode("overwrite").text(f"{target}/run={run}/batch={batch_id}")
             for kept, files in places:
                 for k, group in enumerate(_alike({f: settings[f] for f in files}, "only_relevant", "mask_ip").values()):
                     database.save_raw_logs(_of(batch, group), settings[group[0]], kept, f"{root}/rows#{k}", batch_id)
