@@ -12,7 +12,7 @@ The regressions take at most about ``LABELLED`` labelled documents, chosen by a
 quantiles and all scores, covers all documents and whole texts; features are made once, into a table in the shared folder.
 
 Null texts are empty, null languages and sources are values of their own, labels with a null are not used, repeated rows are scored alike.
-Without good or without bad labels, or with under 20 sampled labels, nothing is fitted: every document gets the share of good
+Without good or without bad labels, or with under ``LEAST_LABELS`` sampled labels, nothing is fitted: every document gets the share of good
 labels (one half if none) and stays. An empty
 table gives no rows. Extra columns pass through in ``classify`` whatever their names.
 """
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import bounded_batches, discard, fresh, read_table, shared_dir, slices, written
 
+#: Labels under which nothing is fitted: two views, each calibrated on a quarter held out, would reject documents on the word of a few.
+LEAST_LABELS = 20
 LABELLED = 15_000
 BROADCAST_LABELS = 1_000_000
 ROUNDS = 2
@@ -312,7 +314,7 @@ def meta_rows(edges: list, langs: list, sources: list, numbers: np.ndarray) -> R
 def train(words: Rows, meta: Rows, good: np.ndarray, edges: list, exchange: Callable[[list[View]], list[np.ndarray]]) -> Model:
     """A model from the features of labelled documents; ``exchange`` gives what each view is taught by the other."""
     prior = float(good.mean()) if len(good) else 0.5
-    if len(good) < 20 or not 0 < good.sum() < len(good):
+    if len(good) < LEAST_LABELS or not 0 < good.sum() < len(good):
         return Model(prior)
     apart = np.arange(len(good)) % 4 == 3
     fit_views, held_views = ([rows.take(np.flatnonzero(which)) for rows in (words, meta)] for which in (~apart, apart))
