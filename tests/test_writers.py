@@ -160,3 +160,11 @@ def test_many_names_are_numbered_in_ranges(spark, tmp_path):
     assert found.agg(F.min("domain_id"), F.max("domain_id"), F.countDistinct("domain_id")).first()[:] == (11, 200_010, 200_000)
     wrong = found.alias("a").join(found.alias("b"), F.expr("b.domain_id = a.domain_id + 1")).where("b.domain <= a.domain")
     assert wrong.count() == 0
+
+
+def test_a_table_from_before_buckets_is_read_and_goes_on(spark, tmp_path):
+    table = sinks.MetricTable(spark, str(tmp_path / "m"))
+    rows(spark, ("a", 200001011200, 5), ("b", 200001011200, 1)).write.parquet(str(tmp_path / "m" / "data" / "x" / "day=20000101"))
+    table.versions.publish({"n": 1, "days": {"20000101": str(tmp_path / "m" / "data" / "x" / "day=20000101")}, "batches": {}, "gone": []})
+    table.upsert(rows(spark, ("a", 200001011200, 2)), False)
+    assert {r.key_value: r.metric_value for r in table.read().collect()} == {"a": 7, "b": 1}

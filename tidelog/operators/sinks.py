@@ -59,7 +59,10 @@ class MetricTable:
         self.versions = Versions(spark, self.root)
 
     def _head(self) -> dict:
-        return self.versions.newest() or {"n": 0, "days": {}, "batches": {}, "gone": []}
+        head = self.versions.newest() or {"n": 0, "days": {}, "batches": {}, "gone": []}
+        # Days of earlier tables are a folder each: one bucket, of a size that isn't known.
+        days = {d: {"buckets": 1, "files": {"0": [x, 0]}} if isinstance(x, str) else x for d, x in head["days"].items()}
+        return head | {"days": days, "gone": [[x, 0] if isinstance(x, str) else x for x in head["gone"]]}
 
     def _publish(self, head: dict) -> None:
         self.versions.publish(head)
