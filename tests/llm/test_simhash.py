@@ -156,3 +156,9 @@ def test_sets_meet_only_where_alike_ones_must():
         of_cell.setdefault(h, []).append((size, u))
     met = sum(5 * min(a, b) >= 4 * max(a, b) for x in of_cell.values() for i, (a, _) in enumerate(x) for b, _ in x[:i])
     assert rows < 0.6 * met, (rows, met)
+
+
+def test_links_are_told_again_rather_than_held(spark, monkeypatch):
+    want = sorted(map(str, simhash.near_duplicates(cases.docs(spark)).collect()))
+    monkeypatch.setattr(simhash, "MOST_HELD", 1)
+    assert sorted(map(str, simhash.near_duplicates(cases.docs(spark)).collect())) == want

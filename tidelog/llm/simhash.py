@@ -37,6 +37,8 @@ BITS = 64
 SEGMENT = 2
 #: Segments in each run of the grid join.
 GROUPS = (11, 11, 10)
+#: Fingerprints of a partition whose links are held at a time, to tell none twice.
+MOST_HELD = 1_000_000
 #: What the pipeline's stage calls alike: shingles of ``WORDS`` words and a Jaccard similarity of ``SHARE`` or more.
 WORDS = 5
 SHARE = (4, 5)
@@ -164,6 +166,9 @@ def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:
             probe = rows.column("probe").to_numpy()
             if probe.all():
                 continue
+            if len(forest.up) > MOST_HELD:
+                # Links that other cells have as well are then told again.
+                forest = Forest()
             for a, b in cell_links(fps[~probe], fps[probe], most):
                 if forest.join(a, b):
                     a_out.append(a)
