@@ -234,6 +234,21 @@ def test_command_line(spark, tmp_path):
         cli.configs(cli.arguments([]))
 
 
+def test_host_texts(spark):
+    from tidelog.operators import hoststats
+
+    texts = {
+        "12:13  up 13 days, 13:27, 11 users, load averages: 1.25 1.50 1.52": ("12:13", 19527, 11, "1.25", "1.50", "1.52"),
+        "09:18:58 up 34 days, 14:35,  2 users,  load average: 0.04, 0.03, 0.00": ("09:18:58", 49835, 2, "0.04", "0.03", "0.00"),
+        "09:18:58 up 14:35,  2 users,  load average: 0.04, 0.03, 0.00": ("09:18:58", 875, 2, "0.04", "0.03", "0.00"),
+        "09:18:58 up 34 min,  1 user,  load average: 0.04, 0.03, 0.00": ("09:18:58", 34, 1, "0.04", "0.03", "0.00"),
+    }
+    got = hoststats.parse_uptime(spark.createDataFrame([(t,) for t in texts], "value string")).collect()
+    assert {r.value: tuple(r)[1:] for r in got} == texts
+    free = "               total        used        free      shared  buff/cache   available\nMem:         8131912     1142280     5147464        4044     2163520     6989632\nSwap:        2097148        1024     2096124"
+    assert tuple(hoststats.parse_memory(spark.createDataFrame([(free,)], "value string")).drop("value").first()) == (1142280, 5147464, 2163520, 6989632, 1024)
+
+
 def test_host_sample_and_out_of_order(spark):
     assert isinstance(host.sample(spark).first().metrics_ts, dt.datetime)
     r = parse.requests(frame(spark, [line(5), line(3), line(7)])).withColumn("file", F.lit("f"))

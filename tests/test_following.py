@@ -402,3 +402,12 @@ def test_lines_out_of_order_are_flagged_in_json(spark, tmp_path):
     finally:
         q[0].stop()
     assert flags(tmp_path / "out") == [("03", True), ("05", False), ("06", True), ("07", False), ("08", True), ("09", False)]
+
+
+def test_disabled_files_are_left_alone(spark, tmp_path, capsys):
+    for name in ("on", "off"):
+        (tmp_path / f"{name}.log").write_text(line(1 if name == "on" else 2))
+    (tmp_path / "c.json").write_text(json.dumps({"--default--": {"Handlers": ["METRICS"], "TimeWindowSizeMinutes": 1}, str(tmp_path / "on.log"): {}, str(tmp_path / "off.log"): {"Enabled": False}}))
+    cli.main(["-c", str(tmp_path / "c.json")])
+    told = capsys.readouterr().out
+    assert "200010101301" in told and "200010101302" not in told

@@ -399,26 +399,23 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().select("metric_type", _shown("key_value").alias("key_value"), "time_window", "metric_value")
 
 
-_UPTIMES = (
-    ("12:13  up 13 days, 13:27, 11 users, load averages: 1.25 1.50 1.52", "12:13", 19527, 11, "1.25", "1.50", "1.52"),
-    ("09:18:58 up 34 days, 14:35,  2 users,  load average: 0.04, 0.03, 0.00", "09:18:58", 49835, 2, "0.04", "0.03", "0.00"),
-    ("09:18:58 up 14:35,  2 users,  load average: 0.04, 0.03, 0.00", "09:18:58", 875, 2, "0.04", "0.03", "0.00"),
-    ("09:18:58 up 34 min,  1 user,  load average: 0.04, 0.03, 0.00", "09:18:58", 34, 1, "0.04", "0.03", "0.00"),
-)
+_UPTIME, _MEMORY = ("sample_time", "up_duration_minutes", "users", "load_average1", "load_average5", "load_average15"), ("memory_use", "memory_free", "cache_use", "memory_available", "swap_use")
 
 
-def _values(rows: tuple) -> str:
-    return "VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+def _samples(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{fixture.host_samples('spark')[text]} AS value")
 
 
-@query("host_uptime", f"SELECT * FROM ({_values(_UPTIMES)}) t(value, sample_time, up_duration_minutes, users, load_average1, load_average5, load_average15)")
-def host_uptime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hoststats.parse_uptime(spark.createDataFrame([(r[0],) for r in _UPTIMES], "value string"))
+def _sampled(columns: tuple[str, ...]) -> str:
+    made = fixture.host_samples("duckdb")
+    return "SELECT event_id, " + ", ".join(f"{made[c]} AS {c}" for c in columns) + " FROM events"
 
 
-_FREE = "               total        used        free      shared  buff/cache   available\nMem:         8131912     1142280     5147464        4044     2163520     6989632\nSwap:        2097148        1024     2096124"
+@query("host_uptime", _sampled(_UPTIME))
+def host_uptime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hoststats.parse_uptime(_samples(spark, sf_dir, "uptime")).drop("value")
 
 
-@query("host_memory", "SELECT CAST(1142280 AS BIGINT) AS memory_use, CAST(5147464 AS BIGINT) AS memory_free, CAST(2163520 AS BIGINT) AS cache_use, CAST(6989632 AS BIGINT) AS memory_available, CAST(1024 AS BIGINT) AS swap_use")
+@query("host_memory", _sampled(_MEMORY))
 def host_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hoststats.parse_memory(spark.createDataFrame([(_FREE,)], "value string")).drop("value")
+    return hoststats.parse_memory(_samples(spark, sf_dir, "free")).drop("value")

@@ -82,3 +82,29 @@ def as_log(events: DataFrame, fmt: str = "nginx") -> DataFrame:
 
 def duckdb_fields() -> str:
     return "SELECT " + ", ".join(f"{e} AS {c}" for c, e in fields("duckdb").items()) + " FROM events"
+
+
+def host_samples(dialect: str) -> dict[str, str]:
+    """What ``uptime`` and ``free`` might print, with the numbers in it, by event: as many samples as there are events."""
+    text = _TEXT[dialect]
+    word = lambda n: f"CAST({n} AS {text})"
+    two = lambda n: f"lpad({word(n)}, 2, '0')"
+    load = lambda n: f"concat({word(f'CAST(floor((event_id % {n}) / 100) AS BIGINT)')}, '.', {two('event_id % 100')})"
+    days, hours, minutes, users = "event_id % 400", "event_id % 24", "event_id % 60", "1 + event_id % 12"
+    short = f"concat({two(hours)}, ':', {two(minutes)})"
+    clock = f"CASE WHEN event_id % 4 = 0 THEN {short} ELSE concat({short}, ':', {two('event_id % 50')}) END"
+    loads = [load(n) for n in (1000, 700, 300)]
+    up = f"CASE event_id % 4 WHEN 2 THEN concat({word(hours)}, ':', {two(minutes)}) WHEN 3 THEN concat({word(minutes)}, ' min') ELSE concat({word(days)}, ' days, ', {word(hours)}, ':', {two(minutes)}) END"
+    end = f"CASE WHEN event_id % 4 = 0 THEN concat(' users, load averages: ', {loads[0]}, ' ', {loads[1]}, ' ', {loads[2]}) ELSE concat(' users,  load average: ', {loads[0]}, ', ', {loads[1]}, ', ', {loads[2]}) END"
+    memory = {"memory_use": "event_id * 13", "memory_free": "event_id * 7 + 1", "cache_use": "event_id * 5 + 2", "memory_available": "event_id * 12 + 3", "swap_use": "event_id % 1000"}
+    used, free, cache, rest, swap = (word(x) for x in memory.values())
+    return {
+        "event_id": "event_id",
+        "uptime": f"concat({clock}, '  up ', {up}, ',  ', {word(users)}, {end})",
+        "free": f"concat('       total  used  free  shared  buff/cache  available', chr(10), 'Mem:   9999999999  ', {used}, '     ', {free}, '  4044  ', {cache}, '  ', {rest}, chr(10), 'Swap:  2097148  ', {swap}, '  2096124')",
+        "sample_time": clock,
+        "up_duration_minutes": f"CAST(CASE WHEN event_id % 4 < 2 THEN ({days}) * 1440 ELSE 0 END + CASE WHEN event_id % 4 < 3 THEN ({hours}) * 60 ELSE 0 END + {minutes} AS INT)",
+        "users": f"CAST({users} AS INT)",
+        **{f"load_average{n}": x for n, x in zip((1, 5, 15), loads, strict=True)},
+        **{k: f"CAST({x} AS BIGINT)" for k, x in memory.items()},
+    }
