@@ -103,6 +103,17 @@ def test_trees_of_any_size_over_many_parts(spark, monkeypatch, fanout):
     assert sorted(map(tuple, again.roots.collect())) == sorted(map(tuple, made.roots.collect()))
 
 
+@pytest.mark.parametrize("above", [False, True])
+def test_every_leaf_is_folded_whatever_root_is_given(spark, above):
+    rows = [("+a", i, hashlib.sha256(str(i).encode()).digest()) for i in range(40)]
+    made = merkle.build(spark.createDataFrame(rows, "grp string, id bigint, hash binary"), 3, 6)
+    want, wrong = made.roots.first().hash.hex(), bytes(32)
+    made.roots = made.roots.withColumn("hash", F.lit(wrong))
+    tops = made.roots.select("grp", F.col("hash").alias("root"), F.lit(None).cast(merkle._PROOF).alias("proof")) if above else None
+    got = merkle.prove(made, tops).collect()
+    assert len(got) == 40 and {(r.root, r.folded) for r in got} == {(wrong.hex(), want)}
+
+
 def test_equal_rows_fill_many_parts(spark):
     digest = hashlib.sha256(b"x").digest()
     made = merkle.build(spark.createDataFrame([("", 1, digest)] * 100, "grp string, id bigint, hash binary"), 3, 10)

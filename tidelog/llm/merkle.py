@@ -302,7 +302,7 @@ def prove(m: Manifest, above: DataFrame | None = None, changed: str | None = Non
     """(grp, id, leaf, subroot, root, proof_sha256, folded) of every leaf as hex, and with ``keep`` its ``proof``.
 
     ``above`` has (grp, root, proof) of each group in the tree over the groups; without it a group's own root ends the path. ``folded`` is the root
-    that the column ``changed`` of the leaves (32 bytes; null: the leaf itself) gives with the leaf's siblings.
+    that the column ``changed`` of the leaves (32 bytes; null: the leaf itself) gives with the leaf's siblings, recomputed for every leaf.
     """
     fanout = m.fanout
     id_kind = dict(m.leaves.dtypes)["id"]
@@ -331,7 +331,7 @@ def prove(m: Manifest, above: DataFrame | None = None, changed: str | None = Non
                 for k, (who, leaf, other) in enumerate(rows[low : low + 2000], head["first"] + low):
                     path = paths.of(k)
                     proof = hashlib.sha256("".join([d.hex() for _, others in path for d in others]).encode()).hexdigest()
-                    folded = root if other is None else fold(other, path).hex()
+                    folded = fold(leaf if other is None else other, path).hex()
                     out.append((head["grp"], who, leaf.hex(), subroot, root, proof, folded, *([[{"place": p, "others": o} for p, o in path]] if keep else [])))
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
