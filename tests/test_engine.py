@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog import cli
+from tidelog.functions import formats
 from tidelog.operators import counters, parse, report, rollup, sinks
-from tidelog.plans import config
+from tidelog.plans import catalog, config
 from tidelog.sources import host, logs, tail
 from tidelog.streaming import rollup as streaming
 
@@ -348,3 +349,16 @@ def test_host_sampler_of_a_configuration(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "t" / "host_metrics")).first().host_id == 3
     finally:
         q.stop()
+
+
+@pytest.mark.parametrize("name", ["relevant_logs", "ua_class", "ua_robots_override"])
+def test_filters_run_no_step_of_a_request_again(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # The line pattern stands there once, and so does the decoding of paths; a pushed filter would repeat what it names.
+    assert plan.count(formats.LINE) == 1 and plan.count("UrlCodec.decode") == 1 and max(map(len, plan.splitlines())) < 20_000
+
+
+def test_only_keeps_what_a_filter_keeps(spark):
+    rows = spark.createDataFrame([(1, True), (2, False), (3, None), (3, True)], "n int, ok boolean")
+    kept = parse.only(rows, F.col("ok"))
+    assert kept.columns == rows.columns and sorted(kept.collect()) == sorted(rows.where("ok").collect())

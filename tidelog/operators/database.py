@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators import rawlogs, rollup, sinks
+from tidelog.operators import parse, rawlogs, rollup, sinks
 from tidelog.operators.versions import Conflict, Versions
 from tidelog.plans.config import FileConfig
 from tidelog.plans.shared import shared_dir
@@ -163,7 +163,7 @@ def save_raw_logs(requests: DataFrame, c: FileConfig, kept: Tables, query: str =
     """Raw-log rows, if the configuration wants them kept: only relevant ones and masked ones where it says so. A batch that is replayed is kept once."""
     if not c.save_raw_logs:
         return
-    chosen = requests.where(rawlogs.is_relevant()) if c.only_relevant > 0 else requests
+    chosen = parse.only(requests, rawlogs.is_relevant()) if c.only_relevant > 0 else requests
     chosen = chosen.withColumn("_host_id", own(chosen, c, "host_id"))
     rows = with_domain_ids(rawlogs.raw_rows(chosen, c.mask_ip, own(chosen, c, "domain_name"), ["_host_id"]), kept)
     kept.append("raw_logs", rows.drop("domain").withColumnRenamed("_host_id", "host_id").withColumn("client_ip", rawlogs.packed_ip("client_ip")), query, batch_id)
