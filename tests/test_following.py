@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tests.test_engine import line
 from tidelog import cli
 from tidelog.operators import counters, database, parse, report, sinks
-from tidelog.plans import config
+from tidelog.plans import catalog, config
 from tidelog.sources import tail
 from tidelog.streaming import rollup as streaming
 from tidelog.streaming import slots
@@ -411,3 +411,28 @@ def test_disabled_files_are_left_alone(spark, tmp_path, capsys):
     cli.main(["-c", str(tmp_path / "c.json")])
     told = capsys.readouterr().out
     assert "200010101301" in told and "200010101302" not in told
+
+
+def test_arrivals_are_dealt_over_files_in_whole_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "_BLOCK", 50)
+    ids = spark.range(1000).selectExpr("id AS event_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value")
+    ids.write.parquet(str(tmp_path / "events.parquet"))
+    files = catalog._arrive(spark, str(tmp_path), str(tmp_path / "lines"), "parquet", ["event_id", "value"])
+    assert files == spark.sparkContext.defaultParallelism > 1
+    for k in range(4):
+        part = spark.read.parquet(str(tmp_path / "lines" / f"part={k}"))
+        assert len(part.inputFiles()) == files
+        rows = part.select("event_id", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).collect()
+        assert {r.event_id for r in rows} == {i for i in range(1000) if (3 if i % 10 == 3 else 3 * i // 1000) == k}
+        by_block, by_file = {}, {}
+        for r in sorted(rows, key=lambda r: r["at"]):
+            by_block.setdefault(r.event_id // 50, set()).add(r.file)
+            by_file.setdefault(r.file, []).append(r.event_id)
+        assert all(len(x) == 1 for x in by_block.values()) and all(x == sorted(x) for x in by_file.values()) and len(by_file) > 1
+
+
+def test_lines_of_two_blocks_are_not_summed(spark):
+    # Places 3 to 24 lie in another partition and may close the window.
+    made = spark.createDataFrame([(1, "", 7, p, 1, 3, 1) for p in (1, 2, 25, 26)], "metric_type int, key_value string, time_window bigint, place bigint, seen_ms bigint, slots int, value bigint").coalesce(1)
+    got = slots.stretches(made, ["metric_type", "key_value"], 10).collect()
+    assert sorted((r.place, r.value) for r in got) == [(1, 2), (25, 2)]
